@@ -4,11 +4,15 @@ Texts become sets of hashed word shingles. Links of Jaccard similarity at least
 exactly (up to collisions of 64-bit shingle hashes) by prefix filtering in a global order, with two
 savings from set relations:
 
-* lists are skipped by position: entries of a list are kept in blocks by size, each with its
-  lowest position, and a pair of blocks that cannot hold a link is skipped whole;
+* lists are skipped by position: entries of a list are kept in blocks by family and size, each
+  with its lowest position, and a pair of blocks that cannot hold a link is skipped whole;
 * answers are derived: sets that are very similar to a leader are represented by it. The
   difference to a member is at least the difference to its leader less the (known) distance
   between the two, so one computed answer settles a whole star.
+
+A family is the sets that share a minimum hash. Pairs within a family are held against each other
+by their bitmaps in one place, so that a large group of near copies sends on only the pairs that
+may link; the lists then leave such pairs out. Each set is in two families.
 """
 
 from __future__ import annotations
@@ -28,8 +32,11 @@ from .components import components
 #: Others may be frequent too; that costs time, not links.
 HEAVY_SHINGLES = 100_000
 HEAVY_LEAST = 8
-#: A hot group of near copies is dealt out to so many leaders at least.
-STAR_PARTS = 32
+#: A family with more sets is dealt out to several; the most frequent FAMILIES_SPLIT keys are looked at.
+FAMILY_SETS = 50_000
+FAMILIES_SPLIT = 1000
+#: Leaders are sought in a family so many times at most, each near the middle of what is left.
+STAR_ROUNDS = 4
 #: Bits of the filter that keeps rows from being sent which no pair needs.
 NEED_BITS = 1 << 22
 BLOCK = 32
@@ -166,15 +173,16 @@ def heavy_shingles(docs: DataFrame, k: int, num: int, den: int, most: int = HEAV
 
 
 def describe(docs: DataFrame, k: int, num: int, den: int, heavy: np.ndarray) -> DataFrame:
-    """One row per text: set size, 128-bit digest of the set, star key, prefix and bitmap."""
+    """One row per text: set size, 128-bit digest of the set, two family keys, prefix and bitmap."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _batches(rows):
-            n, digest, key, prefixes, maps = [], [], [], [], []
+            n, digest, keys, prefixes, maps = [], [], ([], []), [], []
             for s in shingle_sets(_texts(part, 1), k):
                 n.append(len(s))
                 if not len(s):
-                    digest.append(None), key.append(None), prefixes.append(None), maps.append(None)
+                    for column in (digest, *keys, prefixes, maps):
+                        column.append(None)
                     continue
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 at = np.minimum(np.searchsorted(heavy, s), max(len(heavy) - 1, 0))
@@ -182,21 +190,24 @@ def describe(docs: DataFrame, k: int, num: int, den: int, heavy: np.ndarray) ->
                 rare = s[~common]
                 ordered = np.concatenate([rare, s[common]])
                 prefixes.append(ordered[: prefix_length(len(s), num, den)].view(np.int64))
-                key.append(int(_mix((rare if len(rare) > len(s) // 2 else s) + _U(77)).min().view(np.int64)))
+                own = rare if len(rare) > len(s) // 2 else s
+                for seed, column in zip((77, 78), keys, strict=True):
+                    column.append(int(_mix(own + _U(seed)).min().view(np.int64)))
                 maps.append(bitmap(s))
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
                     pa.array(n, pa.int64()),
                     pa.array(digest, pa.binary()),
-                    pa.array(key, pa.int64()),
+                    pa.array(keys[0], pa.int64()),
+                    pa.array(keys[1], pa.int64()),
                     pa.array(prefixes, pa.list_(pa.int64())),
                     pa.array(maps, pa.binary()),
                 ],
-                names=["doc_id", "n", "digest", "key", "prefix", "bits"],
+                names=["doc_id", "n", "digest", "k1", "k2", "prefix", "bits"],
             )
 
-    schema = "doc_id long, n long, digest binary, key long, prefix array<long>, bits binary"
+    schema = "doc_id long, n long, digest binary, k1 long, k2 long, prefix array<long>, bits binary"
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
@@ -224,119 +235,228 @@ def _groups(rows: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def split_hot(sets: DataFrame, key: str) -> DataFrame:
+    """``sets`` with the keys of very large families replaced by several keys each."""
+    hot = (
+        sets.groupBy(key)
+        .agg(F.count(F.lit(1)).alias("c"))
+        .where(F.col("c") > FAMILY_SETS)
+        .orderBy(F.desc("c"), key)
+        .limit(FAMILIES_SPLIT)
+        .collect()
+    )
+    if not hot:
+        return sets
+    table = sets.sparkSession.createDataFrame([(r[key], -(-r["c"] // FAMILY_SETS)) for r in hot], f"{key} long, parts long")
+    part = F.xxhash64(key, F.pmod(F.xxhash64("doc_id"), F.col("parts")))
+    return sets.join(F.broadcast(table), key, "left").withColumn(key, F.when(F.col("parts").isNotNull(), part).otherwise(F.col(key))).drop("parts")
+
+
+class Bitmaps:
+    """The bitmaps of a family's sets, which ascend by size; one matrix for each length."""
+
+    def __init__(self, maps: list[bytes]):
+        self.words = np.array([len(m) // 8 for m in maps])
+        self.rows = np.zeros(len(maps), np.int64)
+        self.full: dict[int, np.ndarray] = {}
+        for w in np.unique(self.words).tolist():
+            at = np.flatnonzero(self.words == w)
+            self.rows[at] = np.arange(len(at))
+            self.full[w] = np.frombuffer(b"".join([maps[i] for i in at]), np.uint64).reshape(len(at), w)
+
+    def least(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Lower bounds of the differences between set i and others."""
+        out = np.zeros(len(others), np.int64)
+        for w in np.unique(self.words[others]).tolist():
+            at = np.flatnonzero(self.words[others] == w)
+            mine = self.full[int(self.words[i])][self.rows[i]]
+            theirs = self.full[w][self.rows[others[at]]]
+            while len(mine) > theirs.shape[1]:
+                mine = mine[: len(mine) // 2] ^ mine[len(mine) // 2 :]
+            while len(mine) < theirs.shape[1]:
+                half = theirs.shape[1] // 2
+                theirs = theirs[:, :half] ^ theirs[:, half:]
+            out[at] = np.bitwise_count(theirs ^ mine).sum(1)
+        return out
+
+    def middle(self, some: np.ndarray) -> int:
+        """The set nearest to the majority of each bit, among those with the most common length."""
+        values, counts = np.unique(self.words[some], return_counts=True)
+        at = some[self.words[some] == values[counts.argmax()]]
+        rows = self.full[int(values[counts.argmax()])][self.rows[at]]
+        ones = np.zeros(rows.shape[1] * 64, np.int64)
+        for k in range(0, len(rows), 1000):
+            ones += np.unpackbits(rows[k : k + 1000].view(np.uint8), axis=1).sum(0, dtype=np.int64)
+        most = np.packbits((ones * 2 > len(rows)).astype(np.uint8)).view(np.uint64)
+        return int(at[np.bitwise_count(rows ^ most).sum(1).argmin()])
+
+
+def _families(sets: DataFrame, key: str, *more: str) -> DataFrame:
+    columns = [key, "doc_id", "n", "bits", *more]
+    return sets.select(*columns).repartition(key).sortWithinPartitions(key, "n", "doc_id")
+
+
+def _each_family(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Families with more than one set: the rows, ids and sizes."""
+    for table in _groups(rows, 1):
+        key = np.asarray(table.column(0))
+        edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if b - a > 1:
+                own = table.slice(a, b - a)
+                yield own, np.asarray(own.column(1)), np.asarray(own.column(2)).astype(np.int64)
+
+
+def _pair_batches(found: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for pairs in found:
+        held.append(pairs)
+        size += len(pairs)
+        if size > 50_000:
+            yield _pair_batch(np.concatenate(held))
+            held, size = [], 0
+    if size:
+        yield _pair_batch(np.concatenate(held))
+
+
+def _pair_batch(pairs: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["a", "b"])
+
+
 def star_candidates(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(leader, member): sets with one star key whose bitmaps say they may link.
+    """(leader, member): sets of one family (k1) whose bitmaps say they may link.
 
-    Each set has one key, so it gets one leader at most, and leaders have none.
+    Each set gets one leader at most, and leaders have none.
     """
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(rows, 2):
-            key, part = (np.asarray(table.column(c)) for c in (0, 1))
-            ids, sizes = (np.asarray(table.column(c)) for c in (2, 3))
-            maps = table.column(4).to_pylist()
-            edges = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1]), True])
-            leaders, members = [], []
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                heads: list[int] = []
-                for i in range(a, b) if b - a > 1 else ():
-                    n = int(sizes[i])
-                    for h in reversed(heads):  # heads ascend by size
-                        if int(sizes[h]) * den < n * num:
-                            break
-                        if least_difference(maps[h], maps[i]) * (den + num) <= (n + int(sizes[h])) * (den - num):
-                            if ids[h] != ids[i]:
-                                leaders.append(ids[h])
-                                members.append(ids[i])
-                            break
-                    else:
-                        heads.append(i)
-                        continue
-                    if not members or members[-1] != ids[i]:
-                        heads.append(i)
-            if members:
-                yield pa.RecordBatch.from_arrays([pa.array(leaders, pa.int64()), pa.array(members, pa.int64())], names=["a", "b"])
-
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(STAR_PARTS)).cast("int")
-    return (
-        sets.select("key", part.alias("part"), "doc_id", "n", "bits")
-        .repartition("key", "part")
-        .sortWithinPartitions("key", "part", "n", "doc_id")
-        .mapInArrow(run, "a long, b long")
-    )
+    def stars(rows: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for table, ids, n in _each_family(rows):
+            maps = Bitmaps(table.column(3).to_pylist())
+            left = np.arange(len(ids))
+            for _ in range(STAR_ROUNDS):
+                if len(left) < 2:
+                    break
+                head = maps.middle(left)
+                others = left[(left != head) & (ids[left] != ids[head])]
+                near = others[maps.least(head, others) * (num + den) <= (n[others] + n[head]) * (den - num)]
+                if len(near):
+                    yield np.column_stack([np.full(len(near), ids[head]), ids[near]])
+                left = left[~np.isin(left, near) & (left != head)]
+                if len(near) < 3:
+                    break
+
+    return _families(sets, "k1").mapInArrow(lambda rows: _pair_batches(stars(rows)), "a long, b long")
+
+
+def family_candidates(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a < b) of sets of one family, not of one star, whose bitmaps say they may link."""
+
+    def finder(first: bool):
+        def pairs(rows: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+            for table, ids, n in _each_family(rows):
+                leader = np.asarray(table.column(4))
+                other = leader if first else np.asarray(table.column(5))  # the pairs of one k1 are known
+                if (leader == leader[0]).all():
+                    continue
+                maps = Bitmaps(table.column(3).to_pylist())
+                stop = np.searchsorted(n, n * den // num, side="right")
+                for i in range(len(ids) - 1):
+                    j = np.arange(i + 1, stop[i])
+                    j = j[(leader[j] != leader[i]) & (ids[j] != ids[i])]
+                    if not first:
+                        j = j[other[j] != other[i]]
+                    if len(j):
+                        j = j[maps.least(i, j) * (num + den) <= (n[j] + n[i]) * (den - num)]
+                    if len(j):
+                        mine = np.full(len(j), ids[i])
+                        yield np.column_stack([np.minimum(mine, ids[j]), np.maximum(mine, ids[j])])
+
+        return lambda rows: _pair_batches(pairs(rows))
+
+    one = _families(sets, "k1", "leader").mapInArrow(finder(True), "a long, b long")
+    two = _families(sets, "k2", "leader", "k1").mapInArrow(finder(False), "a long, b long")
+    return one.unionByName(two)
 
 
 def list_pairs(
-    token: np.ndarray, leader: np.ndarray, low: np.ndarray, high: np.ndarray, place: np.ndarray, num: int, den: int
+    token: np.ndarray,
+    leader: np.ndarray,
+    k1: np.ndarray,
+    k2: np.ndarray,
+    n: np.ndarray,
+    place: np.ndarray,
+    num: int,
+    den: int,
 ) -> np.ndarray:
     """Pairs of leaders from the lists of one or more tokens, as rows (smaller, larger).
 
-    Entries are whole lists in any order; ``low`` and ``high`` bound the sizes of the sets that an
-    entry stands for, ``place`` is its lowest position.
+    The arguments are the entries of whole lists in any order: token, star, families, set size
+    and the token's position in the set's prefix. Pairs of one family are left out.
     """
-    order = np.lexsort((leader, token))
-    token, leader, low, high, place = (v[order] for v in (token, leader, low, high, place))
-    first = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (leader[1:] != leader[:-1])])
-    token, leader = token[first], leader[first]
-    low, high, place = np.minimum.reduceat(low, first), np.maximum.reduceat(high, first), np.minimum.reduceat(place, first)
-    order = np.lexsort((high, low, token))
-    token, leader, low, high, place = (v[order] for v in (token, leader, low, high, place))
+    order = np.lexsort((k2, leader, k1, token))
+    token, leader, k1, k2, n, place = (v[order] for v in (token, leader, k1, k2, n, place))
+    new = (token[1:] != token[:-1]) | (leader[1:] != leader[:-1]) | (k2[1:] != k2[:-1])
+    first = np.flatnonzero(np.r_[True, new])
+    low, high, place = np.minimum.reduceat(n, first), np.maximum.reduceat(n, first), np.minimum.reduceat(place, first)
+    token, leader, k1, k2 = token[first], leader[first], k1[first], k2[first]
+    order = np.lexsort((low, k1, token))
+    token, leader, k1, k2, low, high, place = (v[order] for v in (token, leader, k1, k2, low, high, place))
     left = high - place  # elements from the shared one on
-    starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-    lengths = np.diff(np.r_[starts, len(token)])
-    stop = np.repeat(starts + lengths, lengths)  # where an entry's list ends
-    short = np.repeat(lengths <= BLOCK, lengths)
+    # blocks of one family in one list, with bounds of their sizes and of what follows the shared element
+    run = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (k1[1:] != k1[:-1])])
+    lengths = np.diff(np.r_[run, len(token)])
+    pieces = -(-lengths // BLOCK)
+    inner = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    starts = np.repeat(run, pieces) + inner * BLOCK
+    sizes = np.minimum(np.repeat(run + lengths, pieces) - starts, BLOCK)
+    lowest, highest = np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts)
+    most = np.maximum.reduceat(left, starts)
+    order = np.lexsort((lowest, token[starts]))
+    starts, sizes, lowest, highest, most = (v[order] for v in (starts, sizes, lowest, highest, most))
+    family, lists = k1[starts], token[starts]
+    edge = np.flatnonzero(np.r_[True, lists[1:] != lists[:-1]])
+    stop = np.repeat(np.r_[edge[1:], len(starts)], np.diff(np.r_[edge, len(starts)]))
     found: list[np.ndarray] = []
 
-    def keep(i: np.ndarray, j: np.ndarray) -> None:
-        good = (leader[i] != leader[j]) & (high[i] * den >= low[j] * num) & (high[j] * den >= low[i] * num)
+    def expand(x: np.ndarray, y: np.ndarray) -> None:
+        cells = sizes[x] * sizes[y]
+        x, y = np.repeat(x, cells), np.repeat(y, cells)
+        cell = np.arange(int(cells.sum())) - np.repeat(np.cumsum(cells) - cells, cells)
+        i, j = starts[x] + cell // sizes[y], starts[y] + cell % sizes[y]
+        good = (k2[i] != k2[j]) & (high[i] * den >= low[j] * num) & (high[j] * den >= low[i] * num)
         good &= np.minimum(left[i], left[j]) * (num + den) >= num * (low[i] + low[j])
         if good.any():
             a, b = leader[i[good]], leader[j[good]]
             found.append(np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0))
 
-    alive = np.flatnonzero(short)
-    step = 1
+    alive, step = np.arange(len(starts)), 1
     while len(alive):
         alive = alive[alive + step < stop[alive]]
-        alive = alive[low[alive + step] * num <= high[alive] * den]  # ascending by low: later ones are out too
-        if len(alive):
-            keep(alive, alive + step)
+        alive = alive[lowest[alive + step] * num <= highest[alive] * den]  # blocks ascend: later ones are out too
+        x, y = alive, alive + step
+        may = (family[x] != family[y]) & (highest[y] * den >= lowest[x] * num)
+        may &= np.minimum(most[x], most[y]) * (num + den) >= num * (lowest[x] + lowest[y])
+        x, y = x[may], y[may]
+        for at in range(0, len(x), 4096):
+            expand(x[at : at + 4096], y[at : at + 4096])
         step += 1
-    for s, n in zip(starts[lengths > BLOCK], lengths[lengths > BLOCK], strict=True):
-        cuts = np.arange(s, s + n, BLOCK)
-        ends = np.minimum(cuts + BLOCK, s + n)
-        lowest, highest = np.minimum.reduceat(low[s : s + n], cuts - s), np.maximum.reduceat(high[s : s + n], cuts - s)
-        most = np.maximum.reduceat(left[s : s + n], cuts - s)
-        for x in range(len(cuts)):
-            may = lowest[x:] * num <= highest[x] * den
-            may &= np.minimum(most[x:], most[x]) * (num + den) >= num * (lowest[x:] + lowest[x])
-            for y in np.flatnonzero(may) + x:
-                i, j = np.meshgrid(np.arange(cuts[x], ends[x]), np.arange(cuts[y], ends[y]), indexing="ij")
-                i, j = i.ravel(), j.ravel()
-                if x == y:
-                    i, j = i[i < j], j[i < j]
-                if len(i):
-                    keep(i, j)
-    return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+    return pairs[pairs[:, 0] != pairs[:, 1]]
 
 
 def list_candidates(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Distinct pairs of leaders (a < b) that the index lists leave; ``sets`` has leader, n, prefix."""
+    """Distinct pairs of leaders (a < b), of no common family, that the index lists leave."""
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pairs(rows: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for table in _groups(rows, 1):
-            token, leader, n, place = (np.asarray(table.column(c)) for c in range(4))
-            pairs = list_pairs(token, leader, n, n, place, num, den)
-            if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            yield list_pairs(*(np.asarray(table.column(c)).astype(np.int64) for c in range(6)), num, den)
 
     return (
-        sets.select("leader", "n", F.posexplode("prefix").alias("place", "token"))
-        .select("token", "leader", "n", F.col("place").cast("long").alias("place"))
+        sets.select("leader", "k1", "k2", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("place", "token"))
+        .select("token", "leader", "k1", "k2", "n", "place")
         .repartition("token")
         .sortWithinPartitions("token")
-        .mapInArrow(run, "a long, b long")
+        .mapInArrow(lambda rows: _pair_batches(pairs(rows)), "a long, b long")
         .distinct()
     )
 
@@ -405,7 +525,7 @@ def differences(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
 
 
 def _bitmap_filter(pairs: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of leaders whose stars can hold a link by their bitmaps, radii and largest sizes."""
+    """Pairs (a, b) that can hold a link by their bitmaps, radii and largest sizes (bits, radius, most)."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -414,10 +534,12 @@ def _bitmap_filter(pairs: DataFrame, info: DataFrame, num: int, den: int) -> Dat
             good = [least_difference(p, q) * (num + den) <= r for p, q, r in zip(x, y, room, strict=True)]
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    a = info.select(F.col("leader").alias("a"), *(F.col(c).alias(f"{c}_a") for c in ("bits", "most", "radius")))
-    b = info.select(F.col("leader").alias("b"), *(F.col(c).alias(f"{c}_b") for c in ("bits", "most", "radius")))
+    a, b = (
+        info.select(F.col("node").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("bits", "most", "radius"))) for s in "ab"
+    )
     room = (F.col("radius_a") + F.col("radius_b")) * (num + den) + (F.col("most_a") + F.col("most_b")) * (den - num)
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "bits_a", "bits_b", room.alias("room")).mapInArrow(run, "a long, b long")
+    both = pairs.join(a, "a").join(b, "b").select("a", "b", "bits_a", "bits_b", room.alias("room"))
+    return both.mapInArrow(run, "a long, b long")
 
 
 def jaccard_components(
@@ -444,6 +566,8 @@ def jaccard_components(
         "jaccard-classes",
     )
     reps = rows.join(classes.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi")
+    for key in ("k1", "k2"):
+        reps = split_hot(reps, key)
     stars = durable(differences(docs, star_candidates(reps, num, den), k), "jaccard-stars")
     stars = stars.where(link).groupBy("b").agg(F.min("a").alias("a"), F.min_by("d", "a").alias("d"), F.max("nb").alias("nb"))
     led = durable(
@@ -452,21 +576,26 @@ def jaccard_components(
             F.coalesce("a", "doc_id").alias("leader"),
             F.coalesce("d", F.lit(0)).alias("d"),
             "n",
+            "k1",
+            "k2",
             "prefix",
             "bits",
         ),
         "jaccard-led",
     )
-    reach = led.groupBy("leader").agg(F.max("d").alias("radius"), F.max("n").alias("most"))
+    reach = led.groupBy("leader").agg(F.max("d").alias("radius"), F.max("n").alias("most"), F.min("k1").alias("k1"))
     own = led.where("doc_id = leader").groupBy("leader").agg(F.first("bits").alias("bits"))
-    info = own.join(reach, "leader")
-    near = durable(_bitmap_filter(list_candidates(led, num, den), info, num, den), "jaccard-near")
-    far = durable(differences(docs, near, k), "jaccard-checked")
-    edges = far.where(link).select("a", "b").unionByName(led.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")))
-    open_pairs = _open_pairs(far, led, reach, link, num, den)
+    info = own.join(reach, "leader").withColumnRenamed("leader", "node")
+    near = _bitmap_filter(list_candidates(led, num, den), info, num, den).unionByName(family_candidates(led, num, den))
+    near = durable(near.distinct(), "jaccard-near")
+    checked = durable(differences(docs, near, k), "jaccard-checked")
+    edges = checked.where(link).select("a", "b").unionByName(
+        led.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))
+    )
+    open_pairs = _open_pairs(checked, reach, link, num, den)
     if not open_pairs.isEmpty():
-        joined = components(edges)
-        edges = durable(edges, "jaccard-edges").unionByName(_members(docs, open_pairs, joined, led, link, k, num, den))
+        more = _members(docs, open_pairs, components(edges), led, link, k, num, den)
+        edges = edges.unionByName(more)
     found = components(edges)
     return (
         rows.join(classes.select("digest", "rep"), "digest", "left")
@@ -480,28 +609,34 @@ def jaccard_components(
     )
 
 
-def _open_pairs(far: DataFrame, led: DataFrame, reach: DataFrame, link, num: int, den: int) -> DataFrame:
-    """Pairs of leaders that don't link while members of their stars may."""
-    a = reach.select(F.col("leader").alias("a"), F.col("radius").alias("ra"), F.col("most").alias("ma"))
-    b = reach.select(F.col("leader").alias("b"), F.col("radius").alias("rb"), F.col("most").alias("mb"))
-    may = (F.col("d") - F.col("ra") - F.col("rb")) * (num + den) <= (F.col("ma") + F.col("mb")) * (den - num)
-    wide = far.where(~link).join(a, "a").join(b, "b").where((F.col("ra") + F.col("rb") > 0) & may)
+def _open_pairs(checked: DataFrame, reach: DataFrame, link, num: int, den: int) -> DataFrame:
+    """Pairs of leaders of two families that don't link while members of their stars may."""
+    a, b = (
+        reach.select(F.col("leader").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("radius", "most", "k1"))) for s in "ab"
+    )
+    radii = F.col("radius_a") + F.col("radius_b")
+    may = (F.col("d") - radii) * (num + den) <= (F.col("most_a") + F.col("most_b")) * (den - num)
+    wide = checked.where(~link).join(a, "a").join(b, "b").where((F.col("k1_a") != F.col("k1_b")) & (radii > 0) & may)
     return durable(wide.select("a", "b", "d"), "jaccard-open")
 
 
 def _members(docs, open_pairs, joined, led, link, k: int, num: int, den: int) -> DataFrame:
     """Links between members of stars that are still apart; bounds from the leaders' answers come first."""
-    side = lambda c: joined.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
-    apart = (
-        open_pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
-        .where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-        .select("a", "b", "d")
-    )
-    of = lambda c, m: led.select(F.col("leader").alias(c), F.col("doc_id").alias(m), F.col("d").alias(f"d{m}"), F.col("n").alias(f"n{m}"))
-    may = (F.col("d") - F.col("dx") - F.col("dy")) * (num + den) <= (F.col("nx") + F.col("ny")) * (den - num)
-    fits = (F.col("nx") * den >= F.col("ny") * num) & (F.col("ny") * den >= F.col("nx") * num)
-    pairs = apart.join(of("a", "x"), "a").join(of("b", "y"), "b").where(may & fits).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    pairs = durable(pairs, "jaccard-members")
+    apart = open_pairs
+    for side in "ab":
+        known = joined.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+        apart = apart.join(known, side, "left")
+    apart = apart.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "d")
+    for side, member in (("a", "x"), ("b", "y")):
+        own = led.select(F.col("leader").alias(side), *(F.col(c).alias(f"{c}_{member}") for c in ("doc_id", "d", "n", "k2")))
+        apart = apart.join(own, side)
+    may = (F.col("d") - F.col("d_x") - F.col("d_y")) * (num + den) <= (F.col("n_x") + F.col("n_y")) * (den - num)
+    fits = (F.col("n_x") * den >= F.col("n_y") * num) & (F.col("n_y") * den >= F.col("n_x") * num)
+    pairs = apart.where(may & fits & (F.col("k2_x") != F.col("k2_y"))).select(
+        F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b")
+    )
+    single = led.select(F.col("doc_id").alias("node"), "bits", F.col("n").alias("most"), F.lit(0).alias("radius"))
+    pairs = durable(_bitmap_filter(pairs, single, num, den), "jaccard-members")
     return durable(differences(docs, pairs, k).where(link).select("a", "b"), "jaccard-member-links")
 
 
