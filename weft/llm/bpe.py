@@ -17,9 +17,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import slices, small_batches
+
 #: Pieces kept encoded in a worker; the memory this takes is fixed.
-CACHE_PIECES = 300_000
-CACHE_PAIRS = 500_000
+CACHE_PIECES = 200_000
+CACHE_PAIRS = 300_000
 #: Lengths in bytes at which the table of a piece's beginning is kept for other pieces.
 BEGINNINGS = (9, 6)
 #: Longer pieces are encoded but not kept.
@@ -217,25 +219,24 @@ def encode(
     length are encoded in time linear in their length; repeated rows and ties are encoded alike;
     an empty table gives no rows; extra columns are ignored.
     """
+    small_batches(docs.sparkSession)
     source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     id_type = source.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                packed = [own.encode(t) if t else b"" for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array(packed, pa.binary()),
-                        pa.array([len(p) // 4 for p in packed], pa.int64()),
-                        pa.array([hashlib.sha256(p).hexdigest() for p in packed]),
-                        pa.array([hashlib.sha256(own.decode(p)).hexdigest() for p in packed]),
-                    ],
-                    names=["id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+        for part in slices(batches, 1):
+            packed = [own.encode(t) if t else b"" for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0),
+                    pa.array(packed, pa.binary()),
+                    pa.array([len(p) // 4 for p in packed], pa.int64()),
+                    pa.array([hashlib.sha256(p).hexdigest() for p in packed]),
+                    pa.array([hashlib.sha256(own.decode(p)).hexdigest() for p in packed]),
+                ],
+                names=["id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
 
     out = source.mapInArrow(run, f"id {id_type}, ids binary, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("id", id_col)

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices, small_batches
+
 K1, B = 1.2, 0.75
 #: A passage is retrieved for an item when its score reaches this share of the item's own score.
 MIN_SCORE = 0.5
@@ -199,6 +201,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     and keep the null; repeated rows each give their matches, repeated items are items of their
     own; an empty benchmark or table gives no rows; extra columns are ignored.
     """
+    small_batches(docs.sparkSession)
     source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     id_type = source.schema["id"].dataType.simpleString()
     schema = f"id {id_type}, item_id long, score double, question_overlap double, answer_overlap double, n_passages long"
@@ -207,7 +210,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
     def searcher(index: Index):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches, 1):
                 out = []
                 for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     if text:

@@ -9,6 +9,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import slices, small_batches
+
 # Element names of the HTML standard, and words that name page furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -223,17 +225,16 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
     furniture give empty text; nothing is cut from long pages; a null url stays null; repeated
     rows are extracted alike; an empty table gives no rows; extra columns are ignored.
     """
+    small_batches(pages.sparkSession)
     source = pages.select(pages[id_col].alias("id"), pages["url"].alias("url"), pages[html_col].alias("html"))
     id_type = source.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                texts = [main_text(h) if h else "" for h in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
-                    names=["id", "url", "text", "n_chars"],
-                )
+        for part in slices(batches, 2):
+            texts = [main_text(h) if h else "" for h in part.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
+                names=["id", "url", "text", "n_chars"],
+            )
 
     return source.mapInArrow(run, f"id {id_type}, url string, text string, n_chars long").withColumnRenamed("id", id_col)

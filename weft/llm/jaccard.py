@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, slices, small_batches
 from .components import components
 
 #: Shingles put last in the order because many sets hold them: at most so many, 8 bytes each.
@@ -40,7 +40,6 @@ STAR_ROUNDS = 4
 #: Bits of the filter that keeps rows from being sent which no pair needs.
 NEED_BITS = 1 << 22
 BLOCK = 32
-TEXTS_AT_ONCE = 250
 
 _U = np.uint64
 _RNG = np.random.default_rng(20240229)
@@ -125,12 +124,6 @@ def least_difference(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def _batches(rows: Iterator[pa.RecordBatch], n: int = TEXTS_AT_ONCE) -> Iterator[pa.RecordBatch]:
-    for batch in rows:
-        for at in range(0, batch.num_rows, n):
-            yield batch.slice(at, n)
-
-
 def _texts(part: pa.RecordBatch, column: int) -> list[str]:
     return [t or "" for t in part.column(column).to_pylist()]
 
@@ -148,12 +141,12 @@ def heavy_shingles(docs: DataFrame, k: int, num: int, den: int, most: int = HEAV
                 [pa.array(values[often].view(np.int64)), pa.array(counts[often])], names=["shingle", "n"]
             )
 
-        for part in _batches(rows):
+        for part in slices(rows, 0):
             for s in shingle_sets(_texts(part, 0), k):
                 if len(s):
                     held.append(s[: prefix_length(len(s), num, den)])
                     size += len(held[-1])
-            if size > 2_000_000:
+            if size > 500_000:
                 yield flush()
                 held, size = [], 0
         if held:
@@ -176,7 +169,7 @@ def describe(docs: DataFrame, k: int, num: int, den: int, heavy: np.ndarray) ->
     """One row per text: set size, 128-bit digest of the set, two family keys, prefix and bitmap."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _batches(rows):
+        for part in slices(rows, 1):
             n, digest, keys, prefixes, maps = [], [], ([], []), [], []
             for s in shingle_sets(_texts(part, 1), k):
                 n.append(len(s))
@@ -494,7 +487,7 @@ def differences(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
         bits = np.unpackbits(np.frombuffer(need, np.uint8)).astype(bool)
         for batch in rows:
             batch = batch.filter(pa.array(bits[np.asarray(batch.column(2))]))
-            for part in _batches([batch]):
+            for part in slices([batch], 1):
                 found = [s.tobytes() for s in shingle_sets(_texts(part, 1), k)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["id", "set"])
 
@@ -557,6 +550,7 @@ def jaccard_components(
     """
     if not 0 < num <= den:
         raise ValueError("num/den must be over 0 and at most 1")
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     link = F.col("d") * (num + den) <= (F.col("na") + F.col("nb")) * (den - num)
     heavy = heavy_shingles(docs, k, num, den)

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices, small_batches
+
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
 
@@ -455,28 +457,25 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     repeated rows and ties are treated alike; an empty table gives no rows; extra columns are
     ignored.
     """
+    small_batches(docs.sparkSession)
     source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     id_type = source.schema["id"].dataType.simpleString()
     counts = [f"n_{k}" for k in KINDS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                results = find([t or "" for t in part.column(1).to_pylist()], model)
-                base = [written(b) for b, _ in results]
-                columns = [part.column(0)]
-                for k in range(len(KINDS)):
-                    columns.append(pa.array([sum(s[1] == k for s in b) for b, _ in results], pa.int64()))
-                columns += [
-                    pa.array(base, pa.string()),
-                    pa.array([written(a) for _, a in results], pa.string()),
-                    pa.array([hashlib.sha256(b.encode()).hexdigest() for b in base], pa.string()),
-                    pa.array([len(a) - len(b) for b, a in results], pa.int64()),
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    columns, names=["id", *counts, "base_spans", "spans", "base_sha256", "n_added"]
-                )
+        for part in slices(batches, 1):
+            results = find([t or "" for t in part.column(1).to_pylist()], model)
+            base = [written(b) for b, _ in results]
+            columns = [part.column(0)]
+            for k in range(len(KINDS)):
+                columns.append(pa.array([sum(s[1] == k for s in b) for b, _ in results], pa.int64()))
+            columns += [
+                pa.array(base, pa.string()),
+                pa.array([written(a) for _, a in results], pa.string()),
+                pa.array([hashlib.sha256(b.encode()).hexdigest() for b in base], pa.string()),
+                pa.array([len(a) - len(b) for b, a in results], pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", *counts, "base_spans", "spans", "base_sha256", "n_added"])
 
     schema = f"id {id_type}, {', '.join(f'{c} long' for c in counts)}, base_spans string, spans string, base_sha256 string, n_added long"
     return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import held_out, labelled_sample
+from .common import held_out, labelled_sample, slices, small_batches
 
 #: Bound on the labelled rows that the classifier is fitted on.
 TRAIN_ROWS = 4000
@@ -206,23 +206,22 @@ def score(
     scored alike, up to the last bits of a sum; an empty table gives no rows; extra columns are
     ignored.
     """
+    small_batches(docs.sparkSession)
     source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), held_out(docs[id_col]).alias("held_out"))
     id_type = source.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 250):
-                part = batch.slice(at, 250)
-                scores = np.round(model.score([t or "" for t in part.column(1).to_pylist()]), 9)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        part.column(2),
-                        pa.array(scores, pa.float64()),
-                        pa.array((scores >= threshold).astype(np.int32), pa.int32()),
-                    ],
-                    names=["id", "held_out", "score", "predicted"],
-                )
+        for part in slices(batches, 1):
+            scores = np.round(model.score([t or "" for t in part.column(1).to_pylist()]), 9)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0),
+                    part.column(2),
+                    pa.array(scores, pa.float64()),
+                    pa.array((scores >= threshold).astype(np.int32), pa.int32()),
+                ],
+                names=["id", "held_out", "score", "predicted"],
+            )
 
     out = source.mapInArrow(run, f"id {id_type}, held_out boolean, score double, predicted int")
     return out.withColumnRenamed("id", id_col)
@@ -230,14 +229,13 @@ def score(
 
 def keep_good(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the classifier doesn't reject, all columns, in one pass."""
+    small_batches(docs.sparkSession)
     names = docs.columns
     place = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 250):
-                part = batch.slice(at, 250)
-                scores = np.round(model.score([t or "" for t in part.column(place).to_pylist()]), 9)
-                yield part.filter(pa.array(scores >= THRESHOLD))
+        for part in slices(batches, place):
+            scores = np.round(model.score([t or "" for t in part.column(place).to_pylist()]), 9)
+            yield part.filter(pa.array(scores >= THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)

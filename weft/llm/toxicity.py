@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import held_out, labelled_sample
+from .common import held_out, labelled_sample, slices, small_batches
 
 #: Bound on the labelled rows that the lexicon and the weights are learned from.
 TRAIN_ROWS = 8000
@@ -310,12 +310,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     repeated rows and ties are scored alike; an empty table gives no rows; extra columns are
     ignored. A model learned from rows of one label only, or none, gives each text one score.
     """
+    small_batches(docs.sparkSession)
     source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), held_out(docs[id_col]).alias("held_out"))
     id_type = source.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Scorer(model)
-        for batch in batches:
+        for batch in slices(batches, 1):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             scores = [own.score(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
