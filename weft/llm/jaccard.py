@@ -12,7 +12,7 @@ savings from set relations:
 
 A family is the sets that share a minimum hash. Pairs within a family are held against each other
 by their bitmaps in one place, so that a large group of near copies sends on only the pairs that
-may link; the lists then leave such pairs out. Each set is in two families.
+may link; the lists then leave such pairs out. Each set is in as many families as there are KEYS.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ from .components import components
 #: Others may be frequent too; that costs time, not links.
 HEAVY_SHINGLES = 100_000
 HEAVY_LEAST = 8
+#: Minimum hashes of a set, each naming a family.
+KEYS = ("k1", "k2", "k3")
 #: A family with more sets is dealt out to several; the most frequent FAMILIES_SPLIT keys are looked at.
 FAMILY_SETS = 50_000
 FAMILIES_SPLIT = 1000
@@ -166,11 +168,11 @@ def heavy_shingles(docs: DataFrame, k: int, num: int, den: int, most: int = HEAV
 
 
 def describe(docs: DataFrame, k: int, num: int, den: int, heavy: np.ndarray) -> DataFrame:
-    """One row per text: set size, 128-bit digest of the set, two family keys, prefix and bitmap."""
+    """One row per text: set size, 128-bit digest of the set, the family keys, prefix and bitmap."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(rows, 1):
-            n, digest, keys, prefixes, maps = [], [], ([], []), [], []
+            n, digest, keys, prefixes, maps = [], [], [[] for _ in KEYS], [], []
             for s in shingle_sets(_texts(part, 1), k):
                 n.append(len(s))
                 if not len(s):
@@ -184,7 +186,7 @@ def describe(docs: DataFrame, k: int, num: int, den: int, heavy: np.ndarray) ->
                 ordered = np.concatenate([rare, s[common]])
                 prefixes.append(ordered[: prefix_length(len(s), num, den)].view(np.int64))
                 own = rare if len(rare) > len(s) // 2 else s
-                for seed, column in zip((77, 78), keys, strict=True):
+                for seed, column in enumerate(keys, 77):
                     column.append(int(_mix(own + _U(seed)).min().view(np.int64)))
                 maps.append(bitmap(s))
             yield pa.RecordBatch.from_arrays(
@@ -192,15 +194,15 @@ def describe(docs: DataFrame, k: int, num: int, den: int, heavy: np.ndarray) ->
                     part.column(0),
                     pa.array(n, pa.int64()),
                     pa.array(digest, pa.binary()),
-                    pa.array(keys[0], pa.int64()),
-                    pa.array(keys[1], pa.int64()),
+                    *(pa.array(column, pa.int64()) for column in keys),
                     pa.array(prefixes, pa.list_(pa.int64())),
                     pa.array(maps, pa.binary()),
                 ],
-                names=["doc_id", "n", "digest", "k1", "k2", "prefix", "bits"],
+                names=["doc_id", "n", "digest", *KEYS, "prefix", "bits"],
             )
 
-    schema = "doc_id long, n long, digest binary, k1 long, k2 long, prefix array<long>, bits binary"
+    keys = ", ".join(f"{key} long" for key in KEYS)
+    schema = f"doc_id long, n long, digest binary, {keys}, prefix array<long>, bits binary"
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
@@ -344,11 +346,11 @@ def star_candidates(sets: DataFrame, num: int, den: int) -> DataFrame:
 def family_candidates(sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a < b) of sets of one family, not of one star, whose bitmaps say they may link."""
 
-    def finder(first: bool):
+    def finder(earlier: int):
         def pairs(rows: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
             for table, ids, n in _each_family(rows):
                 leader = np.asarray(table.column(4))
-                other = leader if first else np.asarray(table.column(5))  # the pairs of one k1 are known
+                known = [np.asarray(table.column(5 + k)) for k in range(earlier)]  # families that are done
                 if (leader == leader[0]).all():
                     continue
                 maps = Bitmaps(table.column(3).to_pylist())
@@ -356,7 +358,7 @@ def family_candidates(sets: DataFrame, num: int, den: int) -> DataFrame:
                 for i in range(len(ids) - 1):
                     j = np.arange(i + 1, stop[i])
                     j = j[(leader[j] != leader[i]) & (ids[j] != ids[i])]
-                    if not first:
+                    for other in known:
                         j = j[other[j] != other[i]]
                     if len(j):
                         j = j[maps.least(i, j) * (num + den) <= (n[j] + n[i]) * (den - num)]
@@ -366,16 +368,17 @@ def family_candidates(sets: DataFrame, num: int, den: int) -> DataFrame:
 
         return lambda rows: _pair_batches(pairs(rows))
 
-    one = _families(sets, "k1", "leader").mapInArrow(finder(True), "a long, b long")
-    two = _families(sets, "k2", "leader", "k1").mapInArrow(finder(False), "a long, b long")
-    return one.unionByName(two)
+    out = None
+    for at, key in enumerate(KEYS):
+        found = _families(sets, key, "leader", *KEYS[:at]).mapInArrow(finder(at), "a long, b long")
+        out = out.unionByName(found) if out else found
+    return out
 
 
 def list_pairs(
     token: np.ndarray,
     leader: np.ndarray,
-    k1: np.ndarray,
-    k2: np.ndarray,
+    keys: list[np.ndarray],
     n: np.ndarray,
     place: np.ndarray,
     num: int,
@@ -383,17 +386,18 @@ def list_pairs(
 ) -> np.ndarray:
     """Pairs of leaders from the lists of one or more tokens, as rows (smaller, larger).
 
-    The arguments are the entries of whole lists in any order: token, star, families, set size
-    and the token's position in the set's prefix. Pairs of one family are left out.
+    The arguments are the entries of whole lists in any order: token, star, families, set size and
+    the token's position in the set's prefix. Pairs of one family are left out.
     """
-    order = np.lexsort((k2, leader, k1, token))
-    token, leader, k1, k2, n, place = (v[order] for v in (token, leader, k1, k2, n, place))
-    new = (token[1:] != token[:-1]) | (leader[1:] != leader[:-1]) | (k2[1:] != k2[:-1])
-    first = np.flatnonzero(np.r_[True, new])
+    order = np.lexsort((*keys[:0:-1], leader, keys[0], token))
+    token, leader, n, place, *keys = (v[order] for v in (token, leader, n, place, *keys))
+    new = np.r_[True, np.any([v[1:] != v[:-1] for v in (token, leader, *keys)], axis=0)]
+    first = np.flatnonzero(new)
     low, high, place = np.minimum.reduceat(n, first), np.maximum.reduceat(n, first), np.minimum.reduceat(place, first)
-    token, leader, k1, k2 = token[first], leader[first], k1[first], k2[first]
-    order = np.lexsort((low, k1, token))
-    token, leader, k1, k2, low, high, place = (v[order] for v in (token, leader, k1, k2, low, high, place))
+    token, leader, *keys = (v[first] for v in (token, leader, *keys))
+    order = np.lexsort((low, keys[0], token))
+    token, leader, low, high, place, *keys = (v[order] for v in (token, leader, low, high, place, *keys))
+    k1 = keys[0]
     left = high - place  # elements from the shared one on
     # blocks of one family in one list, with bounds of their sizes and of what follows the shared element
     run = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (k1[1:] != k1[:-1])])
@@ -416,7 +420,7 @@ def list_pairs(
         x, y = np.repeat(x, cells), np.repeat(y, cells)
         cell = np.arange(int(cells.sum())) - np.repeat(np.cumsum(cells) - cells, cells)
         i, j = starts[x] + cell // sizes[y], starts[y] + cell % sizes[y]
-        good = (k2[i] != k2[j]) & (high[i] * den >= low[j] * num) & (high[j] * den >= low[i] * num)
+        good = np.all([v[i] != v[j] for v in keys[1:]], axis=0) & (high[i] * den >= low[j] * num) & (high[j] * den >= low[i] * num)
         good &= np.minimum(left[i], left[j]) * (num + den) >= num * (low[i] + low[j])
         if good.any():
             a, b = leader[i[good]], leader[j[good]]
@@ -442,11 +446,12 @@ def list_candidates(sets: DataFrame, num: int, den: int) -> DataFrame:
 
     def pairs(rows: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for table in _groups(rows, 1):
-            yield list_pairs(*(np.asarray(table.column(c)).astype(np.int64) for c in range(6)), num, den)
+            token, leader, n, place, *keys = (np.asarray(c).astype(np.int64) for c in table.columns)
+            yield list_pairs(token, leader, keys, n, place, num, den)
 
     return (
-        sets.select("leader", "k1", "k2", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("place", "token"))
-        .select("token", "leader", "k1", "k2", "n", "place")
+        sets.select("leader", *KEYS, F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("place", "token"))
+        .select("token", "leader", "n", "place", *KEYS)
         .repartition("token")
         .sortWithinPartitions("token")
         .mapInArrow(lambda rows: _pair_batches(pairs(rows)), "a long, b long")
@@ -560,7 +565,7 @@ def jaccard_components(
         "jaccard-classes",
     )
     reps = rows.join(classes.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi")
-    for key in ("k1", "k2"):
+    for key in KEYS:
         reps = split_hot(reps, key)
     stars = durable(differences(docs, star_candidates(reps, num, den), k), "jaccard-stars")
     stars = stars.where(link).groupBy("b").agg(F.min("a").alias("a"), F.min_by("d", "a").alias("d"), F.max("nb").alias("nb"))
@@ -570,8 +575,7 @@ def jaccard_components(
             F.coalesce("a", "doc_id").alias("leader"),
             F.coalesce("d", F.lit(0)).alias("d"),
             "n",
-            "k1",
-            "k2",
+            *KEYS,
             "prefix",
             "bits",
         ),
@@ -622,13 +626,13 @@ def _members(docs, open_pairs, joined, led, link, k: int, num: int, den: int) ->
         apart = apart.join(known, side, "left")
     apart = apart.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "d")
     for side, member in (("a", "x"), ("b", "y")):
-        own = led.select(F.col("leader").alias(side), *(F.col(c).alias(f"{c}_{member}") for c in ("doc_id", "d", "n", "k2")))
+        own = led.select(F.col("leader").alias(side), *(F.col(c).alias(f"{c}_{member}") for c in ("doc_id", "d", "n", *KEYS[1:])))
         apart = apart.join(own, side)
     may = (F.col("d") - F.col("d_x") - F.col("d_y")) * (num + den) <= (F.col("n_x") + F.col("n_y")) * (den - num)
     fits = (F.col("n_x") * den >= F.col("n_y") * num) & (F.col("n_y") * den >= F.col("n_x") * num)
-    pairs = apart.where(may & fits & (F.col("k2_x") != F.col("k2_y"))).select(
-        F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b")
-    )
+    for key in KEYS[1:]:
+        may = may & (F.col(f"{key}_x") != F.col(f"{key}_y"))
+    pairs = apart.where(may & fits).select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b"))
     single = led.select(F.col("doc_id").alias("node"), "bits", F.col("n").alias("most"), F.lit(0).alias("radius"))
     pairs = durable(_bitmap_filter(pairs, single, num, den), "jaccard-members")
     return durable(differences(docs, pairs, k).where(link).select("a", "b"), "jaccard-member-links")
