@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import slices, small_batches
+from .common import lean, slices, small_batches
 
 #: Pieces kept encoded in a worker; the memory this takes is fixed.
 CACHE_PIECES = 200_000
@@ -238,5 +238,5 @@ def encode(
                 names=["id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    out = source.mapInArrow(run, f"id {id_type}, ids binary, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = source.mapInArrow(lean(run), f"id {id_type}, ids binary, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("id", id_col)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches
+from .common import lean, slices, small_batches
 
 K1, B = 1.2, 0.75
 #: A passage is retrieved for an item when its score reaches this share of the item's own score.
@@ -223,7 +223,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
     out = None
     for index in indexes(benchmark):
-        one = source.mapInArrow(searcher(index), schema)
+        one = source.mapInArrow(lean(searcher(index)), schema)
         out = one if out is None else out.unionByName(one)
     return out.withColumnRenamed("id", id_col)
 

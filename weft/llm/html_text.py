@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices, small_batches
+from .common import lean, slices, small_batches
 
 # Element names of the HTML standard, and words that name page furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -237,4 +237,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
                 names=["id", "url", "text", "n_chars"],
             )
 
-    return source.mapInArrow(run, f"id {id_type}, url string, text string, n_chars long").withColumnRenamed("id", id_col)
+    return source.mapInArrow(lean(run), f"id {id_type}, url string, text string, n_chars long").withColumnRenamed("id", id_col)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, slices, small_batches
+from .common import durable, lean, slices, small_batches
 from .components import components
 
 #: Shingles put last in the order because many sets hold them: at most so many, 8 bytes each.
@@ -33,7 +33,7 @@ from .components import components
 HEAVY_SHINGLES = 100_000
 HEAVY_LEAST = 8
 #: Minimum hashes of a set, each naming a family.
-KEYS = ("k1", "k2", "k3")
+KEYS = ("k1", "k2", "k3", "k4")
 #: A family with more sets is dealt out to several; the most frequent FAMILIES_SPLIT keys are looked at.
 FAMILY_SETS = 50_000
 FAMILIES_SPLIT = 1000
@@ -156,7 +156,7 @@ def heavy_shingles(docs: DataFrame, k: int, num: int, den: int, most: int = HEAV
 
     found = (
         docs.select("text")
-        .mapInArrow(run, "shingle long, n long")
+        .mapInArrow(lean(run), "shingle long, n long")
         .groupBy("shingle")
         .agg(F.sum("n").alias("n"))
         .orderBy(F.desc("n"), "shingle")
@@ -203,7 +203,7 @@ def describe(docs: DataFrame, k: int, num: int, den: int, heavy: np.ndarray) ->
 
     keys = ", ".join(f"{key} long" for key in KEYS)
     schema = f"doc_id long, n long, digest binary, {keys}, prefix array<long>, bits binary"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), schema)
 
 
 def _groups(rows: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -340,7 +340,7 @@ def star_candidates(sets: DataFrame, num: int, den: int) -> DataFrame:
                 if len(near) < 3:
                     break
 
-    return _families(sets, "k1").mapInArrow(lambda rows: _pair_batches(stars(rows)), "a long, b long")
+    return _families(sets, "k1").mapInArrow(lean(lambda rows: _pair_batches(stars(rows))), "a long, b long")
 
 
 def family_candidates(sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -370,7 +370,7 @@ def family_candidates(sets: DataFrame, num: int, den: int) -> DataFrame:
 
     out = None
     for at, key in enumerate(KEYS):
-        found = _families(sets, key, "leader", *KEYS[:at]).mapInArrow(finder(at), "a long, b long")
+        found = _families(sets, key, "leader", *KEYS[:at]).mapInArrow(lean(finder(at)), "a long, b long")
         out = out.unionByName(found) if out else found
     return out
 
@@ -454,7 +454,7 @@ def list_candidates(sets: DataFrame, num: int, den: int) -> DataFrame:
         .select("token", "leader", "n", "place", *KEYS)
         .repartition("token")
         .sortWithinPartitions("token")
-        .mapInArrow(lambda rows: _pair_batches(pairs(rows)), "a long, b long")
+        .mapInArrow(lean(lambda rows: _pair_batches(pairs(rows))), "a long, b long")
         .distinct()
     )
 
@@ -468,7 +468,7 @@ def needed_bits(ids: DataFrame) -> bytes:
             bits[np.asarray(batch.column(0))] = 1
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
 
-    parts = ids.select(_need("id").alias("at")).coalesce(4).mapInArrow(run, "bits binary").toArrow()
+    parts = ids.select(_need("id").alias("at")).coalesce(4).mapInArrow(lean(run), "bits binary").toArrow()
     out = np.zeros(NEED_BITS // 8, np.uint8)
     for value in parts.column(0).to_pylist():
         out |= np.frombuffer(value, np.uint8)
@@ -514,11 +514,11 @@ def differences(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     known = docs.where(F.col("doc_id").isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"), "text", _need("doc_id").alias("at")
     )
-    known = known.mapInArrow(sets, "id long, set binary")
+    known = known.mapInArrow(lean(sets), "id long, set binary")
     left = known.select(F.col("id").alias("a"), F.col("set").alias("sa"))
     right = known.select(F.col("id").alias("b"), F.col("set").alias("sb"))
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(
-        compare, "a long, b long, d long, na long, nb long"
+        lean(compare), "a long, b long, d long, na long, nb long"
     )
 
 
@@ -537,7 +537,7 @@ def _bitmap_filter(pairs: DataFrame, info: DataFrame, num: int, den: int) -> Dat
     )
     room = (F.col("radius_a") + F.col("radius_b")) * (num + den) + (F.col("most_a") + F.col("most_b")) * (den - num)
     both = pairs.join(a, "a").join(b, "b").select("a", "b", "bits_a", "bits_b", room.alias("room"))
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(lean(run), "a long, b long")
 
 
 def jaccard_components(

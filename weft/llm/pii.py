@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches
+from .common import lean, slices, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
@@ -478,4 +478,4 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays(columns, names=["id", *counts, "base_spans", "spans", "base_sha256", "n_added"])
 
     schema = f"id {id_type}, {', '.join(f'{c} long' for c in counts)}, base_spans string, spans string, base_sha256 string, n_added long"
-    return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return source.mapInArrow(lean(run), schema).withColumnRenamed("id", id_col)

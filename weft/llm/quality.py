@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import held_out, labelled_sample, slices, small_batches
+from .common import held_out, labelled_sample, lean, slices, small_batches
 
 #: Bound on the labelled rows that the classifier is fitted on.
 TRAIN_ROWS = 4000
@@ -223,7 +223,7 @@ def score(
                 names=["id", "held_out", "score", "predicted"],
             )
 
-    out = source.mapInArrow(run, f"id {id_type}, held_out boolean, score double, predicted int")
+    out = source.mapInArrow(lean(run), f"id {id_type}, held_out boolean, score double, predicted int")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -238,4 +238,4 @@ def keep_good(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
             scores = np.round(model.score([t or "" for t in part.column(place).to_pylist()]), 9)
             yield part.filter(pa.array(scores >= THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

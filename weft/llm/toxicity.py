@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import held_out, labelled_sample, slices, small_batches
+from .common import held_out, labelled_sample, lean, slices, small_batches
 
 #: Bound on the labelled rows that the lexicon and the weights are learned from.
 TRAIN_ROWS = 8000
@@ -329,5 +329,5 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 names=["id", "held_out", "score", "predicted"],
             )
 
-    out = source.mapInArrow(run, f"id {id_type}, held_out boolean, score double, predicted int")
+    out = source.mapInArrow(lean(run), f"id {id_type}, held_out boolean, score double, predicted int")
     return out.withColumnRenamed("id", id_col)
