@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, slices, small_batches
+from .common import give_back, lean, slices, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
@@ -356,7 +356,9 @@ def train(docs: DataFrame, max_texts: int = TRAIN_TEXTS, text_col: str = "text")
         .limit(max_texts)
         .collect()
     )
-    return learn([r["t"] for r in rows])
+    model = learn([r["t"] for r in rows])
+    give_back()
+    return model
 
 
 # --- decoding whole texts

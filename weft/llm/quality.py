@@ -10,10 +10,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import held_out, labelled_sample, lean, slices, small_batches
+from .common import give_back, held_out, labelled_sample, lean, slices, small_batches
 
 #: Bound on the labelled rows that the classifier is fitted on.
-TRAIN_ROWS = 4000
+TRAIN_ROWS = 2000
 #: Bytes of UTF-8 in a passage; a text's last passage may be shorter.
 PASSAGE_BYTES = 512
 THRESHOLD = 0.3
@@ -194,7 +194,9 @@ def learn(rows: list[tuple[str, int]], seed: int = 7) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> Model:
     """``learn`` on at most ``max_rows`` labelled rows that aren't held out."""
-    return learn(labelled_sample(docs, labels, "quality", max_rows))
+    model = learn(labelled_sample(docs, labels, "quality", max_rows))
+    give_back()
+    return model
 
 
 def score(

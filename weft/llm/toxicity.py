@@ -13,10 +13,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import held_out, labelled_sample, lean, slices, small_batches
+from .common import give_back, held_out, labelled_sample, lean, slices, small_batches
 
 #: Bound on the labelled rows that the lexicon and the weights are learned from.
-TRAIN_ROWS = 8000
+TRAIN_ROWS = 4000
 #: Words to either side of a hit that make its context.
 CONTEXT = 6
 #: Words that a worker remembers as harmless; the memory this takes is fixed.
@@ -221,13 +221,22 @@ def learn(rows: list[tuple[str, int]]) -> Model:
     n = Counter(y for _, y in rows)
     if not n[1] or not n[0]:
         return Model(line=(_logit(n[1], n[0]), 0.0, 0.0))
+    least = max(3, math.ceil(0.004 * n[1]))
     df: dict[int, Counter] = {0: Counter(), 1: Counter()}
     stem_df: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    for text, y in rows:
-        bare = {b for b in (EDGE.sub("", w) for w in set(tokens(text))) if len(b) >= 3 and b.isalpha()}
-        df[y].update(bare)
-        stem_df[y].update({b[:k] for b in bare for k in range(4, min(len(b), 10))})
-    least = max(3, math.ceil(0.004 * n[1]))
+    for side in (1, 0):
+        for text, y in rows:
+            if y != side:
+                continue
+            bare = {b for b in (EDGE.sub("", w) for w in set(tokens(text))) if len(b) >= 3 and b.isalpha()}
+            stems_of = {b[:k] for b in bare for k in range(4, min(len(b), 10))}
+            if side == 0:  # only what toxic texts have often is counted in the others
+                bare, stems_of = bare & often, stems_of & often_stems
+            df[side].update(bare)
+            stem_df[side].update(stems_of)
+        if side:
+            often = {w for w, c in df[1].items() if c >= least}
+            often_stems = {s for s, c in stem_df[1].items() if c >= least}
     share = n[1] / (n[0] + n[1])
 
     def keep(counts: dict[int, Counter], entry: str) -> bool:
@@ -300,7 +309,9 @@ def _fit_line(x: np.ndarray, y: np.ndarray, steps: int = 400) -> tuple[float, fl
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> Model:
     """``learn`` on at most ``max_rows`` labelled rows that aren't held out."""
-    return learn(labelled_sample(docs, labels, "toxic", max_rows))
+    model = learn(labelled_sample(docs, labels, "toxic", max_rows))
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
