@@ -33,7 +33,7 @@ from .components import components
 HEAVY_SHINGLES = 100_000
 HEAVY_LEAST = 8
 #: Minimum hashes of a set, each naming a family.
-KEYS = ("k1", "k2", "k3", "k4")
+KEYS = ("k1", "k2", "k3", "k4", "k5", "k6")
 #: A family with more sets is dealt out to several; the most frequent FAMILIES_SPLIT keys are looked at.
 FAMILY_SETS = 50_000
 FAMILIES_SPLIT = 1000
@@ -247,6 +247,13 @@ def split_hot(sets: DataFrame, key: str) -> DataFrame:
     return sets.join(F.broadcast(table), key, "left").withColumn(key, F.when(F.col("parts").isNotNull(), part).otherwise(F.col(key))).drop("parts")
 
 
+def shared_keys(sets: DataFrame) -> DataFrame:
+    """(doc_id, mask): a bit for each of the set's keys that another set has too; sets without any are left out."""
+    each = sets.select("doc_id", F.posexplode(F.array(*KEYS)).alias("at", "key"))
+    shared = each.groupBy("at", "key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("at", "key")
+    return each.join(shared, ["at", "key"], "left_semi").groupBy("doc_id").agg(F.bit_or(F.expr("shiftleft(1, at)")).alias("mask"))
+
+
 class Bitmaps:
     """The bitmaps of a family's sets, which ascend by size; one matrix for each length."""
 
@@ -359,7 +366,7 @@ def family_candidates(sets: DataFrame, num: int, den: int) -> DataFrame:
                     j = np.arange(i + 1, stop[i])
                     j = j[(leader[j] != leader[i]) & (ids[j] != ids[i])]
                     for other in known:
-                        j = j[other[j] != other[i]]
+                        j = j[(other[j] != other[i]) | (other[i] == 0)]
                     if len(j):
                         j = j[maps.least(i, j) * (num + den) <= (n[j] + n[i]) * (den - num)]
                     if len(j):
@@ -370,7 +377,8 @@ def family_candidates(sets: DataFrame, num: int, den: int) -> DataFrame:
 
     out = None
     for at, key in enumerate(KEYS):
-        found = _families(sets, key, "leader", *KEYS[:at]).mapInArrow(lean(finder(at)), "a long, b long")
+        own = sets.where("shared" if at == 0 else F.col(key) != 0)
+        found = _families(own, key, "leader", *KEYS[:at]).mapInArrow(lean(finder(at)), "a long, b long")
         out = out.unionByName(found) if out else found
     return out
 
@@ -387,7 +395,8 @@ def list_pairs(
     """Pairs of leaders from the lists of one or more tokens, as rows (smaller, larger).
 
     The arguments are the entries of whole lists in any order: token, star, families, set size and
-    the token's position in the set's prefix. Pairs of one family are left out.
+    the token's position in the set's prefix. Pairs of one family are left out; a key of 0, of any
+    but the first family, is none.
     """
     order = np.lexsort((*keys[:0:-1], leader, keys[0], token))
     token, leader, n, place, *keys = (v[order] for v in (token, leader, n, place, *keys))
@@ -420,7 +429,7 @@ def list_pairs(
         x, y = np.repeat(x, cells), np.repeat(y, cells)
         cell = np.arange(int(cells.sum())) - np.repeat(np.cumsum(cells) - cells, cells)
         i, j = starts[x] + cell // sizes[y], starts[y] + cell % sizes[y]
-        good = np.all([v[i] != v[j] for v in keys[1:]], axis=0) & (high[i] * den >= low[j] * num) & (high[j] * den >= low[i] * num)
+        good = np.all([(v[i] != v[j]) | (v[i] == 0) for v in keys[1:]], axis=0) & (high[i] * den >= low[j] * num) & (high[j] * den >= low[i] * num)
         good &= np.minimum(left[i], left[j]) * (num + den) >= num * (low[i] + low[j])
         if good.any():
             a, b = leader[i[good]], leader[j[good]]
@@ -445,9 +454,16 @@ def list_candidates(sets: DataFrame, num: int, den: int) -> DataFrame:
     """Distinct pairs of leaders (a < b), of no common family, that the index lists leave."""
 
     def pairs(rows: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        held: list[np.ndarray] = []
         for table in _groups(rows, 1):
             token, leader, n, place, *keys = (np.asarray(c).astype(np.int64) for c in table.columns)
-            yield list_pairs(token, leader, keys, n, place, num, den)
+            held.append(list_pairs(token, leader, keys, n, place, num, den))
+            if sum(map(len, held)) > 200_000:  # a pair comes up in many lists
+                held = [np.unique(np.concatenate(held), axis=0)]
+                if len(held[0]) > 100_000:
+                    yield held.pop()
+        if held:
+            yield np.unique(np.concatenate(held), axis=0)
 
     return (
         sets.select("leader", *KEYS, F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("place", "token"))
@@ -569,13 +585,18 @@ def jaccard_components(
         reps = split_hot(reps, key)
     stars = durable(differences(docs, star_candidates(reps, num, den), k), "jaccard-stars")
     stars = stars.where(link).groupBy("b").agg(F.min("a").alias("a"), F.min_by("d", "a").alias("d"), F.max("nb").alias("nb"))
+    has = lambda at: F.coalesce("mask", F.lit(0)).bitwiseAND(F.lit(1 << at)) != 0
     led = durable(
-        reps.join(stars.select(F.col("b").alias("doc_id"), "a", "d"), "doc_id", "left").select(
+        reps.join(stars.select(F.col("b").alias("doc_id"), "a", "d"), "doc_id", "left")
+        .join(shared_keys(reps), "doc_id", "left")
+        .select(
             "doc_id",
             F.coalesce("a", "doc_id").alias("leader"),
             F.coalesce("d", F.lit(0)).alias("d"),
             "n",
-            *KEYS,
+            has(0).alias("shared"),
+            KEYS[0],
+            *(F.when(has(at), F.col(key)).otherwise(0).alias(key) for at, key in enumerate(KEYS) if at),
             "prefix",
             "bits",
         ),
@@ -631,7 +652,7 @@ def _members(docs, open_pairs, joined, led, link, k: int, num: int, den: int) ->
     may = (F.col("d") - F.col("d_x") - F.col("d_y")) * (num + den) <= (F.col("n_x") + F.col("n_y")) * (den - num)
     fits = (F.col("n_x") * den >= F.col("n_y") * num) & (F.col("n_y") * den >= F.col("n_x") * num)
     for key in KEYS[1:]:
-        may = may & (F.col(f"{key}_x") != F.col(f"{key}_y"))
+        may = may & ((F.col(f"{key}_x") != F.col(f"{key}_y")) | (F.col(f"{key}_x") == 0))
     pairs = apart.where(may & fits).select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b"))
     single = led.select(F.col("doc_id").alias("node"), "bits", F.col("n").alias("most"), F.lit(0).alias("radius"))
     pairs = durable(_bitmap_filter(pairs, single, num, den), "jaccard-members")
