@@ -1,0 +1,210 @@
+"""Example tests of the similarity operators: hand-computed values and brute force."""
+
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from weft.functions import measures as M
+from weft.operators import evaluation as E
+from weft.operators import pairs as P
+from weft.operators import ranking as R
+from weft.operators import relations as L
+
+
+def profile(spark, rows):
+    cells = [(i, j, float(w)) for i, row in enumerate(rows) for j, w in enumerate(row) if w]
+    return spark.createDataFrame(cells, "i long, j long, w double"), spark.createDataFrame([(i,) for i in range(len(rows))], "node long")
+
+
+def pairs(spark, left, right=None):
+    a, an = profile(spark, left)
+    b, bn = profile(spark, right) if right else (a, an)
+    return P.all_pairs(an, a, bn, b, normalized=True)
+
+
+def value(df, column):
+    return {(r["q"], r["r"]): r["v"] for r in df.select("q", "r", column.alias("v")).collect()}
+
+
+def test_pathsim_and_hetesim_differ(spark):
+    p = pairs(spark, [[1, 1, 0], [1, 0, 0], [0, 1, 1]]).cache()
+    ps, hs = value(p, M.pathsim()), value(p, M.cosine())
+    assert ps[0, 1] == pytest.approx(2 / 3) and hs[0, 1] == pytest.approx(1 / math.sqrt(2))
+    assert all(ps[a, b] == ps[b, a] and hs[a, b] == pytest.approx(hs[b, a]) for a, b in ps)
+
+
+def test_equal_norms_agree(spark):
+    p = pairs(spark, [[1, 0], [0, 1], [1, 0]])
+    assert value(p, M.pathsim()) == value(p, M.cosine())
+
+
+def test_rectangular(spark):
+    h = value(pairs(spark, [[1, 0], [1, 1]], [[1, 0], [0, 1], [1, 1]]), M.cosine())
+    assert len(h) == 6 and h[0, 0] == pytest.approx(1) and h[0, 1] == 0 and h[1, 2] == pytest.approx(1)
+
+
+def test_empty_profiles_and_two_hammings(spark):
+    p = pairs(spark, [[0, 0], [0, 0], [2, 0], [5, 0]]).cache()
+    assert value(p, M.jaccard())[0, 1] == 0 and value(p, M.bray_curtis())[0, 1] == 0  # affinity 1
+    assert value(p, M.pathsim())[0, 1] == 0 and value(p, M.pathsim())[0, 0] == 0
+    assert value(p, M.pathsim_forced())[0, 0] == 1
+    assert value(p, M.value_hamming())[2, 3] == 1 and value(p, M.support_hamming())[2, 3] == 0
+    assert value(p, M.jaccard())[0, 2] == 1
+
+
+def test_identities_against_brute_force(spark):
+    rows = [[0, 3, 1, 0], [2, 3, 0, 0], [0, 0, 0, 0], [1, 1, 1, 1], [0, 3, 1, 5]]
+    p = pairs(spark, rows).cache()
+    l1, ham, bh = value(p, M.l1()), value(p, M.value_hamming()), value(p, F.col("bh"))
+    for a, x in enumerate(rows):
+        for b, y in enumerate(rows):
+            assert l1[a, b] == sum(abs(u - v) for u, v in zip(x, y))
+            assert ham[a, b] == sum(u != v for u, v in zip(x, y))
+            want = sum(math.sqrt(u / sum(x) * v / sum(y)) for u, v in zip(x, y)) if sum(x) and sum(y) else 0
+            assert bh[a, b] == pytest.approx(want)
+
+
+def test_adaptive_and_relative(spark):
+    df = spark.createDataFrame([(0, 0, 0.0, 0.0), (0, 1, 0.8, 0.3)], "q long, r long, j double, bc double")
+    a0, a5 = (value(df, M.adaptive_affinity(F.col("j"), F.col("bc"), F.lit(b))) for b in (0.0, 0.5))
+    assert a0[0, 1] == pytest.approx(0.7) and 0 <= a5[0, 1] < a0[0, 1] and a5[0, 0] == 1
+    assert value(df, M.relative_affinity(F.col("j"), F.col("bc"), F.lit(0.4)))[0, 0] == 1
+
+
+def test_lambda_and_alpha(spark):
+    one = spark.range(1).select(F.lit(0.5).alias("a"), F.lit(100.0).alias("b0"), F.lit(900.0).alias("b1"))
+    lam = one.select(M.lambda_of_alpha(F.col("a"), F.col("b0"), F.col("b1")).alias("x")).first()["x"]
+    assert lam == pytest.approx(0.9)
+    back = one.select(M.alpha_of_lambda(F.lit(lam), F.col("b0"), F.col("b1")).alias("x")).first()["x"]
+    assert back == pytest.approx(0.5)
+
+
+def test_interval_ranges(spark):
+    rows = [[1, 0], [4, 0], [2, 9], [0, 0], [3, 3]]
+    p = P.interval_ranges(pairs(spark, rows))
+    got = value(p, F.col("rng"))
+    for q in range(5):
+        for r in range(5):
+            inside = [v for row in rows[min(q, r) : max(q, r) + 1] for v in row]
+            assert got[q, r] == max(inside) - min(inside)
+    with pytest.raises(ValueError):
+        P.range_distance(p, 1.5)
+
+
+def test_chain_normalises_each_hop(spark):
+    a = spark.createDataFrame([(0, 0, 1.0), (0, 1, 3.0)], "i long, j long, w double")
+    b = spark.createDataFrame([(0, 0, 1.0), (0, 1, 1.0), (1, 1, 5.0)], "i long, j long, w double")
+    raw = {(r["i"], r["j"]): r["w"] for r in L.chain([a, b]).collect()}
+    hop = {(r["i"], r["j"]): r["w"] for r in L.chain([a, b], normalize=True).collect()}
+    assert raw == {(0, 0): 1, (0, 1): 16} and hop == {(0, 0): 0.125, (0, 1): 0.875}
+    assert L.chain([spark.createDataFrame([(0, 0, 0.0)], "i long, j long, w double"), b]).count() == 0
+    with pytest.raises(ValueError):
+        L.chain([])
+
+
+def test_guards(spark):
+    bad = spark.createDataFrame([(0, 0, -1.0), (0, 1, float("nan")), (1, 1, 2.0)], "i long, j long, w double")
+    assert L.violations(bad).first()["n_bad"] == 2
+    with pytest.raises(Exception, match="non-negative"):
+        L.require_nonnegative(bad).collect()
+    assert L.reverse_differences(bad.where("i = 1"), L.transpose(bad.where("i = 1"))).first()["n_differences"] == 0
+
+
+def test_top_k_ties_and_bounds(spark):
+    s = spark.createDataFrame([(0, 30, 0.5), (0, 10, 0.5), (0, 20, 0.7), (0, 40, 0.5)], "q long, r long, score double")
+    assert [r["r"] for r in R.top_k(s, 3).orderBy("rank").collect()] == [20, 10, 30]
+    with pytest.raises(ValueError):
+        R.top_k(s, 0)
+    with pytest.raises(ValueError):
+        R.require_k(5, s)
+
+
+def test_calibration(spark):
+    s = spark.createDataFrame([(0, i, v) for i, v in enumerate([0.2, 0.8, 0.2, 0.5])], "q long, r long, score double")
+    rank = {r["r"]: r["calibrated"] for r in R.rank_calibrate(s).collect()}
+    assert rank[0] == rank[2] == pytest.approx(0.5 / 3) and rank[1] == 1 and rank[3] == pytest.approx(2 / 3)
+    span = [r["calibrated"] for r in R.minmax_calibrate(s).collect()]
+    assert min(span) == 0 and max(span) == 1
+    assert R.rank_calibrate(s.limit(1)).first()["calibrated"] == 0
+
+
+def test_votes(spark):
+    labels = spark.createDataFrame([(0, 0), (1, 1), (2, 1), (3, 0)], "node long, label long")
+    near = spark.createDataFrame([(9, 2, 1), (9, 0, 2), (9, 1, 3), (9, 3, 4), (8, 77, 1)], "q long, r long, rank int")
+    got = {r["q"]: r["pred"] for r in R.majority_vote(near, labels).collect()}
+    assert got == {9: 1, 8: -1}
+
+
+def test_prior_correction_flips(spark):
+    labels = spark.createDataFrame([(i, 0) for i in range(9)] + [(9, 1)], "node long, label long")
+    near = spark.createDataFrame([(0, 0, 1, 0.9), (0, 1, 2, 0.8), (0, 2, 3, 0.7), (0, 9, 4, 0.6)], "q long, r long, rank int, score double")
+    classes = spark.createDataFrame([(0, 0.9), (1, 0.1)], "label long, prior double")
+    assert R.weighted_vote(near, labels, classes, 4, 0.0, 0.0).first()["pred"] == 0
+    assert R.weighted_vote(near, labels, classes, 4, 0.0, 1.0).first()["pred"] == 1
+
+
+def test_multilabel_is_never_empty(spark):
+    bits = spark.createDataFrame([(n, c, int(n == c)) for n in range(3) for c in range(3)], "node long, class long, bit int")
+    prev = bits.groupBy("class").agg(F.avg("bit").alias("share"))
+    near = spark.createDataFrame([(0, 0, 0.9), (0, 1, 0.8), (1, 0, 0.0), (1, 1, 0.0)], "q long, r long, score double")
+    out = R.multilabel_predict(near, bits, prev, 1.0, 0.0, 0.6)
+    assert out.count() == 6 and out.groupBy("q").agg(F.sum("pred").alias("n")).where("n = 0").count() == 0
+
+
+def test_metrics_universe(spark):
+    pred = spark.createDataFrame([(0, 0), (0, 0), (1, 2)], "truth long, pred long")
+    union = E.classification_metrics(pred).first()
+    truth = E.classification_metrics(pred, universe="truth").first()
+    assert union["macro_f1"] == pytest.approx(1 / 3) and truth["macro_f1"] == pytest.approx(0.5)
+    assert union["accuracy"] == pytest.approx(2 / 3)
+
+
+def test_ndcg_by_hand(spark):
+    near = spark.createDataFrame([(9, 0, 2), (9, 1, 1)], "q long, r long, rank int")
+    labels = spark.createDataFrame([(9, 1), (0, 1), (1, 0), (2, 1)], "node long, label long")
+    refs = spark.createDataFrame([(0,), (1,), (2,)], "node long")
+    got = E.ndcg(near, labels, refs, 2).first()["ndcg"]
+    assert got == pytest.approx((1 / math.log2(3)) / (1 + 1 / math.log2(3)))
+
+
+def test_simplex_entropy_and_folds(spark):
+    grid = E.simplex(spark, 3, 4).collect()
+    assert len({(r["w0"], r["w1"], r["w2"]) for r in grid}) == 15 and all(r["w0"] + r["w1"] + r["w2"] == 1 for r in grid)
+    cells = [("a", q, r, v) for q, row in enumerate([[0.8, 0.1], [0.2, 0.7], [0.4, 0.3]]) for r, v in enumerate(row)]
+    cells += [("b", q, r, v) for q, row in enumerate([[0.3, 0.5], [0.6, 0.2], [0.1, 0.9]]) for r, v in enumerate(row)]
+    w = [r["weight"] for r in R.entropy_weights(spark.createDataFrame(cells, "path string, q long, r long, score double")).collect()]
+    assert min(w) >= 0 and sum(w) == pytest.approx(1)
+    rows = "100 110 010 011 001 101 100 010 001 110 011 101".split()
+    bits = spark.createDataFrame([(i, c, int(b)) for i, s in enumerate(rows) for c, b in enumerate(s)], "node long, class long, bit int")
+    one, two = (sorted((r["node"], r["fold"]) for r in E.multilabel_folds(bits, 3, 20260805).collect()) for _ in range(2))
+    assert one == two and [n for n, _ in one] == list(range(12)) and {f for _, f in one} == {0, 1, 2}
+    with pytest.raises(ValueError):
+        E.multilabel_folds(bits, 13, 1)
+
+
+def test_sampling():
+    a, b = (E.sample_ids(list(range(100)), 50, 3434) for _ in range(2))
+    assert a == b and len(set(a)) == 50
+
+
+def test_text_sources(spark, tmp_path):
+    from weft.sources import hgb
+
+    (tmp_path / "node.dat").write_text("0\ta\t0\n1\tb\t0\n2\tc\t1\tmore\n")
+    (tmp_path / "link.dat").write_text("0\t2\t0\t1.0\n0\t2\t0\t2.0\n1\t2\t0\t1.0\n")
+    (tmp_path / "info.dat").write_text('{"link.dat": {"0": {"start": "0", "end": "1", "meaning": "x"}}, "label.dat": {"0": {"0": "p"}}}')
+    (tmp_path / "label.dat").write_text("0\ta\t0\t0\n1\tb\t0\t1\n")
+    nodes = hgb.read_nodes(spark, str(tmp_path / "node.dat"))
+    shifts = hgb.type_shifts(nodes)
+    assert [(r["n"], r["shift"], r["contiguous"]) for r in shifts.orderBy("node_type").collect()] == [(2, 0, True), (1, 2, True)]
+    rel = hgb.local_edges(hgb.read_edges(spark, str(tmp_path / "link.dat")), hgb.read_catalog(spark, str(tmp_path / "info.dat")), shifts)
+    assert sorted((r["i"], r["j"], r["w"]) for r in rel.collect()) == [(0, 0, 3.0), (1, 0, 1.0)]
+    hgb.write_relations(rel, str(tmp_path / "rel"))
+    assert hgb.read_relation(spark, str(tmp_path / "rel"), 0).count() == 2
+    assert hgb.read_labels(spark, str(tmp_path / "label.dat"), 0, 2, False).count() == 2
+    with pytest.raises(Exception, match="bad label"):
+        hgb.read_labels(spark, str(tmp_path / "label.dat"), 0, 1, False).collect()
+    ids = lambda v: spark.createDataFrame(list(enumerate(v)), "pos long, id long")
+    prints = [hgb.fingerprint(ids(v)).first()["fingerprint"] for v in ([1, 2, 3], [3, 2, 1], [4, 5, 6], [1, 2, 3])]
+    assert prints[0] == prints[3] and len(set(prints)) == 3
