@@ -349,13 +349,12 @@ def train(docs: DataFrame, max_texts: int = TRAIN_TEXTS, text_col: str = "text")
     Texts are taken by the smallest hash of the whole text.
     """
     text = F.col(text_col)
-    rows = (
-        docs.where(text.rlike("[0-9@]"))
-        .select(F.xxhash64(text).alias("h"), text.alias("t"))
-        .orderBy("h")
-        .limit(max_texts)
-        .collect()
-    )
+    hashed = docs.where(text.rlike("[0-9@]")).select(F.xxhash64(text).alias("h"), text.alias("t"))
+    chosen = [r["h"] for r in hashed.select("h").distinct().orderBy("h").limit(max_texts).collect()]
+    if not chosen:
+        return learn([])
+    # hashes first: ordering the texts themselves would send the driver so many from every task
+    rows = hashed.where(F.col("h") <= chosen[-1]).groupBy("h").agg(F.first("t").alias("t")).orderBy("h").collect()
     model = learn([r["t"] for r in rows])
     give_back()
     return model
