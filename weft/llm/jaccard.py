@@ -611,11 +611,12 @@ def jaccard_components(
     edges = checked.where(link).select("a", "b").unionByName(
         led.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))
     )
+    found = components(edges)
     open_pairs = _open_pairs(checked, reach, link, num, den)
     if not open_pairs.isEmpty():
-        more = _members(docs, open_pairs, components(edges), led, link, k, num, den)
-        edges = edges.unionByName(more)
-    found = components(edges)
+        more = _members(docs, open_pairs, found, led, link, k, num, den)
+        if not more.isEmpty():  # what is joined already counts as one star each
+            found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     return (
         rows.join(classes.select("digest", "rep"), "digest", "left")
         .join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
