@@ -22,8 +22,6 @@ from .common import lean, slices, small_batches
 #: Pieces kept encoded in a worker; the memory this takes is fixed.
 CACHE_PIECES = 200_000
 CACHE_PAIRS = 300_000
-#: Lengths in bytes at which the table of a piece's beginning is kept for other pieces.
-BEGINNINGS = (9, 6)
 #: Longer pieces are encoded but not kept.
 CACHE_PIECE_CHARS = 64
 
@@ -37,10 +35,15 @@ class Vocabulary:
         self.longest = max(map(len, ranks), default=1)
         self._halves: dict[int, tuple[int, int] | None] = {}
         self.pairs: dict[int, bool] = {}
-        #: Every end of a token, with the token where the end is one that merging reaches, else -1.
-        #: A byte string that is missing here ends no token, nor does a longer one.
-        self.ends = {word[i:]: -1 for word in ranks for i in range(len(word))}
-        self.ends.update({word: rank for word, rank in ranks.items() if self.reachable(rank)})
+        self.sizes = {rank: len(word) for word, rank in ranks.items()}
+        #: States of an automaton over the tokens: what is read last and begins a token, numbered
+        #: when it is first met. State 0 has read nothing that counts.
+        self.begins = {word[:i] for word in ranks for i in range(len(word) + 1)} | {b""}
+        self.numbers: dict[bytes, int] = {b"": 0}
+        self.names = [b""]
+        self.steps: dict[int, int] = {}
+        #: The tokens that merging reaches and that end in each state, longest first, with their lengths.
+        self.tails: list[tuple[tuple[int, int], ...]] = [()]
 
     @classmethod
     def from_file(cls, path: str) -> Vocabulary:
@@ -65,6 +68,27 @@ class Vocabulary:
     def reachable(self, token: int) -> bool:
         return len(self.tokens[token]) == 1 or self.halves(token) is not None
 
+    def step(self, key: int) -> int:
+        """The state after ``key``, which is a state and a byte; kept in ``steps``, of a fixed size at most."""
+        name = self.names[key >> 8] + bytes((key & 255,))
+        while name not in self.begins:
+            name = name[1:]
+        if name not in self.numbers:
+            self.numbers[name] = len(self.names)
+            self.names.append(name)
+            found = ((len(name) - i, self.ranks.get(name[i:])) for i in range(len(name)))
+            self.tails.append(tuple((n, t) for n, t in found if t is not None and self.reachable(t)))
+        self.steps[key] = self.numbers[name]
+        return self.numbers[name]
+
+    def state(self, data: bytes) -> int:
+        """The state after ``data``; no more than its last ``longest`` bytes matter."""
+        state = 0
+        for byte in data[-self.longest :]:
+            key = state << 8 | byte
+            state = self.steps[key] if key in self.steps else self.step(key)
+        return state
+
     def joins(self, left: int, right: int) -> bool:
         """Whether merging leaves ``left`` and ``right`` apart where they meet.
 
@@ -98,38 +122,35 @@ class Vocabulary:
 class Prefixes:
     """The last token of each prefix of a byte string, kept open for appends and edits."""
 
-    def __init__(self, vocabulary: Vocabulary, data: bytes = b"", begun: tuple[bytes, list[int]] = (b"", [-1])):
-        """``begun``: a beginning of ``data`` with its table, if one is at hand."""
-        self.vocabulary, self.data, self.last = vocabulary, begun[0], begun[1][:]
-        self.append(data[len(begun[0]) :])
+    def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
+        self.vocabulary, self.data, self.last, self.state = vocabulary, b"", [-1], 0
+        self.append(data)
 
-    def _fill(self, begin: int, stop: int) -> Iterator[int]:
-        """Find the last token of the prefixes from ``begin`` to ``stop`` bytes, one by one."""
-        data, last, v = self.data, self.last, self.vocabulary
-        ends, pairs = v.ends, v.pairs
+    def _fill(self, begin: int, stop: int) -> None:
+        """Find the last token of the prefixes from ``begin`` to ``stop`` bytes."""
+        data, last, v, state = self.data, self.last, self.vocabulary, self.state
+        steps, tails, pairs = v.steps, v.tails, v.pairs
         for end in range(begin, stop + 1):
-            start, fits = end - 1, []
-            while start >= 0 and (token := ends.get(data[start:end])) is not None:
-                if token >= 0:
-                    fits.append((start, token))
-                start -= 1
-            for start, token in reversed(fits):
-                if start == 0:
+            key = state << 8 | data[end - 1]
+            state = steps.get(key)
+            if state is None:
+                state = v.step(key)
+            for size, token in tails[state]:
+                if size == end:
                     break
-                fit = pairs.get(last[start] << 32 | token)
-                if fit or fit is None and v.joins(last[start], token):
+                fit = pairs.get(last[end - size] << 32 | token)
+                if fit or fit is None and v.joins(last[end - size], token):
                     break
             else:
                 raise ValueError(f"no token for the byte {data[end - 1 : end]!r}")
             last.append(token)
-            yield end
+        self.state = state
 
     def append(self, more: bytes) -> None:
         """Extend the string; nothing that is stored changes."""
         begin = len(self.data)
         self.data += more
-        for _ in self._fill(begin + 1, len(self.data)):
-            pass
+        self._fill(begin + 1, len(self.data))
 
     def replace(self, start: int, stop: int, new: bytes) -> int:
         """Replace data[start:stop]; returns how many prefixes were computed anew.
@@ -140,21 +161,24 @@ class Prefixes:
         old, shift = self.last, len(new) - (stop - start)
         self.data = self.data[:start] + new + self.data[stop:]
         self.last = old[: start + 1]
+        self.state = self.vocabulary.state(self.data[max(0, start - self.vocabulary.longest) : start])
         same = 0
-        for end in self._fill(start + 1, len(self.data)):
+        for end in range(start + 1, len(self.data) + 1):
+            self._fill(end, end)
             past = end - len(new) > start
             same = same + 1 if past and old[end - shift] == self.last[end] else 0
             if same >= self.vocabulary.longest:
                 self.last += old[end - shift + 1 :]
+                self.state = self.vocabulary.state(self.data[-self.vocabulary.longest :])
                 return end - start
         return len(self.data) - start
 
     def ids(self) -> list[int]:
-        out, end = [], len(self.data)
+        out, end, sizes = [], len(self.data), self.vocabulary.sizes
         while end:
             token = self.last[end]
             out.append(token)
-            end -= len(self.vocabulary.tokens[token])
+            end -= sizes[token]
         return out[::-1]
 
 
@@ -164,31 +188,20 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary = vocabulary
         self.split = regex.compile(pattern).findall
+        #: Encoded pieces: those used of late, and those used before them.
         self.kept: dict[str, bytes] = {}
-        #: Tables of the beginnings that pieces share, by their bytes.
-        self.begun: dict[bytes, list[int]] = {}
-
-    def table(self, data: bytes) -> Prefixes:
-        start, begun = b"", [-1]
-        for n in BEGINNINGS:
-            if len(data) > n and (known := self.begun.get(data[:n])):
-                start, begun = data[:n], known
-                break
-        out = Prefixes(self.vocabulary, data, (start, begun))
-        for n in BEGINNINGS:
-            if len(start) < n < len(data):
-                if len(self.begun) >= CACHE_PIECES:
-                    self.begun.clear()
-                self.begun[data[:n]] = out.last[: n + 1]
-        return out
+        self.older: dict[str, bytes] = {}
 
     def piece(self, piece: str) -> bytes:
-        data = piece.encode("utf-8", "surrogatepass")
-        whole = self.vocabulary.ranks.get(data)
-        ids = [whole] if whole is not None else self.table(data).ids()
-        packed = struct.pack(f"<{len(ids)}I", *ids)
+        packed = self.older.get(piece)
+        if packed is None:
+            data = piece.encode("utf-8", "surrogatepass")
+            whole = self.vocabulary.ranks.get(data)
+            ids = [whole] if whole is not None else Prefixes(self.vocabulary, data).ids()
+            packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= CACHE_PIECE_CHARS:
-            if len(self.kept) >= CACHE_PIECES:
+            if len(self.kept) >= CACHE_PIECES // 2:
+                self.older = self.kept.copy()
                 self.kept.clear()
             self.kept[piece] = packed
         return packed
