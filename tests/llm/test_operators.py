@@ -214,6 +214,20 @@ def test_quality_held_out(spark):
     assert held_out_accuracy(spark, "op7_quality_classifier", "quality") >= 0.95
 
 
+def test_quality_is_the_same_alone_and_in_any_batch():
+    r = random.Random(3)
+    texts = ["Alpha beta.", "Gamma", "", "  Gamma", "!", "!!", "a\n", " ", "aaaa", "beta. beta.", "x" * 511 + " y" * 300, "é" * 700]
+    texts += ["".join(r.choice("ab !.\n") for _ in range(r.randint(0, 40))) for _ in range(40)]
+    model = quality.learn([(t, i % 2) for i, t in enumerate(texts)])
+    alone = [quality.passages([t])[0] for t in texts]
+    for order in (range(len(texts)), r.sample(range(len(texts)), len(texts)), [1, 1, 1, 4, 4, 5, 7, 3]):
+        x, owner = quality.passages([texts[i] for i in order])
+        scores = model.score([texts[i] for i in order]).tolist()
+        for at, i in enumerate(order):
+            assert (x[owner == at] == alone[i]).all()
+            assert scores[at] == pytest.approx(model.score([texts[i]])[0], abs=1e-9)
+
+
 def test_toxicity_misspelling_and_quotation():
     filler = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
     r = random.Random(4)

@@ -45,7 +45,8 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
     A passage's features are the shares of character classes, how often a character recurs at
     each lag, the shares of doubled marks and of words that repeat the word before, the mean
-    word length and the passage's length. A text without characters has one passage of zeros.
+    word length and the passage's length. No feature looks past its text, so a text's passages
+    are the same alone and in any batch. A text without characters has one passage of zeros.
     """
     blobs = [t.encode("utf-8", "surrogatepass") for t in texts]
     sizes = np.array([len(b) for b in blobs], np.int64)
@@ -64,20 +65,24 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     out[:, :CLASSES] = np.bincount(where * CLASSES + kind, minlength=len(lengths) * CLASSES).reshape(-1, CLASSES) / size
     full = lengths > 0
     starts = (np.cumsum(lengths) - lengths)[full]
+    # bytes of the same text before each byte, counted up to the longest lag
+    begun = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    before = np.minimum(np.arange(len(buf)) - begun, max(LAGS)).astype(np.uint8)
     shared = np.empty(len(buf), np.uint8)
     for k, lag in enumerate(LAGS):
         shared[:] = 0
         if len(buf) > lag:
             np.equal(buf[lag:], buf[:-lag], out=shared[lag:].view(bool))
+            shared &= before >= lag
         out[full, CLASSES + k] = np.add.reduceat(shared, starts, dtype=np.int32) / size[full, 0]
     mark = (kind >= 6) & (kind <= 9)
     twice = np.zeros(len(buf), np.uint8)
-    twice[1:] = mark[1:] & (buf[1:] == buf[:-1])
+    twice[1:] = mark[1:] & (buf[1:] == buf[:-1]) & (before[1:] > 0)
     at = CLASSES + len(LAGS)
     out[full, at] = np.add.reduceat(twice, starts, dtype=np.int32) / size[full, 0]
     # words: runs of bytes that are no white space
     white = (kind == 3) | (kind == 4)
-    begins = np.flatnonzero(~white & np.r_[True, white[:-1]])
+    begins = np.flatnonzero(~white & (np.r_[True, white[:-1]] | (before == 0)))
     if len(begins):
         ends = np.r_[begins[1:], len(buf)]
         place = np.zeros(len(buf), np.uint64)  # from 1 in each word
@@ -90,6 +95,7 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         again[1:] = (word[1:] == word[:-1]) & (owner[holder[1:]] == owner[holder[:-1]])
         words = np.bincount(holder, minlength=len(lengths))
         out[:, at + 1] = np.bincount(holder, again, minlength=len(lengths)) / np.maximum(words, 1)
+        ends = np.minimum(ends, np.cumsum(sizes)[owner[holder]])
         letters = np.bincount(holder, np.minimum(ends - begins, 40), minlength=len(lengths))
         out[:, at + 2] = letters / np.maximum(words, 1) / 10
     out[:, at + 3] = np.log1p(lengths) / math.log(PASSAGE_BYTES)
