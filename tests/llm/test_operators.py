@@ -333,6 +333,19 @@ def test_html():
     assert html_text.main_text("") == "" and html_text.main_text("<nav>x</nav>") == ""
 
 
+def test_html_keeps_every_content_node():
+    long = [f"Paragraph {i} goes on, and on, for a while; it has text to read." for i in range(10)]
+    ps = ["".join(f"<p>{t}</p>" for t in part) for part in (long[:8], long[8:])]
+    both, ad, foot = "\n".join(long), "<div class=ad>no, no.</div>", "<footer>no</footer>"
+    for box in ("div", "section", "article"):
+        page = f"<body><nav>no</nav><div id=c><{box}>{ps[0]}</{box}>{ad}<{box}>{ps[1]}</{box}></div>{foot}"
+        assert html_text.main_text(page) == both
+    body = f"<div class=body>{ps[0]}{ps[1]}</div>"
+    assert html_text.main_text(f"<body><div class=post><h1>T</h1>{body}</div>{foot}") == f"T\n{both}"
+    page = f"<body>{ad}<div class=post><h1>T</h1><div class=by>A</div><div class=on>B</div>{body}</div>{foot}"
+    assert html_text.main_text(page) == f"T\nA\nB\n{both}"
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("<>/pbdiv a=\"'&;!-", max_size=60))
 def test_html_never_fails(page):

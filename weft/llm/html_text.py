@@ -61,8 +61,6 @@ WORD = re.compile(r"[a-z]+")
 #: Half width of the smoothing kernel and the factor on the spread that a path must reach.
 SMOOTHING = (0.25, 0.5, 0.25)
 SPREAD_FACTOR = 0.5
-#: The content's element holds at least this share of the selected text.
-CONTENT_SHARE = 0.75
 
 
 class Element:
@@ -179,13 +177,23 @@ def path_scores(found: list[tuple[Element, str]]) -> list[float]:
     ]
 
 
+def common(a: Element, b: Element) -> Element:
+    """The deepest element that holds both."""
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.parent
+        else:
+            b = b.parent
+    return a
+
+
 def main_text(page: str) -> str:
     """The article's blocks joined by line ends.
 
     Blocks in page furniture are out. Of the others, those whose smoothed path ratio reaches
-    SPREAD_FACTOR standard deviations are the content nodes. The deepest element that holds
-    CONTENT_SHARE of their text, or the article or main element around it, is the article, and
-    all its blocks that aren't furniture are returned, short ones too.
+    SPREAD_FACTOR standard deviations, and those of an h1, are the content nodes. The deepest
+    element that holds all of them, or the article or main element around it, is the article,
+    and all its blocks that aren't furniture are returned, short ones too.
     """
     found = [(e, text) for e, text in blocks(page) if not e.furniture]
     if not found:
@@ -194,15 +202,10 @@ def main_text(page: str) -> str:
     mean = sum(scores) / len(scores)
     spread = (sum((s - mean) ** 2 for s in scores) / len(scores)) ** 0.5
     bar = min(SPREAD_FACTOR * spread, max(scores))
-    held: dict[Element, int] = {}
-    total = 0
-    for (e, text), s in zip(found, scores, strict=True):
-        if s >= bar:
-            total += len(text)
-            while e:
-                held[e] = held.get(e, 0) + len(text)
-                e = e.parent
-    best = max((e for e, n in held.items() if n >= CONTENT_SHARE * total), key=lambda e: (e.depth, held[e]))
+    best = None
+    for (e, _), s in zip(found, scores, strict=True):
+        if s >= bar or "h1" in e.path.split("/"):
+            best = common(best, e) if best else e
     if best.tag in BLOCK and best.tag not in ("article", "main", "body", "div", "section", "td") and best.parent:
         best = best.parent  # a single paragraph: what stands beside it belongs to it
     around = best
