@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,3 +209,34 @@ def test_text_sources(spark, tmp_path):
     ids = lambda v: spark.createDataFrame(list(enumerate(v)), "pos long, id long")
     prints = [hgb.fingerprint(ids(v)).first()["fingerprint"] for v in ([1, 2, 3], [3, 2, 1], [4, 5, 6], [1, 2, 3])]
     assert prints[0] == prints[3] and len(set(prints)) == 3
+
+
+def test_multilabel_grid_by_hand(spark):
+    rng = np.random.default_rng(4)
+    n, folds = 24, np.arange(24) % 4
+    bits = (rng.random((n, 3)) < 0.4).astype(int)
+    views = rng.integers(-2, 9, (2, n, n)) / 8
+    rows = [(g, int(folds[q]), q, r, float(views[g, q, r])) for g in range(2) for q in range(n) for r in range(n) if folds[q] != folds[r]]
+    scored = spark.createDataFrame(rows, "g long, fold int, q long, r long, score double")
+    known = spark.createDataFrame([(i, c, int(bits[i, c]), int(folds[i])) for i in range(n) for c in range(3)], "node long, class long, bit int, fold int")
+    grid = ((2, 5), (0.0, 1.0, 2.0), (0.0, 1.0), (0.3, 0.6))
+    got = E.evaluate_multilabel_grid(scored, known, *grid).collect()
+    assert len(got) == 48
+    for row in got:
+        found = []
+        for f in range(4):
+            tests, refs = np.flatnonzero(folds == f), np.flatnonzero(folds != f)
+            pred = []
+            for q in tests:
+                near = sorted(refs, key=lambda r: (-views[row["g"], q, r], r))[: row["k"]]
+                w = np.maximum(views[row["g"], q, near], 0) ** row["gamma"]
+                w = w if w.sum() > 1e-8 else np.ones(len(near))
+                s = (w[:, None] * bits[near]).sum(0) / w.sum() / np.maximum(bits[refs].mean(0), 1e-12) ** row["prior"]
+                s = np.round(s / s.max() if s.max() > 0 else s * 0, 12)
+                pred.append(s >= row["threshold"] if (s >= row["threshold"]).any() else np.arange(3) == s.argmax())
+            pred, truth = np.array(pred).astype(int), bits[tests]
+            tp, both = (pred * truth).sum(0), pred.sum(0) + truth.sum(0)
+            macro = np.mean([2 * t / b if b else 0 for t, b in zip(tp, both, strict=True)])
+            found.append((macro, 2 * tp.sum() / both.sum(), (pred == truth).all(1).mean()))
+        want = [*np.mean(found, 0), np.std([m for m, _, _ in found], ddof=1)]
+        assert [row[c] for c in ("macro_f1", "micro_f1", "subset_accuracy", "macro_f1_std")] == pytest.approx(want)

@@ -3,6 +3,7 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weft.plans import queries as Q
 
@@ -36,3 +37,12 @@ def test_matches_sql(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - set(Q.SQL)))
 def test_rows(spark, name):
     assert Q.QUERIES[name](spark, DATA).count() > 0
+
+
+def test_multilabel_pipeline_takes_the_whole_grid_from_training(spark, monkeypatch):
+    grid = Q.multilabel_pipeline_grid(spark, DATA).select("g", "k", "gamma", "prior", "threshold").distinct()
+    assert grid.count() == 480
+    own, want = Q.label_bits, Q.multilabel_pipeline_select(spark, DATA).collect()
+    hidden = F.when(Q.is_test("node"), 1 - F.col("bit")).otherwise(F.col("bit"))
+    monkeypatch.setattr(Q, "label_bits", lambda s, d: own(s, d).withColumn("bit", hidden))
+    assert Q.multilabel_pipeline_select(spark, DATA).collect() == want

@@ -113,6 +113,49 @@ def evaluate_grid(scored: DataFrame, labels: DataFrame, k: int) -> DataFrame:
     return per.groupBy("g").agg(F.avg("macro_f1").alias("macro_f1"), F.avg("accuracy").alias("accuracy"))
 
 
+def evaluate_multilabel_grid(
+    scored: DataFrame, bits: DataFrame, ks: tuple[int, ...], gammas: tuple[float, ...], priors: tuple[float, ...], thresholds: tuple[float, ...]
+) -> DataFrame:
+    """Every setting of k, gamma, prior power and threshold on scores (g, fold, q, r, score): macro and micro F1
+    and subset accuracy averaged over folds, and macro F1's deviation over folds, per setting.
+
+    ``bits`` (node, class, bit, fold) has the suppliers that may be references, each with its own fold; a
+    fold's prevalence is taken over the other folds. A prediction is that of ``multilabel_predict``."""
+    each = lambda name, values: F.explode(F.array(*(F.lit(v) for v in values))).alias(name)
+    by = ("g", "fold", "k", "gamma")
+    near = top_k(scored, max(ks), by=("g", "fold", "q")).select("*", each("k", ks)).where("rank <= k").select("*", each("gamma", gammas))
+    w = F.when(F.col("gamma") == 0, 1.0).otherwise(F.pow(F.greatest("score", F.lit(0.0)), "gamma"))
+    total = F.sum("_w").over(Window.partitionBy(*by, "q"))
+    near = near.withColumn("_w", w).withColumn("_w", F.when(F.abs(total) <= 1e-8, 1.0).otherwise(F.col("_w")))
+    own = near.join(bits.select(F.col("node").alias("r"), "class", "bit"), "r")
+    mean = own.groupBy(*by, "q", "class").agg((F.sum(F.col("_w") * F.col("bit")) / F.sum("_w")).alias("s"))
+    folds = bits.select("fold").distinct()
+    rest = bits.withColumnRenamed("fold", "_own").join(F.broadcast(folds)).where("_own <> fold")
+    share = rest.groupBy("fold", "class").agg(F.avg(F.col("bit").cast("double")).alias("share"))
+    every = mean.join(F.broadcast(share), ["fold", "class"]).select("*", each("prior", priors))
+    power = F.when(F.col("prior") == 0, 1.0).otherwise(F.pow(F.greatest("share", F.lit(1e-12)), "prior"))
+    by = (*by, "prior")
+    q = Window.partitionBy(*by, "q")
+    every = every.withColumn("s", F.col("s") / power).withColumn("_m", F.max("s").over(q))
+    every = every.withColumn("s", F.round(F.when(F.col("_m") > 0, F.col("s") / F.col("_m")).otherwise(0.0), 12))
+    every = every.withColumn("best", F.row_number().over(q.orderBy(F.desc("s"), "class")) == 1).select("*", each("threshold", thresholds))
+    by = (*by, "threshold")
+    hit = (F.col("s") >= F.col("threshold")).cast("int")
+    none = F.max(hit).over(Window.partitionBy(*by, "q")) == 0
+    pred = every.withColumn("pred", F.when(none & F.col("best"), 1).otherwise(hit))
+    pred = pred.join(bits.select(F.col("node").alias("q"), "class", "bit"), ["q", "class"])
+    both = lambda a, b: F.sum(((F.col("bit") == a) & (F.col("pred") == b)).cast("long"))
+    per = pred.groupBy(*by, "class").agg(both(1, 1).alias("tp"), both(0, 1).alias("fp"), both(1, 0).alias("fn"))
+    f1 = lambda tp, fp, fn: F.coalesce(F.try_divide(2.0 * tp, 2.0 * tp + fp + fn), F.lit(0.0))
+    score = per.groupBy(*by).agg(F.avg(f1(F.col("tp"), F.col("fp"), F.col("fn"))).alias("macro_f1"), f1(F.sum("tp"), F.sum("fp"), F.sum("fn")).alias("micro_f1"))
+    row = pred.groupBy(*by, "q").agg(F.bool_and(F.col("bit") == F.col("pred")).alias("same"))
+    same = row.groupBy(*by).agg(F.avg(F.col("same").cast("double")).alias("subset_accuracy"))
+    mean = lambda c: F.avg(c).alias(c)
+    return score.join(same, list(by)).groupBy("g", "k", "gamma", "prior", "threshold").agg(
+        mean("macro_f1"), F.stddev_samp("macro_f1").alias("macro_f1_std"), mean("micro_f1"), mean("subset_accuracy")
+    )
+
+
 def stratified_folds(labels: DataFrame, folds: int, seed: int) -> DataFrame:
     """``labels`` with fold: rows of a class in a seeded order, dealt out in turn."""
     order = Window.partitionBy("label").orderBy(F.xxhash64("node", F.lit(seed)), "node")

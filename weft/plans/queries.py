@@ -739,6 +739,39 @@ def multilabel_grid_select(spark, d):
     return best.select("threshold", F.round("macro_f1", 9).alias("macro_f1"))
 
 
+def multilabel_pipeline_grid(spark, d) -> DataFrame:
+    """All 480 settings of the reference's select_pipeline: path weights in quarters over three paths, k, gamma,
+    prior power and threshold, each scored on four folds of the training suppliers only."""
+    train = suppliers(spark, d).where(~is_test("node"))
+    bits = label_bits(spark, d).where(~is_test("node"))
+    folds = E.multilabel_folds(bits, 4, 20260805)
+    nodes = folds.select(F.col("node").alias("q"), "fold").join(folds.select(F.col("node").alias("r"), F.col("fold").alias("_other")))
+    nodes = nodes.where("fold <> _other").drop("_other")
+    rels = (sp(spark, d), sc(spark, d), L.build(table(spark, d, "lineitem"), "l_suppkey", "l_orderkey"))
+    views = None
+    for i, rel in enumerate(rels):
+        one = P.all_pairs(train, rel, train, rel)
+        one = one.select("q", "r", M.relative_affinity(M.jaccard(), M.bray_curtis(), F.lit(0.4)).alias("score")).join(nodes, ["q", "r"])
+        one = R.rank_calibrate(one).select("fold", "q", "r", F.col("calibrated").alias(f"s{i}"))
+        views = one if views is None else views.join(one, ["fold", "q", "r"])
+    grid = E.simplex(spark, 3, 4)
+    score = F.round(sum(F.col(f"w{i}") * F.col(f"s{i}") for i in range(3)), 12)
+    scored = views.join(F.broadcast(grid)).select("g", "fold", "q", "r", score.alias("score"))
+    bits = bits.join(folds, "node")
+    out = E.evaluate_multilabel_grid(scored, bits, (10, 15), (1.0, 2.0), (0.0, 1.0), (0.3, 0.4, 0.5, 0.6))
+    return out.join(F.broadcast(grid), "g")
+
+
+@query()
+def multilabel_pipeline_select(spark, d):
+    active = sum((F.col(f"w{i}") > 0).cast("int") for i in range(3))
+    means = [F.round(c, 12).desc() for c in ("macro_f1", "micro_f1", "subset_accuracy")]
+    near = [F.abs(F.col("k") - 10), F.abs(F.col("gamma") - 1.0), F.col("prior"), F.abs(F.col("threshold") - 0.5)]
+    best = R.arg_max(multilabel_pipeline_grid(spark, d), [*means, active, *near, F.col("g"), F.col("k"), F.col("gamma"), F.col("threshold")])
+    scores = (F.round(c, 9).alias(c) for c in ("macro_f1", "macro_f1_std", "micro_f1", "subset_accuracy"))
+    return best.select("w0", "w1", "w2", "k", "gamma", "prior", "threshold", *scores)
+
+
 @query(
     with_(BITS)
     + "SELECT node % 4 AS fold, class, count(*) AS n, sum(bit)::BIGINT AS positives, round(abs(avg(bit::DOUBLE) - (SELECT avg(b.bit::DOUBLE) FROM byr b WHERE b.class = byr.class)), 9) AS deviation FROM byr GROUP BY 1, 2"
