@@ -307,6 +307,20 @@ def test_decontamination(spark, odd, none):
     assert decontaminate.matches(docs, items.where("false")).count() == 0
 
 
+def test_decontamination_is_the_same_in_rounds(spark, monkeypatch):
+    r = random.Random(9)
+    word = lambda: r.choice("abcdefghijklmnop") * r.randint(1, 3)
+    texts = [" ".join(word() for _ in range(r.randint(4, 30))) for _ in range(40)]
+    items = spark.createDataFrame([(None if i == 3 else i, t) for i, t in enumerate(texts)], "item_id long, text string")
+    broken = [" ".join(w for w in t.split() if r.random() < 0.9) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts + broken)), "doc_id long, text string").coalesce(1)
+    found = lambda: {(x[0], x[1]): (*(round(v, 9) for v in x[2:5]), x[5]) for x in decontaminate.matches(docs, items).collect()}
+    whole = found()
+    assert (3, None) in whole
+    monkeypatch.setattr(decontaminate, "INDEX_CHARS", 500)
+    assert len(decontaminate.indexes(items)) > 2 and found() == whole
+
+
 def test_wand_is_exhaustive():
     r = random.Random(5)
     items = [(i, " ".join(r.choice("abcdefghijklmnopqrstuvwxyz") * 2 for _ in range(r.randint(3, 12)))) for i in range(150)]

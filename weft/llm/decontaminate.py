@@ -50,10 +50,31 @@ def runs(w: list[bytes], n: int = RUN) -> set[bytes]:
     return {b" ".join(w[i : i + n]) for i in range(len(w) - n + 1)}
 
 
+class Totals:
+    """Number of items, words and longest item, and each word's number of items, over all test items."""
+
+    def __init__(self):
+        self.items, self.words, self.longest, self.df = 0, 0, 0, Counter()
+
+    def add(self, texts: list[str]) -> Totals:
+        for t in texts:
+            q, a = parts(t or "")
+            if q or a:
+                self.items += 1
+                self.words += len(q) + len(a)
+                self.longest = max(self.longest, len(q) + len(a))
+                self.df.update(set(q + a))
+        return self
+
+
 class Index:
-    """Inverted index of test items with impacts as shares of each item's own score, in blocks."""
+    """Inverted index of test items with impacts as shares of each item's own score, in blocks.
+
+    ``totals`` are those of all items where ``items`` are only some of them.
+    """
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int | None, str]], totals: Totals | None = None):
+        totals = totals or Totals().add([t for _, t in items])
         split = [(i, parts(t or "")) for i, t in items]
         split = [(i, qa) for i, qa in split if qa[0] or qa[1]]
         self.items = [i for i, _ in split]
@@ -62,10 +83,10 @@ class Index:
         self.run_sizes = [(min(RUN, len(q)) or 1, min(RUN, len(a)) or 1) for _, (q, a) in split]
         bags = [Counter(q + a) for _, (q, a) in split]
         lengths = [sum(b.values()) for b in bags]
-        self.longest = max(lengths, default=1)
-        mean = sum(lengths) / max(1, len(lengths))
-        df = Counter(w for b in bags for w in b)
-        idf = {w: math.log(1 + (len(bags) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+        self.longest = totals.longest or 1
+        mean = totals.words / max(1, totals.items)
+        df = dict.fromkeys(w for b in bags for w in b)
+        idf = {w: math.log(1 + (totals.items - (n := totals.df[w]) + 0.5) / (n + 0.5)) for w in df}
         self.terms = {w: i for i, w in enumerate(df)}
         lists: list[list[tuple[int, float]]] = [[] for _ in df]
         for item, (bag, n) in enumerate(zip(bags, lengths, strict=True)):
@@ -178,15 +199,25 @@ class Index:
 
 
 def indexes(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> list[Index]:
-    """Indexes of at most about INDEX_CHARS characters each; together they hold every item."""
+    """Indexes of at most about INDEX_CHARS characters each; together they hold every item.
+
+    Counts, lengths and document frequencies are those of the whole benchmark in each of them.
+    """
     items = benchmark.select(F.col(item_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     chars = items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
     rounds = max(1, math.ceil(chars / INDEX_CHARS))
-    out = []
-    for r in range(rounds):
+
+    def part(r: int) -> list[tuple[int | None, str]]:
         own = items.where(F.pmod(F.xxhash64("t"), F.lit(rounds)) == r) if rounds > 1 else items
-        out.append(Index(sorted((x["i"], x["t"]) for x in own.collect() if x["i"] is not None)))
-    return out
+        return sorted(((x["i"], x["t"]) for x in own.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+
+    totals = Totals()
+    if rounds == 1:
+        whole = part(0)
+        return [Index(whole, totals.add([t for _, t in whole]))]
+    for r in range(rounds):
+        totals.add([t for _, t in part(r)])
+    return [Index(part(r), totals) for r in range(rounds)]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,8 +228,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     index; what is retrieved must hold at least MIN_OVERLAP of the word runs of the question and
     of the answer. Columns: id, item_id, score, question_overlap, answer_overlap, n_passages.
 
-    Defined cases: null and empty texts and items match nothing; rows without an id are searched
-    and keep the null; repeated rows each give their matches, repeated items are items of their
+    Defined cases: null and empty texts and items match nothing; rows and items without an
+    id are searched and keep the null; repeated rows each give their matches, repeated items are items of their
     own; an empty benchmark or table gives no rows; extra columns are ignored.
     """
     small_batches(docs.sparkSession)
