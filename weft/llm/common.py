@@ -33,18 +33,53 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/weft/{name}-{uuid.uuid4().hex}"
+    """A new path under the application's own folder, which can go when the application has ended."""
+    return f"{scratch_root(spark)}/weft-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back, which cuts its lineage.
 
-    A lost executor costs only the tasks that ran on it: what was written stays readable.
+    A lost executor costs only the tasks that ran on it: what was written stays readable, until
+    ``release`` deletes it.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``durable`` that nothing will read again; other DataFrames are left alone."""
+    for table in tables:
+        path = vars(table).get("scratch")
+        if path:
+            sc = table.sparkSession.sparkContext
+            where = sc._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: Keys of rows to leave out that are sent to every executor, 8 bytes each; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """One number for an id with its text; a null text counts as empty, a null id as an id of its own."""
+    return F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
+
+
+def drop_rows(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose ``row_key`` is in the only column of ``gone``; all columns stay.
+
+    Rows are told apart by id and text, so a repeated id loses only the text that was meant. The
+    keys are written and counted first: up to BROADCAST_ROWS are broadcast and no text is shuffled.
+    """
+    gone = durable(gone.toDF("_gone").distinct(), "gone")
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, row_key(id_col, text_col) == F.col("_gone"), "left_anti")
 
 
 #: Rows in a batch that goes to Python, and bytes of text that are worked on at once.

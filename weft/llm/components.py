@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, release
 
 
-def components(edges: DataFrame, max_steps: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (columns a, b); component is the smallest node.
 
     Each step is a grouping with map-side combination and a join, written to the shared folder;
@@ -19,7 +19,7 @@ def components(edges: DataFrame, max_steps: int = 60) -> DataFrame:
     now = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
     now = durable(now.select(hi.alias("hi"), lo.alias("lo")).distinct(), "edges")
     before = None
-    for _ in range(max_steps):
+    while True:  # ends: each step lowers some node's parent, in the order of the squared logarithm of the nodes
         sign = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("hi", "lo"))).first()
         if sign[0] == 0 or sign == before:
             break
@@ -36,9 +36,8 @@ def components(edges: DataFrame, max_steps: int = 60) -> DataFrame:
             .where("hi <> lo")
             .unionByName(lowest.select("hi", F.col("m").alias("lo")))
         )
-        now = durable(small.distinct(), "edges")
-    else:
-        raise RuntimeError(f"components did not settle in {max_steps} steps")
+        now, old = durable(small.distinct(), "edges"), now
+        release(old)
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(
         now.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
     )

@@ -1,18 +1,20 @@
 """N-gram Jaccard join that uses relations between sets.
 
-Texts become sets of hashed word shingles. Links of Jaccard similarity at least num/den are found
-exactly (up to collisions of 64-bit shingle hashes) by prefix filtering in a global order, with two
-savings from set relations:
-
-* lists are skipped by position: entries of a list are kept in blocks by family and size, each
-  with its lowest position, and a pair of blocks that cannot hold a link is skipped whole;
-* answers are derived: sets that are very similar to a leader are represented by it. The
-  difference to a member is at least the difference to its leader less the (known) distance
-  between the two, so one computed answer settles a whole star.
-
-A family is the sets that share a minimum hash. Pairs within a family are held against each other
-by their bitmaps in one place, so that a large group of near copies sends on only the pairs that
-may link; the lists then leave such pairs out. Each set is in as many families as there are KEYS.
+Texts become sets of hashed word shingles; equal sets are one node. Links of Jaccard similarity at
+least num/den are found exactly (up to collisions of 64-bit hashes) by prefix filtering in a global
+order, with two savings from set relations:
+
+* index lists are skipped by position: the entries of a list lie in blocks by component and size,
+  each with the best position in it, and a pair of blocks that cannot hold a link is skipped whole;
+* answers are derived: a set near a leader is known as the leader and a difference. What the leader
+  has in common with another set gives what the member has, by adding and taking away the few
+  shingles of the difference; whole sets are read for leaders alone.
+
+The steps: (1) sets that share a minimum hash form families; in each, every set is held against a
+few leaders, which is linear in the family, and large families are dealt out in parts whose leaders
+meet on the next level. (2) Verified links give stars (a leader and its members) and components.
+(3) The lists leave pairs of stars of two components that may hold a link; leaders are compared.
+(4) For pairs of stars that may link though their leaders don't, members' answers are derived.
 """
 
 from __future__ import annotations
@@ -22,10 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import durable, lean, slices, small_batches
+from .common import drop_rows, durable, lean, release, row_key, slices, small_batches
 from .components import components
 
 #: Shingles put last in the order because many sets hold them: at most so many, 8 bytes each.
@@ -33,12 +36,15 @@ from .components import components
 HEAVY_SHINGLES = 100_000
 HEAVY_LEAST = 8
 #: Minimum hashes of a set, each naming a family.
-KEYS = ("k1", "k2", "k3", "k4", "k5", "k6")
-#: A family with more sets is dealt out to several; the most frequent FAMILIES_SPLIT keys are looked at.
-FAMILY_SETS = 50_000
-FAMILIES_SPLIT = 1000
-#: Leaders are sought in a family so many times at most, each near the middle of what is left.
-STAR_ROUNDS = 4
+KEYS = 6
+#: Sets of a family that meet in one place; a larger family is dealt out, and the leaders of its parts meet next.
+FAMILY_SETS = 512
+#: Leaders sought in a part of a family, each near the middle of what is left.
+STAR_ROUNDS = 6
+#: Entries of an index list that meet in one place; the parts of a longer list meet pair by pair.
+LIST_ENTRIES = 8192
+#: Members of either star that meet in one place.
+STAR_PART = 1024
 #: Bits of the filter that keeps rows from being sent which no pair needs.
 NEED_BITS = 1 << 22
 BLOCK = 32
@@ -126,6 +132,11 @@ def least_difference(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+def set_node(s: np.ndarray) -> int:
+    """The number of a set: equal sets have one number."""
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def _texts(part: pa.RecordBatch, column: int) -> list[str]:
     return [t or "" for t in part.column(column).to_pylist()]
 
@@ -168,94 +179,89 @@ def heavy_shingles(docs: DataFrame, k: int, num: int, den: int, most: int = HEAV
 
 
 def describe(docs: DataFrame, k: int, num: int, den: int, heavy: np.ndarray) -> DataFrame:
-    """One row per text: set size, 128-bit digest of the set, the family keys, prefix and bitmap."""
+    """The other columns and, of each text, the set's size, number, family keys, prefix and bitmap."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(rows, 1):
-            n, digest, keys, prefixes, maps = [], [], [[] for _ in KEYS], [], []
-            for s in shingle_sets(_texts(part, 1), k):
+        for part in slices(rows, 0):
+            n, node, keys, prefixes, maps = [], [], [], [], []
+            for s in shingle_sets(_texts(part, 0), k):
                 n.append(len(s))
                 if not len(s):
-                    for column in (digest, *keys, prefixes, maps):
+                    for column in (node, keys, prefixes, maps):
                         column.append(None)
                     continue
-                digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                node.append(set_node(s))
                 at = np.minimum(np.searchsorted(heavy, s), max(len(heavy) - 1, 0))
                 common = heavy[at] == s if len(heavy) else np.zeros(len(s), bool)
                 rare = s[~common]
                 ordered = np.concatenate([rare, s[common]])
                 prefixes.append(ordered[: prefix_length(len(s), num, den)].view(np.int64))
                 own = rare if len(rare) > len(s) // 2 else s
-                for seed, column in enumerate(keys, 77):
-                    column.append(int(_mix(own + _U(seed)).min().view(np.int64)))
+                keys.append([int(_mix(own + _U(77 + seed)).min().view(np.int64)) for seed in range(KEYS)])
                 maps.append(bitmap(s))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column(0),
-                    pa.array(n, pa.int64()),
-                    pa.array(digest, pa.binary()),
-                    *(pa.array(column, pa.int64()) for column in keys),
-                    pa.array(prefixes, pa.list_(pa.int64())),
-                    pa.array(maps, pa.binary()),
-                ],
-                names=["doc_id", "n", "digest", *KEYS, "prefix", "bits"],
-            )
-
-    keys = ", ".join(f"{key} long" for key in KEYS)
-    schema = f"doc_id long, n long, digest binary, {keys}, prefix array<long>, bits binary"
-    return docs.select("doc_id", "text").mapInArrow(lean(run), schema)
+            found = [
+                pa.array(n, pa.int64()),
+                pa.array(node, pa.int64()),
+                pa.array(keys, pa.list_(pa.int64())),
+                pa.array(prefixes, pa.list_(pa.int64())),
+                pa.array(maps, pa.binary()),
+            ]
+            names = [*part.schema.names[1:], "n", "node", "keys", "prefix", "bits"]
+            yield pa.RecordBatch.from_arrays([*part.columns[1:], *found], names=names)
+
+    rest = [c for c in docs.columns if c != "text"]
+    long, longs = T.LongType(), T.ArrayType(T.LongType())
+    made = (("n", long), ("node", long), ("keys", longs), ("prefix", longs), ("bits", T.BinaryType()))
+    schema = T.StructType([docs.schema[c] for c in rest] + [T.StructField(*field) for field in made])
+    return docs.select("text", *rest).mapInArrow(lean(run), schema)
+
+
+def _groups(rows: Iterator[pa.RecordBatch], keys: int, most: int | None = None) -> Iterator[tuple[pa.Table, bool]]:
+    """Whole groups from rows sorted by their first ``keys`` columns, many to a table.
+
+    With ``most``, a group of more rows comes alone and in pieces, marked False.
+    """
+    held: list[pa.RecordBatch] = []  # rows of one group, which may go on
+    key, pieces = None, False
 
+    def key_at(batch: pa.RecordBatch, at: int) -> tuple:
+        return tuple(batch.column(c)[at].as_py() for c in range(keys))
 
-def _groups(rows: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """Tables of whole groups from rows sorted by their first ``keys`` columns."""
-    held: list[pa.RecordBatch] = []
     for batch in rows:
         if not batch.num_rows:
             continue
-        last = [batch.column(c)[batch.num_rows - 1] for c in range(keys)]
-        whole = np.ones(batch.num_rows, bool)
-        for c in range(keys):
-            whole &= np.asarray(batch.column(c)) == last[c].as_py()
-        cut = batch.num_rows - int(whole.sum())
-        if cut:
-            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
-            held = [batch.slice(cut)]
-        else:
-            # the held rows may belong to the group that this batch continues, or end before it
-            if held and any(held[-1].column(c)[held[-1].num_rows - 1] != last[c] for c in range(keys)):
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch)
+        edges = _edges(*(np.asarray(batch.column(c)) for c in range(keys))).tolist()
+        at = 0
+        if pieces:
+            if key_at(batch, 0) == key:
+                yield pa.Table.from_batches([batch.slice(0, edges[1])]), False
+                at = edges[1]
+                if at == batch.num_rows:
+                    continue
+            pieces = False
+        last = edges[-2]
+        if last > at or (held and key_at(batch, at) != key):
+            yield pa.Table.from_batches([*held, batch.slice(at, last - at)]), True
+            held = []
+        key = key_at(batch, last)
+        held.append(batch.slice(last))
+        if most and sum(b.num_rows for b in held) > most:
+            yield pa.Table.from_batches(held), False
+            held, pieces = [], True
     if held:
-        yield pa.Table.from_batches(held)
-
-
-def split_hot(sets: DataFrame, key: str) -> DataFrame:
-    """``sets`` with the keys of very large families replaced by several keys each."""
-    hot = (
-        sets.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("c"))
-        .where(F.col("c") > FAMILY_SETS)
-        .orderBy(F.desc("c"), key)
-        .limit(FAMILIES_SPLIT)
-        .collect()
-    )
-    if not hot:
-        return sets
-    table = sets.sparkSession.createDataFrame([(r[key], -(-r["c"] // FAMILY_SETS)) for r in hot], f"{key} long, parts long")
-    part = F.xxhash64(key, F.pmod(F.xxhash64("doc_id"), F.col("parts")))
-    return sets.join(F.broadcast(table), key, "left").withColumn(key, F.when(F.col("parts").isNotNull(), part).otherwise(F.col(key))).drop("parts")
+        yield pa.Table.from_batches(held), True
 
 
-def shared_keys(sets: DataFrame) -> DataFrame:
-    """(doc_id, mask): a bit for each of the set's keys that another set has too; sets without any are left out."""
-    each = sets.select("doc_id", F.posexplode(F.array(*KEYS)).alias("at", "key"))
-    shared = each.groupBy("at", "key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("at", "key")
-    return each.join(shared, ["at", "key"], "left_semi").groupBy("doc_id").agg(F.bit_or(F.expr("shiftleft(1, at)")).alias("mask"))
+def _edges(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin, and the end."""
+    if not len(columns[0]):
+        return np.zeros(1, np.int64)
+    new = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return np.flatnonzero(np.r_[True, new, True])
 
 
 class Bitmaps:
-    """The bitmaps of a family's sets, which ascend by size; one matrix for each length."""
+    """The bitmaps of some sets; one matrix for each length."""
 
     def __init__(self, maps: list[bytes]):
         self.words = np.array([len(m) // 8 for m in maps])
@@ -293,123 +299,98 @@ class Bitmaps:
         return int(at[np.bitwise_count(rows ^ most).sum(1).argmin()])
 
 
-def _families(sets: DataFrame, key: str, *more: str) -> DataFrame:
-    columns = [key, "doc_id", "n", "bits", *more]
-    return sets.select(*columns).repartition(key).sortWithinPartitions(key, "n", "doc_id")
-
-
-def _each_family(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
-    """Families with more than one set: the rows, ids and sizes."""
-    for table in _groups(rows, 1):
-        key = np.asarray(table.column(0))
-        edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            if b - a > 1:
-                own = table.slice(a, b - a)
-                yield own, np.asarray(own.column(1)), np.asarray(own.column(2)).astype(np.int64)
-
-
-def _pair_batches(found: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    held, size = [], 0
-    for pairs in found:
-        held.append(pairs)
-        size += len(pairs)
-        if size > 50_000:
-            yield _pair_batch(np.concatenate(held))
-            held, size = [], 0
-    if size:
-        yield _pair_batch(np.concatenate(held))
+def star_candidates(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): a leader of a family and a set that may link with it by their bitmaps.
 
+    Each set is held against at most STAR_ROUNDS leaders of a part of a family and goes with one, so
+    there are at most KEYS rows for each set on a level. The leaders of a family in several parts
+    meet again until one part is left; each level is STAR_ROUNDS / FAMILY_SETS of the last.
+    """
 
-def _pair_batch(pairs: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["a", "b"])
+    def stars(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, _ in _groups(rows, 3):
+            at, key, part, node, n = (np.asarray(table.column(c)) for c in range(5))
+            edges = _edges(at, key, part)
+            found = []
+            for x, y in zip(edges[:-1], edges[1:], strict=True):
+                maps = Bitmaps(table.column(5).slice(x, y - x).to_pylist())
+                size, left = n[x:y], np.arange(y - x)
+                for _ in range(STAR_ROUNDS):
+                    if len(left) < 2:
+                        break
+                    head = maps.middle(left)
+                    others = left[left != head]
+                    near = others[maps.least(head, others) * (num + den) <= (size[others] + size[head]) * (den - num)]
+                    found.append(np.column_stack([np.full(len(near) + 1, x + head), np.r_[x + head, x + near]]))
+                    left = left[~np.isin(left, near) & (left != head)]
+            if found:
+                a, b = np.concatenate(found).T
+                columns = [pa.array(v) for v in (at[a], key[a], node[a], node[b])]
+                yield pa.RecordBatch.from_arrays(columns, names=["at", "key", "a", "b"])
+
+    each = sets.select("node", F.posexplode("keys").alias("at", "key"))
+    out, level, written = None, 0, []
+    while True:
+        sizes = each.groupBy("at", "key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+        parts = F.ceil(F.col("c") / FAMILY_SETS).cast("long")
+        own = each.join(sizes, ["at", "key"]).select(
+            "at", "key", F.pmod(F.xxhash64("node", F.lit(level)), parts).alias("part"), "node", (parts > 1).alias("split")
+        )
+        own = durable(own, "jaccard-families")
+        by_set = own.groupBy("node").agg(F.collect_list(F.struct("at", "key", "part")).alias("families"))
+        found = (
+            sets.select("node", "n", "bits")
+            .join(by_set, "node")
+            .select(F.explode("families").alias("f"), "node", "n", "bits")
+            .select("f.at", "f.key", "f.part", "node", "n", "bits")
+            .repartition("at", "key", "part")
+            .sortWithinPartitions("at", "key", "part")
+            .mapInArrow(lean(stars), "at int, key long, a long, b long")
+        )
+        found = durable(found, "jaccard-star-candidates")
+        written += [own, found]
+        out = out.unionByName(found) if out else found
+        split = own.where("split").select("at", "key").distinct()
+        each = found.where("a = b").select(F.col("a").alias("node"), "at", "key").join(split, ["at", "key"], "left_semi")
+        level += 1
+        if split.isEmpty():
+            done = durable(out.where("a <> b").select("a", "b").distinct(), "jaccard-star-pairs")
+            release(*written)
+            return done
 
 
-def star_candidates(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(leader, member): sets of one family (k1) whose bitmaps say they may link.
+def choose_stars(links: DataFrame) -> DataFrame:
+    """Of verified links (a leads b) one leader for each member; no leader has a leader.
 
-    Each set gets one leader at most, and leaders have none.
+    A set that some leader of more links leads is a member; it goes with the leader of most links
+    among those that are not members, and stays alone if there is none.
     """
-
-    def stars(rows: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for table, ids, n in _each_family(rows):
-            maps = Bitmaps(table.column(3).to_pylist())
-            left = np.arange(len(ids))
-            for _ in range(STAR_ROUNDS):
-                if len(left) < 2:
-                    break
-                head = maps.middle(left)
-                others = left[(left != head) & (ids[left] != ids[head])]
-                near = others[maps.least(head, others) * (num + den) <= (n[others] + n[head]) * (den - num)]
-                if len(near):
-                    yield np.column_stack([np.full(len(near), ids[head]), ids[near]])
-                left = left[~np.isin(left, near) & (left != head)]
-                if len(near) < 3:
-                    break
-
-    return _families(sets, "k1").mapInArrow(lean(lambda rows: _pair_batches(stars(rows))), "a long, b long")
-
-
-def family_candidates(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a < b) of sets of one family, not of one star, whose bitmaps say they may link."""
-
-    def finder(earlier: int):
-        def pairs(rows: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-            for table, ids, n in _each_family(rows):
-                leader = np.asarray(table.column(4))
-                known = [np.asarray(table.column(5 + k)) for k in range(earlier)]  # families that are done
-                if (leader == leader[0]).all():
-                    continue
-                maps = Bitmaps(table.column(3).to_pylist())
-                stop = np.searchsorted(n, n * den // num, side="right")
-                for i in range(len(ids) - 1):
-                    j = np.arange(i + 1, stop[i])
-                    j = j[(leader[j] != leader[i]) & (ids[j] != ids[i])]
-                    for other in known:
-                        j = j[(other[j] != other[i]) | (other[i] == 0)]
-                    if len(j):
-                        j = j[maps.least(i, j) * (num + den) <= (n[j] + n[i]) * (den - num)]
-                    if len(j):
-                        mine = np.full(len(j), ids[i])
-                        yield np.column_stack([np.minimum(mine, ids[j]), np.maximum(mine, ids[j])])
-
-        return lambda rows: _pair_batches(pairs(rows))
-
-    out = None
-    for at, key in enumerate(KEYS):
-        own = sets.where("shared" if at == 0 else F.col(key) != 0)
-        found = _families(own, key, "leader", *KEYS[:at]).mapInArrow(lean(finder(at)), "a long, b long")
-        out = out.unionByName(found) if out else found
-    return out
+    count = links.groupBy("a").agg(F.count(F.lit(1)).alias("c"))
+    ranked = links.join(count, "a").join(count.select(F.col("a").alias("b"), F.col("c").alias("cb")), "b", "left")
+    strong = ranked.where("c > coalesce(cb, 0) OR c = cb AND a > b")
+    led = strong.select(F.col("b").alias("a")).distinct()
+    best = F.max_by(F.struct("a", "d", "less", "more"), F.struct("c", "a"))
+    return strong.join(led, "a", "left_anti").groupBy("b").agg(best.alias("s")).select("b", "s.*")
 
 
 def list_pairs(
-    token: np.ndarray,
-    leader: np.ndarray,
-    keys: list[np.ndarray],
-    n: np.ndarray,
-    place: np.ndarray,
-    num: int,
-    den: int,
+    token: np.ndarray, leader: np.ndarray, group: np.ndarray, low: np.ndarray, high: np.ndarray, place: np.ndarray, num: int, den: int
 ) -> np.ndarray:
-    """Pairs of leaders from the lists of one or more tokens, as rows (smaller, larger).
+    """Pairs of leaders of two groups from the lists of one or more tokens, as rows (smaller, larger).
 
-    The arguments are the entries of whole lists in any order: token, star, families, set size and
-    the token's position in the set's prefix. Pairs of one family are left out; a key of 0, of any
-    but the first family, is none.
+    The arguments are the entries of whole lists in any order: token, star, the star's component,
+    bounds of the set size and the token's position in the set's prefix.
     """
-    order = np.lexsort((*keys[:0:-1], leader, keys[0], token))
-    token, leader, n, place, *keys = (v[order] for v in (token, leader, n, place, *keys))
-    new = np.r_[True, np.any([v[1:] != v[:-1] for v in (token, leader, *keys)], axis=0)]
-    first = np.flatnonzero(new)
-    low, high, place = np.minimum.reduceat(n, first), np.maximum.reduceat(n, first), np.minimum.reduceat(place, first)
-    token, leader, *keys = (v[first] for v in (token, leader, *keys))
-    order = np.lexsort((low, keys[0], token))
-    token, leader, low, high, place, *keys = (v[order] for v in (token, leader, low, high, place, *keys))
-    k1 = keys[0]
+    order = np.lexsort((leader, group, token))
+    token, leader, group, low, high, place = (v[order] for v in (token, leader, group, low, high, place))
+    first = _edges(token, leader)[:-1]
+    low, high, place = np.minimum.reduceat(low, first), np.maximum.reduceat(high, first), np.minimum.reduceat(place, first)
+    token, leader, group = token[first], leader[first], group[first]
+    order = np.lexsort((low, group, token))
+    token, leader, group, low, high, place = (v[order] for v in (token, leader, group, low, high, place))
     left = high - place  # elements from the shared one on
-    # blocks of one family in one list, with bounds of their sizes and of what follows the shared element
-    run = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (k1[1:] != k1[:-1])])
+    # blocks of one group in one list, with bounds of their sizes and of what follows the shared element
+    run = _edges(token, group)[:-1]
     lengths = np.diff(np.r_[run, len(token)])
     pieces = -(-lengths // BLOCK)
     inner = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
@@ -419,9 +400,9 @@ def list_pairs(
     most = np.maximum.reduceat(left, starts)
     order = np.lexsort((lowest, token[starts]))
     starts, sizes, lowest, highest, most = (v[order] for v in (starts, sizes, lowest, highest, most))
-    family, lists = k1[starts], token[starts]
-    edge = np.flatnonzero(np.r_[True, lists[1:] != lists[:-1]])
-    stop = np.repeat(np.r_[edge[1:], len(starts)], np.diff(np.r_[edge, len(starts)]))
+    owner, lists = group[starts], token[starts]
+    edge = _edges(lists)
+    stop = np.repeat(edge[1:], np.diff(edge))
     found: list[np.ndarray] = []
 
     def expand(x: np.ndarray, y: np.ndarray) -> None:
@@ -429,7 +410,7 @@ def list_pairs(
         x, y = np.repeat(x, cells), np.repeat(y, cells)
         cell = np.arange(int(cells.sum())) - np.repeat(np.cumsum(cells) - cells, cells)
         i, j = starts[x] + cell // sizes[y], starts[y] + cell % sizes[y]
-        good = np.all([(v[i] != v[j]) | (v[i] == 0) for v in keys[1:]], axis=0) & (high[i] * den >= low[j] * num) & (high[j] * den >= low[i] * num)
+        good = (high[i] * den >= low[j] * num) & (high[j] * den >= low[i] * num)
         good &= np.minimum(left[i], left[j]) * (num + den) >= num * (low[i] + low[j])
         if good.any():
             a, b = leader[i[good]], leader[j[good]]
@@ -440,39 +421,81 @@ def list_pairs(
         alive = alive[alive + step < stop[alive]]
         alive = alive[lowest[alive + step] * num <= highest[alive] * den]  # blocks ascend: later ones are out too
         x, y = alive, alive + step
-        may = (family[x] != family[y]) & (highest[y] * den >= lowest[x] * num)
+        may = (owner[x] != owner[y]) & (highest[y] * den >= lowest[x] * num)
         may &= np.minimum(most[x], most[y]) * (num + den) >= num * (lowest[x] + lowest[y])
         x, y = x[may], y[may]
         for at in range(0, len(x), 4096):
             expand(x[at : at + 4096], y[at : at + 4096])
         step += 1
-    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-    return pairs[pairs[:, 0] != pairs[:, 1]]
-
-
-def list_candidates(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Distinct pairs of leaders (a < b), of no common family, that the index lists leave."""
-
-    def pairs(rows: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        held: list[np.ndarray] = []
-        for table in _groups(rows, 1):
-            token, leader, n, place, *keys = (np.asarray(c).astype(np.int64) for c in table.columns)
-            held.append(list_pairs(token, leader, keys, n, place, num, den))
-            if sum(map(len, held)) > 200_000:  # a pair comes up in many lists
-                held = [np.unique(np.concatenate(held), axis=0)]
-                if len(held[0]) > 100_000:
-                    yield held.pop()
-        if held:
-            yield np.unique(np.concatenate(held), axis=0)
+    return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+
+
+NAMES = ("token", "leader", "component", "low", "high", "place", "a", "b")
+ENTRIES = ", ".join(f"{name} long" for name in NAMES)
+
+
+def _pairs_batch(held: list[np.ndarray]) -> pa.RecordBatch:
+    pairs = np.unique(np.concatenate(held), axis=0)
+    nothing = pa.nulls(len(pairs), pa.int64())
+    return pa.RecordBatch.from_arrays([*[nothing] * 6, pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=NAMES)
+
+
+def _run_numbers(*columns: np.ndarray) -> np.ndarray:
+    return np.repeat(np.arange(len(columns[0]) and len(_edges(*columns)) - 1), np.diff(_edges(*columns)))
+
+
+def _meet(rows: Iterator[pa.RecordBatch], keys: int, num: int, den: int, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Pairs (with no token) from the lists that the first ``keys`` columns tell apart, the rest being
+    leader, component, low, high and place; and the entries of lists too long to meet here."""
+    held, size = [], 0
+    for table, whole in _groups(rows, keys, most):
+        columns = [np.asarray(c).astype(np.int64) for c in table.columns]
+        if not whole:
+            nothing = pa.nulls(table.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), nothing, nothing], names=NAMES)
+            continue
+        held.append(list_pairs(_run_numbers(*columns[:keys]), *columns[keys:], num, den))
+        size += len(held[-1])
+        if size > 200_000:  # a pair comes up in many lists
+            yield _pairs_batch(held)
+            held, size = [], 0
+    if size:
+        yield _pairs_batch(held)
+
+
+def list_candidates(sets: DataFrame, num: int, den: int, most: int = LIST_ENTRIES) -> DataFrame:
+    """Distinct pairs of leaders (a < b), of two components, that the index lists leave.
 
-    return (
-        sets.select("leader", *KEYS, F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("place", "token"))
-        .select("token", "leader", "n", "place", *KEYS)
+    A list of over ``most`` entries is handed back by its task and dealt out: each entry goes to
+    the pairs of parts that its own part is in, so no task holds a long list.
+    """
+    found = durable(
+        sets.select("leader", "component", F.col("n").cast("int").alias("low"), F.posexplode("prefix").alias("place", "token"))
+        .select("token", "leader", "component", "low", F.col("low").alias("high"), "place")
         .repartition("token")
         .sortWithinPartitions("token")
-        .mapInArrow(lean(lambda rows: _pair_batches(pairs(rows))), "a long, b long")
-        .distinct()
+        .mapInArrow(lean(lambda rows: _meet(rows, 1, num, den, most)), ENTRIES),
+        "jaccard-lists",
     )
+    pairs, long = found.where("token IS NULL").select("a", "b"), found.where("token IS NOT NULL")
+    if not long.isEmpty():
+        entries = long.groupBy("token", "leader", "component").agg(
+            F.min("low").alias("low"), F.max("high").alias("high"), F.min("place").alias("place")
+        )
+        entries = durable(entries, "jaccard-long-lists")
+        parts = entries.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / (most // 2)).cast("long").alias("parts"))
+        own = F.pmod(F.xxhash64("leader", F.lit("part")), F.col("parts"))
+        dealt = (
+            entries.join(parts, "token")
+            .select("*", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+            .select("token", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"),
+                    "leader", "component", "low", "high", "place")
+            .repartition("token", "x", "y")
+            .sortWithinPartitions("token", "x", "y")
+        )
+        more = dealt.mapInArrow(lean(lambda rows: _meet(rows, 3, num, den)), ENTRIES)
+        pairs = pairs.unionByName(more.select("a", "b"))
+    return pairs.distinct()
 
 
 def needed_bits(ids: DataFrame) -> bytes:
@@ -491,30 +514,44 @@ def needed_bits(ids: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def _need(column: str):
-    return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(NEED_BITS)).cast("int")
+def _need(column: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(column)), F.lit(NEED_BITS)).cast("int")
+
+
+class Corpus:
+    """Reads whole sets again from the texts: only those that a pair needs are made and sent."""
+
+    def __init__(self, docs: DataFrame, sets: DataFrame, k: int):
+        self.docs, self.sets, self.k = docs, sets, k  # docs: text, key; sets: node and the key of one row that has it
 
+    def of(self, nodes: DataFrame) -> DataFrame:
+        """(node, set) for the ``id`` column of ``nodes``; a filter of one size drops other rows where they are read."""
+        k = self.k
+        wanted = nodes.select("id").distinct()
+        rows = needed_bits(wanted.join(self.sets, F.col("id") == F.col("node")).select(F.col("key").alias("id")))
 
-def differences(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = np.unpackbits(np.frombuffer(rows, np.uint8)).astype(bool)
+            for batch in batches:
+                batch = batch.filter(pa.array(bits[np.asarray(batch.column(1))]))
+                for part in slices([batch], 0):
+                    found = [s for s in shingle_sets(_texts(part, 0), k) if len(s)]
+                    columns = [pa.array([set_node(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["node", "set"])
+
+        known = self.docs.select("text", _need("key").alias("at")).mapInArrow(lean(run), "node long, set binary")
+        return known.dropDuplicates(["node"])
+
+
+def differences(corpus: Corpus, pairs: DataFrame, deltas: bool = False) -> DataFrame:
     """``pairs`` (a, b) with the exact size of the symmetric difference, d, and both sizes, na and nb.
 
-    Only sets that a pair needs are sent: a fixed-size filter on ids drops the others where they
-    are read. Extra columns of ``pairs`` are not kept.
+    With ``deltas`` also what b lacks of a, and has more than a, as bytes of sorted shingles.
     """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    need = needed_bits(ids)
-
-    def sets(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(need, np.uint8)).astype(bool)
-        for batch in rows:
-            batch = batch.filter(pa.array(bits[np.asarray(batch.column(2))]))
-            for part in slices([batch], 1):
-                found = [s.tobytes() for s in shingle_sets(_texts(part, 1), k)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["id", "set"])
 
     def compare(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            d, na, nb = [], [], []
+            d, na, nb, less, more = [], [], [], [], []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 both = np.sort(np.concatenate([x, y]), kind="stable")
@@ -522,20 +559,21 @@ def differences(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
                 d.append(len(x) + len(y) - 2 * shared)
                 na.append(len(x))
                 nb.append(len(y))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *(pa.array(v, pa.int64()) for v in (d, na, nb))],
-                names=["a", "b", "d", "na", "nb"],
-            )
-
-    known = docs.where(F.col("doc_id").isNotNull()).select(
-        F.col("doc_id").cast("long").alias("doc_id"), "text", _need("doc_id").alias("at")
-    )
-    known = known.mapInArrow(lean(sets), "id long, set binary")
-    left = known.select(F.col("id").alias("a"), F.col("set").alias("sa"))
-    right = known.select(F.col("id").alias("b"), F.col("set").alias("sb"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(
-        lean(compare), "a long, b long, d long, na long, nb long"
-    )
+                if deltas:
+                    less.append(np.setdiff1d(x, y, assume_unique=True).tobytes())
+                    more.append(np.setdiff1d(y, x, assume_unique=True).tobytes())
+            columns = [batch.column(0), batch.column(1), *(pa.array(v, pa.int64()) for v in (d, na, nb))]
+            names = ["a", "b", "d", "na", "nb"]
+            if deltas:
+                columns += [pa.array(less, pa.binary()), pa.array(more, pa.binary())]
+                names += ["less", "more"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    known = corpus.of(pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    left = known.select(F.col("node").alias("a"), F.col("set").alias("sa"))
+    right = known.select(F.col("node").alias("b"), F.col("set").alias("sb"))
+    schema = "a long, b long, d long, na long, nb long" + (", less binary, more binary" if deltas else "")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(lean(compare), schema)
 
 
 def _bitmap_filter(pairs: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
@@ -549,118 +587,202 @@ def _bitmap_filter(pairs: DataFrame, info: DataFrame, num: int, den: int) -> Dat
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     a, b = (
-        info.select(F.col("node").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("bits", "most", "radius"))) for s in "ab"
+        info.select(F.col("leader").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("bits", "most", "radius"))) for s in "ab"
     )
     room = (F.col("radius_a") + F.col("radius_b")) * (num + den) + (F.col("most_a") + F.col("most_b")) * (den - num)
     both = pairs.join(a, "a").join(b, "b").select("a", "b", "bits_a", "bits_b", room.alias("room"))
     return both.mapInArrow(lean(run), "a long, b long")
 
 
-def jaccard_components(
-    docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """Components of the texts under links of Jaccard similarity at least num/den over k-word shingles.
+def derive_links(
+    first: np.ndarray, second: np.ndarray, left: list[tuple], right: list[tuple], num: int, den: int
+) -> tuple[int, int] | None:
+    """A link between a member of one star and one of another, if there is any.
 
-    One row per input row: id, n_shingles, component_id (the smallest id reachable, its own if
-    nothing links), class_id (the smallest id with the same set).
+    ``first`` and ``second`` are the leaders' sets; a member is (node, less, more), what it lacks
+    of its leader and has besides. With signed differences D, what x and y have in common is
+    |A & B| + Dx.B + A.Dy + Dx.Dy: the leaders' answer, two terms from one member each, and one
+    that is no more than the smaller difference and is only worked out where it can matter.
+    """
 
-    Defined cases: null and empty texts have an empty set and link with nothing, not with each
-    other either; equal sets always link; a row with a null id gets its n_shingles and a null
-    component; rows that share an id are one node; an empty table gives no rows; extra columns
-    are ignored. No pair or candidate is dropped: filters only pass over pairs that cannot link.
+    def held(small: np.ndarray, large: np.ndarray) -> int:
+        if not len(small) or not len(large):
+            return 0
+        at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+        return int((large[at] == small).sum())
+
+    base = held(first, second)
+    x_term = np.array([held(more, second) - held(less, second) for _, less, more in left], np.int64)
+    y_term = np.array([held(more, first) - held(less, first) for _, less, more in right], np.int64)
+    nx = np.array([len(first) - len(less) + len(more) for _, less, more in left], np.int64)
+    ny = np.array([len(second) - len(less) + len(more) for _, less, more in right], np.int64)
+    dx = np.array([len(less) + len(more) for _, less, more in left], np.int64)
+    dy = np.array([len(less) + len(more) for _, less, more in right], np.int64)
+    for i, (x, less_x, more_x) in enumerate(left):
+        known = base + x_term[i] + y_term
+        for j in np.flatnonzero((known + np.minimum(dx[i], dy)) * (num + den) >= (nx[i] + ny) * num):
+            y, less_y, more_y = right[j]
+            cross = held(less_x, less_y) + held(more_x, more_y) - held(less_x, more_y) - held(more_x, less_y)
+            if (known[j] + cross) * (num + den) >= (nx[i] + ny[j]) * num:
+                return x, y
+    return None
+
+
+def member_links(corpus: Corpus, open_pairs: DataFrame, led: DataFrame, num: int, den: int) -> DataFrame:
+    """For each pair of stars (a, b, d, radius_a, radius_b, most_a, most_b) a link between members, if there is any.
+
+    Members that the leaders' difference and their own settle are left out before anything is sent.
+    Each pair is worked out in parts of at most about STAR_PART members of either star.
     """
+    sides = []
+    for side, (own, other) in enumerate((("a", "b"), ("b", "a"))):
+        may = (F.col("d") - F.col("dm") - F.col(f"radius_{other}")) * (num + den) <= (F.col("nm") + F.col(f"most_{other}")) * (den - num)
+        members = led.select(F.col("leader").alias(own), F.col("node"), F.col("d").alias("dm"), F.col("n").alias("nm"), "less", "more")
+        sides.append(open_pairs.join(members, own).where(may).select("a", "b", F.lit(side).alias("side"), "node", "less", "more"))
+    rows = durable(sides[0].unionByName(sides[1]), "jaccard-open-members")
+    count = lambda side: F.ceil(F.sum(F.when(F.col("side") == side, 1).otherwise(0)) / STAR_PART).cast("int")
+    parts = rows.groupBy("a", "b").agg(count(0).alias("p0"), count(1).alias("p1")).where("p0 > 0 AND p1 > 0")
+    mine = F.when(F.col("side") == 0, F.col("p0")).otherwise(F.col("p1"))
+    theirs = F.when(F.col("side") == 0, F.col("p1")).otherwise(F.col("p0"))
+    places = rows.join(parts, ["a", "b"]).select(
+        "*", F.pmod(F.xxhash64("node", F.lit("part")), mine).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), theirs - 1)).alias("other")
+    )
+    x = F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("other"))
+    y = F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("own"))
+    no_set = F.lit(None).cast("binary").alias("set")
+    places = places.select("a", "b", x.alias("x"), y.alias("y"), "side", "node", "less", "more", no_set)
+    grid = parts.select("a", "b", F.explode(F.sequence(F.lit(0), F.col("p0") - 1)).alias("x"), "p1").select(
+        "a", "b", "x", F.explode(F.sequence(F.lit(0), F.col("p1") - 1)).alias("y")
+    )
+    known = corpus.of(parts.select(F.explode(F.array("a", "b")).alias("id")))
+    none = F.lit(None).cast("binary")
+    leaders = grid.withColumn("node", F.explode(F.array("a", "b"))).join(known, "node")
+    leaders = leaders.select(
+        "a", "b", "x", "y", F.when(F.col("node") == F.col("a"), -2).otherwise(-1).alias("side"), "node", none.alias("less"), none.alias("more"), "set"
+    )
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, _ in _groups(rows, 4):
+            keys = [np.asarray(table.column(c)) for c in range(4)]
+            edges = _edges(*keys)
+            found = []
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                part = table.slice(lo, hi - lo)
+                side = np.asarray(part.column(4))
+                node, less, more, sets = (part.column(c).to_pylist() for c in range(5, 9))
+                numbers = lambda v: np.frombuffer(v or b"", np.uint64)
+                stars = [[(node[i], numbers(less[i]), numbers(more[i])) for i in np.flatnonzero(side == s)] for s in (0, 1)]
+                link = derive_links(numbers(sets[0]), numbers(sets[1]), *stars, num, den)
+                if link:
+                    found.append(link)
+            if found:
+                a, b = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    dealt = places.unionByName(leaders).repartition("a", "b", "x", "y").sortWithinPartitions("a", "b", "x", "y", "side")
+    return dealt.mapInArrow(lean(run), "a long, b long")
+
+
+def _components(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, nodes) for docs (doc_id, key, text): the rows with n and node; and for each node its component,
+    the smallest id with it (class_id) and in the component (component_id)."""
     if not 0 < num <= den:
         raise ValueError("num/den must be over 0 and at most 1")
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     link = F.col("d") * (num + den) <= (F.col("na") + F.col("nb")) * (den - num)
     heavy = heavy_shingles(docs, k, num, den)
-    rows = durable(describe(docs, k, num, den, heavy), "jaccard-sets")
-    classes = durable(
-        rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")),
-        "jaccard-classes",
-    )
-    reps = rows.join(classes.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi")
-    for key in KEYS:
-        reps = split_hot(reps, key)
-    stars = durable(differences(docs, star_candidates(reps, num, den), k), "jaccard-stars")
-    stars = stars.where(link).groupBy("b").agg(F.min("a").alias("a"), F.min_by("d", "a").alias("d"), F.max("nb").alias("nb"))
-    has = lambda at: F.coalesce("mask", F.lit(0)).bitwiseAND(F.lit(1 << at)) != 0
+    rows = durable(describe(docs, k, num, den, heavy).withColumn("row", F.monotonically_increasing_id()), "jaccard-sets")
+    classes = rows.where("n > 0").groupBy("node").agg(F.min("row").alias("row"), F.min("doc_id").alias("least"))
+    classes = durable(classes, "jaccard-classes")
+    reps = rows.join(classes.select("row"), "row", "left_semi").select("node", "key", "n", "keys", "prefix", "bits")
+    reps = durable(reps, "jaccard-reps")
+    corpus = Corpus(docs, reps.select("node", "key"), k)
+
+    stars = durable(differences(corpus, star_candidates(reps, num, den), deltas=True).where(link), "jaccard-stars")
+    found = components(stars.select("a", "b"))
     led = durable(
-        reps.join(stars.select(F.col("b").alias("doc_id"), "a", "d"), "doc_id", "left")
-        .join(shared_keys(reps), "doc_id", "left")
+        reps.join(choose_stars(stars).withColumnRenamed("b", "node"), "node", "left")
+        .join(found, "node", "left")
         .select(
-            "doc_id",
-            F.coalesce("a", "doc_id").alias("leader"),
+            "node",
+            F.coalesce("a", "node").alias("leader"),
+            F.coalesce("component", "node").alias("component"),
             F.coalesce("d", F.lit(0)).alias("d"),
-            "n",
-            has(0).alias("shared"),
-            KEYS[0],
-            *(F.when(has(at), F.col(key)).otherwise(0).alias(key) for at, key in enumerate(KEYS) if at),
-            "prefix",
-            "bits",
-        ),
+            "n", "less", "more", "prefix", "bits",
+        ),
         "jaccard-led",
     )
-    reach = led.groupBy("leader").agg(F.max("d").alias("radius"), F.max("n").alias("most"), F.min("k1").alias("k1"))
-    own = led.where("doc_id = leader").groupBy("leader").agg(F.first("bits").alias("bits"))
-    info = own.join(reach, "leader").withColumnRenamed("leader", "node")
-    near = _bitmap_filter(list_candidates(led, num, den), info, num, den).unionByName(family_candidates(led, num, den))
-    near = durable(near.distinct(), "jaccard-near")
-    checked = durable(differences(docs, near, k), "jaccard-checked")
-    edges = checked.where(link).select("a", "b").unionByName(
-        led.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))
-    )
-    found = components(edges)
-    open_pairs = _open_pairs(checked, reach, link, num, den)
+    reach = led.groupBy("leader").agg(F.max("d").alias("radius"), F.max("n").alias("most"))
+    info = led.where("node = leader").select("leader", "bits").join(reach, "leader")
+    near = durable(_bitmap_filter(list_candidates(led, num, den), info, num, den), "jaccard-near")
+    checked = durable(differences(corpus, near), "jaccard-checked")
+    joined = lambda more: components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    links = checked.where(link).select("a", "b")
+    if not links.isEmpty():
+        found = joined(links)
+    open_pairs = durable(_open_pairs(checked.where(~link), reach, found, led, num, den), "jaccard-open")
     if not open_pairs.isEmpty():
-        more = _members(docs, open_pairs, found, led, link, k, num, den)
-        if not more.isEmpty():  # what is joined already counts as one star each
-            found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    return (
-        rows.join(classes.select("digest", "rep"), "digest", "left")
-        .join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
-        .select(
-            F.col("doc_id").alias(id_col),
-            F.col("n").alias("n_shingles"),
-            F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"),
-            F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("class_id"),
-        )
-    )
+        more = durable(member_links(corpus, open_pairs, led, num, den), "jaccard-member-links")
+        if not more.isEmpty():
+            found = joined(more)
+    nodes = classes.select("node", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    smallest = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
+    nodes = durable(nodes.join(smallest, "component").select("node", "component", F.col("least").alias("class_id"), "component_id"), "jaccard-nodes")
+    rows = rows.select("doc_id", "key", "n", "node")
+    release(stars, led, near, checked, open_pairs, reps, classes)
+    return rows, nodes
+
+
+def _open_pairs(apart: DataFrame, reach: DataFrame, found: DataFrame, led: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of leaders of two components that don't link while members of their stars may."""
+    open_pairs = apart.select("a", "b", "d")
+    for side in "ab":
+        star = reach.select(F.col("leader").alias(side), F.col("radius").alias(f"radius_{side}"), F.col("most").alias(f"most_{side}"))
+        where = found.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
+        open_pairs = open_pairs.join(star, side).join(where, side, "left")
+    radii = F.col("radius_a") + F.col("radius_b")
+    may = (F.col("d") - radii) * (num + den) <= (F.col("most_a") + F.col("most_b")) * (den - num)
+    two = F.coalesce("c_a", "a") != F.coalesce("c_b", "b")
+    return open_pairs.where(may & two & (radii > 0)).drop("c_a", "c_b")
 
 
-def _open_pairs(checked: DataFrame, reach: DataFrame, link, num: int, den: int) -> DataFrame:
-    """Pairs of leaders of two families that don't link while members of their stars may."""
-    a, b = (
-        reach.select(F.col("leader").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("radius", "most", "k1"))) for s in "ab"
+def jaccard_components(
+    docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """Components of the texts under links of Jaccard similarity at least num/den over k-word shingles.
+
+    One row per input row: id, n_shingles, component_id (the smallest id reachable, its own if
+    nothing links), class_id (the smallest id with the same set).
+
+    Defined cases: null and empty texts have an empty set and link with nothing, not with each
+    other either; equal sets always link; ids of any type that has an order; a row with a null id
+    takes part, but gets a null component and class itself; rows that share an id have each the
+    component of its own text; an empty table gives no rows; extra columns are ignored. No pair or
+    candidate is dropped: filters only pass over pairs that cannot link.
+    """
+    own = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    rows, nodes = _components(own, k, num, den)
+    known = F.col("doc_id").isNotNull()
+    return rows.join(nodes, "node", "left").select(
+        F.col("doc_id").alias(id_col),
+        F.col("n").alias("n_shingles"),
+        F.when(known, F.coalesce("component_id", "doc_id")).alias("component_id"),
+        F.when(known, F.coalesce("class_id", "doc_id")).alias("class_id"),
     )
-    radii = F.col("radius_a") + F.col("radius_b")
-    may = (F.col("d") - radii) * (num + den) <= (F.col("most_a") + F.col("most_b")) * (den - num)
-    wide = checked.where(~link).join(a, "a").join(b, "b").where((F.col("k1_a") != F.col("k1_b")) & (radii > 0) & may)
-    return durable(wide.select("a", "b", "d"), "jaccard-open")
 
 
-def _members(docs, open_pairs, joined, led, link, k: int, num: int, den: int) -> DataFrame:
-    """Links between members of stars that are still apart; bounds from the leaders' answers come first."""
-    apart = open_pairs
-    for side in "ab":
-        known = joined.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
-        apart = apart.join(known, side, "left")
-    apart = apart.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "d")
-    for side, member in (("a", "x"), ("b", "y")):
-        own = led.select(F.col("leader").alias(side), *(F.col(c).alias(f"{c}_{member}") for c in ("doc_id", "d", "n", *KEYS[1:])))
-        apart = apart.join(own, side)
-    may = (F.col("d") - F.col("d_x") - F.col("d_y")) * (num + den) <= (F.col("n_x") + F.col("n_y")) * (den - num)
-    fits = (F.col("n_x") * den >= F.col("n_y") * num) & (F.col("n_y") * den >= F.col("n_x") * num)
-    for key in KEYS[1:]:
-        may = may & ((F.col(f"{key}_x") != F.col(f"{key}_y")) | (F.col(f"{key}_x") == 0))
-    pairs = apart.where(may & fits).select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b"))
-    single = led.select(F.col("doc_id").alias("node"), "bits", F.col("n").alias("most"), F.lit(0).alias("radius"))
-    pairs = durable(_bitmap_filter(pairs, single, num, den), "jaccard-members")
-    return durable(differences(docs, pairs, k).where(link).select("a", "b"), "jaccard-member-links")
-
-
-def keep_one(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest id; all columns stay."""
-    gone = jaccard_components(docs, k, num, den).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+def keep_one(
+    docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``docs`` with one document of each component, the one with the smallest id; all columns stay.
+
+    A row with a null id gives way to one with an id; where a component has none, or its smallest
+    id has several texts, the text with the smallest hash stays. Rows that repeat both id and text
+    are one document and stay together.
+    """
+    own = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    rows, nodes = _components(own, k, num, den)
+    grouped = rows.join(nodes.select("node", "component"), "node")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key"))
+    keep = grouped.groupBy("component").agg(first.alias("first")).select("component", F.col("first.key").alias("kept"))
+    return drop_rows(docs, grouped.join(keep, "component").where("key <> kept").select("key"), id_col, text_col)
