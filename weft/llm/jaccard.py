@@ -33,7 +33,7 @@ from .components import components
 
 #: Shingles put last in the order because many sets hold them: at most so many, 8 bytes each.
 #: Others may be frequent too; that costs time, not links.
-HEAVY_SHINGLES = 100_000
+HEAVY_SHINGLES = 250_000
 HEAVY_LEAST = 8
 #: Minimum hashes of a set, each naming a family.
 KEYS = 6
@@ -141,7 +141,7 @@ def _texts(part: pa.RecordBatch, column: int) -> list[str]:
     return [t or "" for t in part.column(column).to_pylist()]
 
 
-def heavy_shingles(docs: DataFrame, k: int, num: int, den: int, most: int = HEAVY_SHINGLES) -> np.ndarray:
+def heavy_shingles(docs: DataFrame, k: int, most: int = HEAVY_SHINGLES) -> np.ndarray:
     """Frequent shingles, sorted; at most ``most``. Each task sends what it has seen often."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,13 +156,12 @@ def heavy_shingles(docs: DataFrame, k: int, num: int, den: int, most: int = HEAV
 
         for part in slices(rows, 0):
             for s in shingle_sets(_texts(part, 0), k):
-                if len(s):
-                    held.append(s[: prefix_length(len(s), num, den)])
-                    size += len(held[-1])
-            if size > 500_000:
+                held.append(s)
+                size += len(s)
+            if size > 1_000_000:
                 yield flush()
                 held, size = [], 0
-        if held:
+        if size:
             yield flush()
 
     found = (
@@ -690,7 +689,7 @@ def _components(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame,
         raise ValueError("num/den must be over 0 and at most 1")
     small_batches(docs.sparkSession)
     link = F.col("d") * (num + den) <= (F.col("na") + F.col("nb")) * (den - num)
-    heavy = heavy_shingles(docs, k, num, den)
+    heavy = heavy_shingles(docs, k)
     rows = durable(describe(docs, k, num, den, heavy).withColumn("row", F.monotonically_increasing_id()), "jaccard-sets")
     classes = rows.where("n > 0").groupBy("node").agg(F.min("row").alias("row"), F.min("doc_id").alias("least"))
     classes = durable(classes, "jaccard-classes")
