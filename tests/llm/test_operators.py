@@ -89,6 +89,50 @@ def test_jaccard_on_documents(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows, 3, 9, 10)
 
 
+def test_jaccard_long_lists_and_large_families(spark, monkeypatch):
+    """The same components when families, lists and stars are dealt out in many parts."""
+    rows = families(17)
+    monkeypatch.setattr(jaccard, "FAMILY_SETS", 8)
+    monkeypatch.setattr(jaccard, "STAR_PART", 3)
+    monkeypatch.setattr(jaccard, "HEAVY_SHINGLES", 10)
+    own = jaccard.list_candidates
+    monkeypatch.setattr(jaccard, "list_candidates", lambda *a: own(*a, most=6))
+    for k, num, den in ((3, 9, 10), (5, 4, 5), (2, 7, 10)):
+        got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), k, num, den).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows, k, num, den)
+
+
+def test_answers_are_derived_from_leaders():
+    r = random.Random(12)
+    for _ in range(300):
+        a = set(r.sample(range(60), 40))
+        b = set(r.sample(range(60), 40))
+        members = []
+        for leader in (a, b):
+            side = []
+            for i in range(4):
+                m = (leader - set(r.sample(sorted(leader), r.randint(0, 4)))) | set(r.sample(range(70), r.randint(0, 4)))
+                side.append((i, leader - m, m - leader, m))
+            members.append(side)
+        sets = lambda x: jaccard.np.array(sorted(x), jaccard.np.uint64)
+        left, right = ([(i, sets(less), sets(more)) for i, less, more, _ in side] for side in members)
+        link = jaccard.derive_links(sets(a), sets(b), left, right, 7, 10)
+        linked = {(x[0], y[0]) for x in members[0] for y in members[1] if 10 * len(x[3] & y[3]) >= 7 * len(x[3] | y[3])}
+        assert (link in linked) if linked else link is None
+
+
+def test_groups_in_pieces():
+    r = random.Random(1)
+    for most in (None, 1, 5, 50):
+        keys = sorted(r.choice("aaabcdefgh") for _ in range(60))
+        table = jaccard.pa.table({"k": [ord(k) for k in keys], "v": list(range(60))})
+        got = list(jaccard._groups(iter(table.to_batches(max_chunksize=r.randint(1, 9))), 1, most))
+        assert [v for t, _ in got for v in t.column(1).to_pylist()] == list(range(60))
+        whole = [set(t.column(0).to_pylist()) for t, full in got if full]
+        pieces = {k for t, full in got if not full for k in t.column(0).to_pylist()}
+        assert all(not (a & b) for i, a in enumerate(whole) for b in whole[:i]) and not any(w & pieces for w in whole)
+
+
 def test_jaccard_edges(spark, odd, none):
     got = jaccard.jaccard_components(odd).collect()
     assert len(got) == len(ROWS)
@@ -125,6 +169,23 @@ def test_dedup(spark, odd, none):
     assert dedup.exact_dedup(none).count() == 0
 
 
+def test_repeated_ids_lose_only_their_copies(spark):
+    rows = [(5, "a"), (5, "b"), (9, "a"), (None, "a"), (None, "c"), (7, "d"), (7, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_gone", F.lit("clash")).withColumn("key", F.lit("clash"))
+    got = [(r["doc_id"], r["text"]) for r in dedup.drop_copies(docs).collect()]
+    assert sorted(got, key=str) == sorted([(5, "b"), (9, "a"), (None, "c"), (7, "d"), (7, "d")], key=str)
+    base = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
+    rows = [("y", base), ("x", base + " more"), ("x", "quite another text of some words here"), (None, base + " less"), (None, "alone")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").withColumn("key", F.lit("clash"))
+    got = [(r["doc_id"], r["text"]) for r in jaccard.keep_one(docs).collect()]
+    assert sorted(got, key=str) == sorted([rows[1], rows[2], rows[4]], key=str)
+    found = jaccard.jaccard_components(docs).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in found} == {("x", "x"), ("y", "x"), (None, None)}
+    items = spark.createDataFrame([(1, base)], "item_id long, text string")
+    got = [(r["doc_id"], r["text"]) for r in decontaminate.drop_contaminated(docs, items).collect()]
+    assert sorted(got, key=str) == sorted([rows[2], rows[4]], key=str)
+
+
 def test_dedup_hot_and_rest_agree(spark):
     rows = [(i, f"t{i % 7 if i % 3 else i}") for i in range(600)]
     got = dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"), summary_items=16, hot_items=3).collect()
@@ -166,6 +227,17 @@ def test_sharding(spark, odd, none):
     assert sharding.shard(none).count() == 0
 
 
+def test_sharding_keeps_groups_beside_a_hot_text(spark):
+    rows = [(i, "hot" if i % 3 == 0 else f"text {i % 300}") for i in range(9000)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 16).collect()
+    check_shards(got, 9000)
+    home, text = {}, dict(rows)
+    for r in got:
+        home.setdefault(text[r["doc_id"]], set()).add(r["shard"])
+    assert len(home["hot"]) > 1 and all(len(s) == 1 for t, s in home.items() if t != "hot")
+    assert all(r["next_shard"] in (r["shard"], 16) for r in got) and any(r["next_shard"] == 16 for r in got)
+
+
 def test_sharding_splits_a_hot_group_and_grows(spark, tmp_path):
     rows = [(i, "hot" if i % 3 == 0 else f"text {i}") for i in range(3000)]
     path = str(tmp_path / "map")
@@ -360,6 +432,54 @@ def test_html_keeps_every_content_node():
     assert html_text.main_text(page) == f"T\nA\nB\n{both}"
 
 
+def test_html_chooses_by_paths_not_by_names():
+    p = "<p>This is a long running paragraph, with commas, clauses and full stops. It goes on for a while, as prose does.</p>"
+    text = p[3:-4]
+    links = "<ul><li><a href=a>One thing</a></li><li><a href=b>Other thing</a></li></ul>"
+    page = f'<article><h1>T</h1>{p}<h2 id="related-work">Related work</h2>{p}<section id="legal-status">{p}</section><div class="note share-price">It rose, by ten.</div></article>'
+    assert html_text.main_text(page) == f"T\n{text}\nRelated work\n{text}\n{text}\nIt rose, by ten."
+    page = f"<div class=z1><a href=1>Home</a><a href=2>News</a></div><article><h1>T</h1>{p}<div class=q7>{links}</div>{p}<div class=x9>Copyright 2020</div></article>"
+    assert html_text.main_text(page) == f"T\n{text}\n{text}"
+    page = f"<div><a href=1>Home</a></div><div class=s1>{p * 4}</div><div class=s2>{p}</div><div>Copyright 2020</div>"
+    assert html_text.main_text(page) == "\n".join([text] * 5)
+    page = f"<div class=m><h1>T</h1>{p}{p}<h3>Related</h3>{links}</div><div class=comments><h3>2 comments</h3><div class=comment>{p}</div><p>I agree.</p></div>"
+    assert html_text.main_text(page) == f"T\n{text}\n{text}"
+
+
+def test_html_recall_and_precision_by_block():
+    """Pages of random shape with unnamed furniture, with and without an article element."""
+    r, kept, found, right = random.Random(8), 0, 0, 0
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9)))
+    prose = lambda: ", ".join(" ".join(word() for _ in range(r.randint(3, 9))) for _ in range(r.randint(2, 5))) + "."
+    for _ in range(200):
+        box = r.choice(["article", "main", "div", "section", "div class=x1"])
+        blocks = [f"<h1>{(title := word() + ' ' + word())}</h1>"]
+        want = [title]
+        for _ in range(r.randint(2, 9)):
+            tag = r.choice(["p", "p", "p", "p", "blockquote", "li", "h2", "p"])
+            t = word() if tag == "h2" else prose() if tag != "li" else " ".join(word() for _ in range(4))
+            want.append(t)
+            blocks.append(f"<ul><li>{t}</ul>" if tag == "li" else f"<{tag}>{t}</{tag}>")
+        t = prose()
+        want.append(t)
+        blocks.append(f"<p>{t}</p>")
+        menu = "".join(f"<li><a href=/{word()}>{word()}</a>" for _ in range(r.randint(2, 8)))
+        page = f"<body><div class=a{r.randint(0, 9)}><ul>{menu}</ul></div><{box}>{''.join(blocks)}</{box.split()[0]}><div>{word()} 2020</div><div><ul>{menu}</ul></div><footer>{prose()}</footer>"
+        got = html_text.main_text(page).split("\n")
+        kept, found, right = kept + len(want), found + len(got), right + len(set(want) & set(got))
+    assert right >= 0.9 * kept and right >= 0.9 * found
+
+
+def test_html_depth_and_rows(spark):
+    assert len(html_text.main_text("<div>x" * 100_000).split("\n")) == 100_000
+    assert html_text.main_text("<b>" * 100_000 + "deep" + "</i>" * 100_000) == "deep"
+    rows = [(1, "u", "<p>a, b.</p>", "x"), (1, "u", "<p>a, b.</p>", "x"), (2, None, None, "y"), (None, "v", "", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string").withColumn("n_chars", F.lit("clash"))
+    got = html_text.extract(pages).collect()
+    assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in got) == [(0, "", 0), (1, "a, b.", 5), (1, "a, b.", 5), (2, "", 0)]
+    assert html_text.extract(pages.where("false")).count() == 0
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("<>/pbdiv a=\"'&;!-", max_size=60))
 def test_html_never_fails(page):

@@ -76,10 +76,13 @@ def drop_rows(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col
     Rows are told apart by id and text, so a repeated id loses only the text that was meant. The
     keys are written and counted first: up to BROADCAST_ROWS are broadcast and no text is shuffled.
     """
-    gone = durable(gone.toDF("_gone").distinct(), "gone")
+    name = "_gone"
+    while name in docs.columns:
+        name += "_"
+    gone = durable(gone.toDF(name).distinct(), "gone")
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    return docs.join(gone, row_key(id_col, text_col) == F.col("_gone"), "left_anti")
+    return docs.join(gone, row_key(id_col, text_col) == F.col(name), "left_anti")
 
 
 #: Rows in a batch that goes to Python, and bytes of text that are worked on at once.

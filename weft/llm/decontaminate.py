@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, slices, small_batches
+from .common import drop_rows, lean, row_key, slices, small_batches
 
 K1, B = 1.2, 0.75
 #: A passage is retrieved for an item when its score reaches this share of the item's own score.
@@ -259,7 +259,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     return out.withColumnRenamed("id", id_col)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without texts that contain a test item; all columns stay."""
-    gone = matches(docs, benchmark).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without texts that contain a test item; all columns stay. Rows are told apart by id and text."""
+    keyed = docs.select(row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    return drop_rows(docs, matches(keyed, benchmark, "key", "text").select("key"), id_col, text_col)

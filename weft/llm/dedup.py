@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import durable
+from .common import drop_rows, durable, row_key
 
 #: Counters of the Misra-Gries summary, and how many of its items become candidates. Both
 #: are fixed, so what is broadcast (at most HOT_ITEMS digests) does not grow with the data.
@@ -37,9 +37,21 @@ def exact_dedup(
     null keep_id is null and every row of it is kept; rows that repeat both id and text are the
     same document and share one flag.
     """
+    return _settle(docs, id_col, text_col, summary_items, hot_items).select(
+        F.col("id").alias(id_col),
+        "keep_id",
+        "group_size",
+        F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        F.col("digest").alias("text_sha256"),
+    )
+
+
+def _settle(docs: DataFrame, id_col: str, text_col: str, summary_items: int, hot_items: int) -> DataFrame:
+    """digest, id, key (of id and text), keep_id and group_size of every row."""
     rows = durable(
         docs.select(
             F.col(id_col).alias("id"),
+            row_key(id_col, text_col).alias("key"),
             F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256).alias("digest"),
         ),
         "dedup-digests",
@@ -58,20 +70,18 @@ def exact_dedup(
     rest = rows.join(F.broadcast(winners.select("digest")), "digest", "left_anti").select(
         "digest",
         "id",
+        "key",
         F.max("id").over(same).alias("keep_id"),
         F.count(F.lit(1)).over(same).alias("group_size"),
     )
-    both = hot.select("digest", "id", "keep_id", "group_size").unionByName(rest)
-    return both.select(
-        F.col("id").alias(id_col),
-        "keep_id",
-        "group_size",
-        F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        F.col("digest").alias("text_sha256"),
-    )
+    return hot.select("digest", "id", "key", "keep_id", "group_size").unionByName(rest)
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that ``exact_dedup`` drops; all columns stay."""
-    gone = exact_dedup(docs, id_col, text_col).where(~F.col("kept") & F.col(id_col).isNotNull())
-    return docs.join(gone.select(F.col(id_col).alias("_gone")), F.col(id_col) == F.col("_gone"), "left_anti")
+    """``docs`` without the rows that ``exact_dedup`` drops; all columns stay.
+
+    A row is dropped by its id and its text: where an id repeats, its other texts are left alone,
+    and a copy without an id goes like any other.
+    """
+    rows = _settle(docs, id_col, text_col, SUMMARY_ITEMS, HOT_ITEMS)
+    return drop_rows(docs, rows.where(~F.col("id").eqNullSafe(F.col("keep_id"))).select("key"), id_col, text_col)

@@ -44,7 +44,7 @@ STAR_ROUNDS = 6
 #: Entries of an index list that meet in one place; the parts of a longer list meet pair by pair.
 LIST_ENTRIES = 8192
 #: Members of either star that meet in one place.
-STAR_PART = 1024
+STAR_PART = 256
 #: Bits of the filter that keeps rows from being sent which no pair needs.
 NEED_BITS = 1 << 22
 BLOCK = 32
