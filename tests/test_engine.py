@@ -184,9 +184,162 @@ def test_simplex_entropy_and_folds(spark):
         E.multilabel_folds(bits, 13, 1)
 
 
-def test_sampling():
-    a, b = (E.sample_ids(list(range(100)), 50, 3434) for _ in range(2))
-    assert a == b and len(set(a)) == 50
+def test_sampling(spark):
+    ids = spark.range(100).select((F.col("id") * 3).alias("node"))
+    a, b = ([r["node"] for r in E.sample_ids(ids, 50, 3434).collect()] for _ in range(2))
+    assert sorted(a) == sorted(b) and len(set(a)) == 50 and all(x % 3 == 0 for x in a)
+    assert E.sample_positions(100, 50, 3434) == E.sample_positions(100, 50, 3434)
+    with pytest.raises(ValueError):
+        E.sample_positions(3, 4, 1)
+
+
+def test_candidates_hold_the_nearest(spark):
+    """Top-k from the pairs that share a dimension, filled up, is that of all pairs; empty profiles too."""
+    rng = np.random.default_rng(7)
+    rows = rng.integers(0, 3, (30, 8)) * (rng.random((30, 8)) < 0.25)
+    rows[[3, 11, 12, 20, 29]] = 0
+    rel, nodes = profile(spark, rows.tolist())
+    score = M.relative_affinity(M.jaccard(), M.bray_curtis(), F.lit(0.4)).alias("score")
+    ranked = lambda p: {(r["q"], r["rank"]): r["r"] for r in R.top_k(p.select("q", "r", score), 5).collect()}
+    whole = P.all_pairs(nodes, rel, nodes, rel)
+    assert ranked(P.candidate_pairs(nodes, rel, nodes, rel, 5)) == ranked(whole)
+    own, rest = nodes.where("node % 3 = 0"), nodes.where("node % 3 <> 0")
+    some = P.candidate_pairs(own, rel.where("i % 3 = 0"), rest, rel.where("i % 3 <> 0"), 5)
+    assert ranked(some) == ranked(whole.where("q % 3 = 0 AND r % 3 <> 0"))
+    folds = nodes.withColumn("fold", F.col("node") % 4)
+    assert ranked(P.candidate_pairs(folds, rel, folds, rel, 5)) == ranked(whole.where("q % 4 <> r % 4"))
+
+
+def test_distances_and_bounds(spark):
+    rows = [[0, 3], [2, 3], [0, 0]]
+    p = P.interval_ranges(pairs(spark, rows))
+    now, old = value(p, M.current_distance(F.lit(0.5))), value(p, M.historical_distance(F.lit(0.5)))
+    assert now[0, 1] == 0.5 * 1 + 0.5 * 2 and old[0, 1] == pytest.approx(now[0, 1] / (0.5 + 0.5 * 3))
+    flat = P.interval_ranges(pairs(spark, [[0], [0]]))
+    assert value(flat, M.historical_distance(F.lit(0.0)))[0, 1] == math.inf
+    bound = value(p, M.dimension_affinity(F.lit(2.0), F.lit(3.0), F.lit(0.3)))
+    assert bound[0, 1] == pytest.approx(1 - (0.3 * 1 / 2 + 0.7 * 2 / 6)) and bound[0, 0] == 1
+    assert value(p, M.hetesim_forced())[2, 2] == 1
+
+
+def test_settings_by_hand(spark):
+    rng = np.random.default_rng(5)
+    n, folds, label = 24, np.arange(24) % 3, rng.integers(0, 3, 24)
+    score = rng.integers(0, 9, (n, n)) / 8
+    rows = [(0, int(folds[q]), q, r, float(score[q, r])) for q in range(n) for r in range(n) if folds[q] != folds[r]]
+    scored = spark.createDataFrame(rows, "g long, fold int, q long, r long, score double")
+    labels = spark.createDataFrame([(i, int(label[i]), int(folds[i])) for i in range(n)], "node long, label long, fold int")
+    refs, ks = E.fold_references(labels), (3, 7)
+    got = {(r["k"], r["gamma"], r["prior"]): r for r in E.evaluate_settings(scored, labels, refs, ks, (0.0, 2.0), (0.0, 1.0)).collect()}
+    assert len(got) == 8
+
+    def f1(truth, pred):
+        classes = sorted(set(truth) | set(pred))
+        return np.mean([2 * ((pred == c) & (truth == c)).sum() / ((pred == c).sum() + (truth == c).sum()) for c in classes])
+
+    plain = E.evaluate_grid(scored, labels, refs, 3).first()
+    for (k, gamma, prior), row in got.items():
+        macro, right, gain = [], [], []
+        for f in range(3):
+            tests, others = np.flatnonzero(folds == f), np.flatnonzero(folds != f)
+            share = np.array([(label[others] == c).mean() for c in range(3)])
+            pred = []
+            for q in tests:
+                near = sorted(others, key=lambda r: (-score[q, r], r))[:k]
+                s = np.zeros(3)
+                for r in near:
+                    s[label[r]] += max(score[q, r], 0) ** gamma
+                s /= share**prior
+                tied = np.flatnonzero(np.isclose(s, s.max()))
+                pred.append(min(tied, key=lambda c: (next((i for i, r in enumerate(near) if label[r] == c), k), c)))
+                ideal = sum(1 / math.log2(i + 2) for i in range(min(3, (label[others] == label[q]).sum())))
+                gain.append((f, sum(1 / math.log2(i + 2) for i, r in enumerate(near[:3]) if label[r] == label[q]) / ideal))
+            macro.append(f1(label[tests], np.array(pred)))
+            right.append((label[tests] == pred).mean())
+        assert row["macro_f1"] == pytest.approx(np.mean(macro)) and row["accuracy"] == pytest.approx(np.mean(right))
+        assert row["macro_f1_se"] == pytest.approx(np.std(macro, ddof=1) / math.sqrt(3))
+        assert plain["ndcg"] == pytest.approx(np.mean([np.mean([x for g, x in gain if g == f]) for f in range(3)]))
+
+
+def test_bootstraps(spark):
+    rows = [(t, b, o, 0.5, 0.5 + 0.1 * (o == t)) for t, b, o in [(0, 0, 0), (0, 1, 0), (1, 1, 1), (1, 0, 1), (1, 1, 1)] for _ in range(20)]
+    got = {r["metric"]: r for r in E.bootstrap(spark.createDataFrame(rows, "truth long, base long, other long, base_ndcg double, other_ndcg double"), 200, 3).collect()}
+    assert set(got) == {"macro_f1", "accuracy", "ndcg"} and got["accuracy"]["difference"] == pytest.approx(0.4)
+    assert all(r["low"] <= r["difference"] <= r["high"] and r["positive"] == 1 for r in got.values() if r["metric"] != "ndcg")
+    assert got["ndcg"]["low"] == pytest.approx(0.1)
+    cells = [(q, c, (q + c) % 2, 1, (q + c) % 2) for q in range(40) for c in range(3)]
+    got = {r["metric"]: r for r in E.node_bootstrap(spark.createDataFrame(cells, "q long, class long, bit int, base int, other int"), 100, 3).collect()}
+    assert got["subset_accuracy"]["difference"] == 1 and got["macro_f1"]["difference"] > 0 and got["micro_f1"]["positive"] == 1
+
+
+def test_label_sets_are_dealt_as_one_by_one():
+    """Rounds at once give the counts that picking a fold for each row gives."""
+    groups = {(0,): 1000, (1,): 503, (0, 1): 77, (2,): 31, (0, 2): 9}
+    share = E.deal_label_sets(groups, 4)
+    assert {s: sum(n) for s, n in share.items()} == groups
+    assert sorted(sum(n[f] for n in share.values()) for f in range(4)) == [405] * 4
+    for c in range(3):
+        per = [sum(n[f] for s, n in share.items() if c in s) for f in range(4)]
+        assert max(per) - min(per) <= 2
+    with pytest.raises(ValueError):
+        E.deal_label_sets({(): 3, (1,): 2}, 2)
+
+
+def test_ingest_run(spark, tmp_path):
+    from weft.sources import cache, hgb, ingest
+
+    raw, out = tmp_path / "raw", str(tmp_path / "out")
+    raw.mkdir()
+    (raw / "node.dat").write_text("0\ta\t0\n1\tb\t0\n2\tc\t1\tmore\n3\td\t1\n")
+    (raw / "link.dat").write_text("0\t2\t0\t1.0\n0\t2\t0\t2.0\n1\t3\t0\t1.0\n2\t0\t1\t3.0\n3\t1\t1\t5.0\n")
+    (raw / "info.dat").write_text(
+        '{"link.dat": {"link type": {"0": {"start": 0, "end": 1, "meaning": "x"}, "1": {"start": 1, "end": 0, "meaning": "y"}}},'
+        ' "label.dat": {"node type": {"0": {"0": "p", "1": "q"}}}}'
+    )
+    (raw / "label.dat").write_text("0\ta\t0\t0\n")
+    (raw / "label.dat.test").write_text("1\tb\t0\t0,1\n")
+    with pytest.raises(Exception, match="bad label"):
+        ingest.ingest(spark, str(raw), out + "-bad")
+    m = ingest.ingest(spark, str(raw), out, multilabel=True, expected={0: 2, 1: 2})
+    assert m["node_shifts"] == {"0": 0, "1": 2} and m["relations"]["0"] == {
+        "source_type": 0, "target_type": 1, "meaning": "x", "shape": [2, 2], "records": 3, "nonzero": 2
+    }
+    assert m["reverse_relation_checks"] == [{"relations": [0, 1], "exact_transposes": False, "difference_nonzero": 1}]
+    assert m["labels"]["train"] == 1 and m["labels"]["test_assignments"] == 2 and m["labels"]["test_mean_cardinality"] == 2
+    assert set(m["raw_sha256"]) == set(ingest.FILES)
+    assert hgb.load_training_labels(spark, f"{out}/labels").where("bit = 1").collect()[0]["class"] == 0
+    ids = hgb.load_test_ids(spark, f"{out}/labels")
+    assert ids.columns == ["node"] and [r["node"] for r in ids.collect()] == [1]
+    assert [r["label"] for r in hgb.read_legacy_labels(spark, str(raw / "label.dat")).collect()] == [0]
+    with pytest.raises(ValueError):
+        ingest.ingest(spark, str(raw), out + "-2", expected={0: 3, 1: 1})
+    with pytest.raises(ValueError):
+        hgb.write_labels(ids.withColumn("label", F.lit(0)), ids.withColumn("label", F.lit(1)), out + "-3")
+    with pytest.raises(ValueError):
+        hgb.meta_path(spark, f"{out}/relations", "ACM", "XYZ")
+    made = []
+    make = lambda: made.append(1) or spark.range(3)
+    assert [cache.cached(spark, out, "t", "k1", make).count() for _ in range(2)] == [3, 3] and made == [1]
+
+
+def test_more_guards(spark):
+    a = spark.createDataFrame([(0, 0, 1.0), (0, 1, 2.0)], "i long, j long, w double")
+    L.require_same_dimensions(a, a, 2, 2)
+    for left, right in ((2, 3), (1, 1)):
+        with pytest.raises(ValueError):
+            L.require_same_dimensions(a, a, left, right)
+    with pytest.raises(ValueError):
+        L.split_exactly(a)
+    one, two = L.split_exactly(a.withColumn("w", F.lit(1.0)))
+    assert one.count() == two.count() == 2
+
+
+def test_out_of_fold_and_subsets(spark):
+    pred = spark.createDataFrame([("a", 1, 0, 0), ("a", 2, 1, 1), ("b", 1, 0, 0), ("b", 2, 1, 0)], "method string, q long, truth long, pred long")
+    got = {r["method"]: r for r in E.out_of_fold(pred, "b").collect()}
+    assert got["a"]["accuracy_gain"] == 0.5 and got["b"]["macro_f1_gain"] == 0 and got["b"]["macro_f1"] == pytest.approx((2 / 3 + 0) / 2)
+    one = E.subset_accuracy(pred, spark.createDataFrame([(2,)], "node long"))
+    assert {r["method"]: r["accuracy"] for r in one.collect()} == {"a": 1.0, "b": 0.0}
 
 
 def test_text_sources(spark, tmp_path):

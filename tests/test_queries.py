@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from weft.plans import protocols
 from weft.plans import queries as Q
 
 DATA = "/root/testdata/sf0.001"
@@ -19,12 +20,13 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(Q.SQL))
+@pytest.mark.parametrize("name", sorted(protocols.SQL))
 def test_matches_sql(spark, con, name):
-    got, want = Q.QUERIES[name](spark, DATA).toPandas(), con.sql(Q.SQL[name]).df()
+    got, want = protocols.QUERIES[name](spark, DATA).toPandas(), con.sql(protocols.SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want)
     cols = sorted(got.columns)
-    keys = [c for c in cols if got[c].dtype.kind in "iuO"] or cols
+    keys = [c for c in cols if got[c].dtype.kind in "iuO"]
+    keys += [c for c in cols if c not in keys]
     got, want = (f[cols].sort_values(keys).reset_index(drop=True) for f in (got, want))
     for c in cols:
         if got[c].dtype.kind == "f":
@@ -34,9 +36,9 @@ def test_matches_sql(spark, con, name):
             assert got[c].astype(str).tolist() == want[c].astype(str).tolist(), c
 
 
-@pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - set(Q.SQL)))
+@pytest.mark.parametrize("name", sorted(set(protocols.QUERIES) - set(protocols.SQL)))
 def test_rows(spark, name):
-    assert Q.QUERIES[name](spark, DATA).count() > 0
+    assert protocols.QUERIES[name](spark, DATA).count() > 0
 
 
 def test_multilabel_pipeline_takes_the_whole_grid_from_training(spark, monkeypatch):

@@ -73,6 +73,26 @@ def tri_component(j: Column, bc: Column, cos: Column, w0: Column, w1: Column, w2
     return w0 * (1.0 - j) + w1 * (1.0 - bc) + w2 * cos
 
 
+def current_distance(lam: Column) -> Column:
+    """Rank-only: value-Hamming and L1, not normalised; smaller is nearer."""
+    return lam * value_hamming() + (1.0 - lam) * l1()
+
+
+def historical_distance(lam: Column) -> Column:
+    """The current distance over a range term (``rng``); infinitely far where that is zero."""
+    return F.coalesce(F.try_divide(current_distance(lam), lam + (1.0 - lam) * c("rng")), F.lit(float("inf")))
+
+
+def dimension_affinity(dims: Column, span: Column, alpha: Column) -> Column:
+    """Global affinity with value-Hamming, the number of dimensions as its bound, and a value span that counts implicit zeros."""
+    return clip(1.0 - (alpha * value_hamming() / dims + (1.0 - alpha) * l1() / (dims * span)))
+
+
+def hetesim_forced() -> Column:
+    """The early variant over row-normalised halves: the diagonal is 1."""
+    return F.when(c("q") == c("r"), 1.0).otherwise(cosine())
+
+
 def lambda_of_alpha(alpha: Column, b0: Column, b1: Column) -> Column:
     inner = ratio(alpha * b1, b0 * (1.0 - alpha) + alpha * b1)
     return F.when(alpha <= 0, 0.0).when(alpha >= 1, 1.0).otherwise(inner)

@@ -1,4 +1,4 @@
-"""Pairs of profiles: node statistics, the Gram join, and completion to all pairs."""
+"""Pairs of profiles: node statistics, the Gram join, and completion to the pairs that a query needs."""
 
 from __future__ import annotations
 
@@ -6,9 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Parts of the reference side that queries are held against.
-BLOCKS = 16
-
 
 def node_stats(nodes: DataFrame, rel: DataFrame) -> DataFrame:
     """Per node: sup, act, sq, and max and min that count implicit zeros; nodes without links have zeros.
@@ -37,8 +34,17 @@ def node_stats(nodes: DataFrame, rel: DataFrame) -> DataFrame:
     )
 
 
-def gram(queries: DataFrame, references: DataFrame, normalized: bool = False) -> DataFrame:
-    """(q, r, inter, eq, dot, mn[, bh]) of the pairs that share a dimension: one equi-join and one sum."""
+SUMS = ("inter", "eq", "dot", "mn")
+
+
+def gram(queries: DataFrame, references: DataFrame, normalized: bool = False, more: DataFrame | None = None) -> DataFrame:
+    """(q, r, inter, eq, dot, mn[, bh]) of the pairs that share a dimension: one equi-join and one sum.
+
+    Where both sides are one DataFrame, each pair is joined and summed once and then given both ways.
+    ``more`` (q, r) are further pairs, which go into the same sum as zeros. A dimension that many
+    nodes share makes a skewed join partition, which adaptive execution splits.
+    """
+    mirrored = queries is references
 
     def side(rel: DataFrame, name: str) -> DataFrame:
         cols = ["j", F.col("i").alias(name), F.col("w").alias(f"w{name}")]
@@ -47,36 +53,85 @@ def gram(queries: DataFrame, references: DataFrame, normalized: bool = False) ->
             cols.append(F.coalesce(F.try_divide("w", total), F.lit(0.0)).alias(f"p{name}"))
         return rel.where("w <> 0").select(*cols)
 
-    out = [
-        F.count(F.lit(1)).alias("inter"),
-        F.sum((F.col("wq") == F.col("wr")).cast("long")).alias("eq"),
-        F.sum(F.col("wq") * F.col("wr")).alias("dot"),
-        F.sum(F.least("wq", "wr")).alias("mn"),
-    ]
+    terms = {
+        "inter": F.lit(1).cast("long"),
+        "eq": (F.col("wq") == F.col("wr")).cast("long"),
+        "dot": F.col("wq") * F.col("wr"),
+        "mn": F.least("wq", "wr"),
+    }
     if normalized:
-        out.append(F.sum(F.sqrt("pq") * F.sqrt("pr")).alias("bh"))
-    return side(queries, "q").join(side(references, "r"), "j").groupBy("q", "r").agg(*out)
-
-
-def block_pairs(queries: DataFrame, references: DataFrame, blocks: int = BLOCKS) -> DataFrame:
-    """Every query with every reference: queries go to each block of the reference side (equi-join on block)."""
+        terms["bh"] = F.sqrt("pq") * F.sqrt("pr")
+    joined = side(queries, "q").join(side(references, "r"), "j")
+    if mirrored:
+        joined = joined.where("q <= r")
+    rows = joined.select("q", "r", *(x.alias(name) for name, x in terms.items()))
+    if more is not None:
+        ends = (F.least("q", "r").alias("q"), F.greatest("q", "r").alias("r")) if mirrored else ("q", "r")
+        rows = rows.unionByName(more.select(*ends, *(F.lit(0).cast(rows.schema[name].dataType).alias(name) for name in terms)))
+    out = rows.groupBy("q", "r").agg(*(F.sum(name).alias(name) for name in terms))
+    if mirrored:
+        one, two = F.struct("q", "r"), F.struct(F.col("r").alias("q"), F.col("q").alias("r"))
+        both = F.explode(F.when(F.col("q") == F.col("r"), F.array(one)).otherwise(F.array(one, two))).alias("p")
+        out = out.select(both, *terms).select("p.q", "p.r", *terms)
+    return out
+
+
+def block_pairs(queries: DataFrame, references: DataFrame, blocks: int | None = None) -> DataFrame:
+    """Every query with every reference: queries go to each block of the reference side (equi-join on block).
+
+    There are as many blocks as shuffle partitions, so the pairs are made by all tasks.
+    """
+    blocks = blocks or int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left = queries.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = references.withColumn("_b", F.pmod(F.xxhash64("r"), F.lit(blocks)).cast("int"))
     return left.join(right, "_b").drop("_b")
 
 
+def _stats(nodes: DataFrame, rel: DataFrame, s: str) -> DataFrame:
+    return node_stats(nodes, rel).select(F.col("node").alias(s), *(F.col(k).alias(f"{k}_{s}") for k in ("sup", "act", "sq", "mx", "mi")))
+
+
 def all_pairs(
     q_nodes: DataFrame, q_rel: DataFrame, r_nodes: DataFrame, r_rel: DataFrame, normalized: bool = False
 ) -> DataFrame:
     """Pair rows (see functions.measures) for all pairs, those without a shared dimension too."""
-    side = lambda nodes, rel, s: node_stats(nodes, rel).select(
-        F.col("node").alias(s), *(F.col(k).alias(f"{k}_{s}") for k in ("sup", "act", "sq", "mx", "mi"))
-    )
     g = gram(q_rel, r_rel, normalized)
-    pairs = block_pairs(side(q_nodes, q_rel, "q"), side(r_nodes, r_rel, "r")).join(g, ["q", "r"], "left")
+    pairs = block_pairs(_stats(q_nodes, q_rel, "q"), _stats(r_nodes, r_rel, "r")).join(g, ["q", "r"], "left")
     return pairs.fillna(0, [c for c in g.columns if c not in ("q", "r")])
 
 
+def fill_pairs(queries: DataFrame, references: DataFrame, k: int) -> DataFrame:
+    """(q, r): each query with the ``k`` references of the smallest ids; ``node`` columns, and where there is
+    a ``fold`` column only references of other folds count."""
+    if "fold" not in queries.columns:
+        return queries.select(F.col("node").alias("q")).join(references.select(F.col("node").alias("r")).orderBy("r").limit(k))
+    folds = queries.select(F.col("fold").alias("_own")).distinct()
+    others = references.select(F.col("node").alias("r"), "fold").join(F.broadcast(folds)).where("fold <> _own")
+    first = others.withColumn("_n", F.row_number().over(Window.partitionBy("_own").orderBy("r"))).where(F.col("_n") <= k)
+    own = queries.select(F.col("node").alias("q"), F.col("fold").alias("_own"))
+    return own.join(F.broadcast(first.select("_own", "r")), "_own").select("q", "r")
+
+
+def candidate_pairs(
+    q_nodes: DataFrame, q_rel: DataFrame, r_nodes: DataFrame, r_rel: DataFrame, k: int
+) -> DataFrame:
+    """Pair rows among which are each query's ``k`` best references, ties by smallest id, under any measure
+    that is 0 without a shared dimension, but for two empty profiles, which may be alike.
+
+    They are the pairs that share a dimension, each query with the k smallest ids, and empty queries
+    with the k smallest ids of empty references. With ``fold`` columns, pairs of one fold are left out.
+    """
+    folded = "fold" in q_nodes.columns
+    empty = lambda nodes, rel: nodes.join(rel.where("w <> 0").select(F.col("i").alias("node")).distinct(), "node", "left_anti")
+    more = fill_pairs(q_nodes, r_nodes, k).unionByName(fill_pairs(empty(q_nodes, q_rel), empty(r_nodes, r_rel), k))
+    pairs = gram(q_rel, r_rel, more=more.distinct())
+    for nodes, rel, s in ((q_nodes, q_rel, "q"), (r_nodes, r_rel, "r")):
+        pairs = pairs.join(_stats(nodes, rel, s), s)
+        if folded:
+            pairs = pairs.join(nodes.select(F.col("node").alias(s), F.col("fold").alias(f"fold_{s}")), s)
+    return pairs.where("fold_q <> fold_r").withColumnRenamed("fold_q", "fold").drop("fold_r") if folded else pairs
+
+
 def interval_ranges(pairs: DataFrame) -> DataFrame:
     """``pairs`` with rng: the largest less the smallest value among the profiles of all nodes between
     q and r, both included. Two running windows for each query, one to either side."""
@@ -93,6 +148,7 @@ def range_distance(pairs: DataFrame, lam: float) -> DataFrame:
         raise ValueError("lambda must be from 0 to 1")
     ham = F.col("sup_q") + F.col("sup_r") - F.col("inter") - F.col("eq")
     dist = F.col("act_q") + F.col("act_r") - 2.0 * F.col("mn")
-    top = F.max(ham).over(Window.partitionBy())
-    num, den = lam * ham + (1 - lam) * dist, lam * top + (1 - lam) * top * F.col("rng")
-    return interval_ranges(pairs).withColumn("distance", F.coalesce(F.try_divide(num, den), F.lit(float("inf"))))
+    top = pairs.agg(F.max(ham).alias("_top"))  # one row
+    num, den = lam * ham + (1 - lam) * dist, lam * F.col("_top") + (1 - lam) * F.col("_top") * F.col("rng")
+    out = interval_ranges(pairs).join(F.broadcast(top))
+    return out.withColumn("distance", F.coalesce(F.try_divide(num, den), F.lit(float("inf")))).drop("_top")

@@ -39,10 +39,10 @@ def require_k(k: int, candidates: DataFrame) -> None:
 def majority_vote(neighbours: DataFrame, labels: DataFrame, by: tuple[str, ...] = ("q",)) -> DataFrame:
     """Most frequent label among neighbours (r, rank); ties go to the nearest. Unlabelled neighbours
     don't count; queries all of whose neighbours are unlabelled get -1."""
-    own = neighbours.join(labels.select(F.col("node").alias("r"), "label"), "r")
+    own = neighbours.join(labels.select(F.col("node").alias("r"), "label"), "r", "left")
     votes = own.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first"))
-    best = votes.groupBy(*by).agg(F.max_by("label", F.struct("n", -F.col("first"))).alias("pred"))
-    return neighbours.select(*by).distinct().join(best, list(by), "left").withColumn("pred", F.coalesce("pred", F.lit(-1)))
+    place = F.when(F.col("label").isNotNull(), F.struct("n", -F.col("first")))
+    return votes.groupBy(*by).agg(F.coalesce(F.max_by("label", place), F.lit(-1)).alias("pred"))
 
 
 def weighted_vote(

@@ -66,6 +66,23 @@ def violations(profile: DataFrame) -> DataFrame:
     return profile.agg(F.count(F.lit(1)).alias("n_values"), F.coalesce(F.sum(bad.cast("long")), F.lit(0)).alias("n_bad"))
 
 
+def require_same_dimensions(left: DataFrame, right: DataFrame, left_dims: int, right_dims: int) -> None:
+    """Two profiles can only be compared over the same dimensions: as many on both sides, and no id beyond them."""
+    if left_dims != right_dims:
+        raise ValueError(f"profiles have {left_dims} and {right_dims} dimensions")
+    for side in (left, right):
+        most = side.agg(F.max("j")).first()[0]
+        if most is not None and most >= left_dims:
+            raise ValueError(f"a profile has dimension {most} of {left_dims}")
+
+
+def split_exactly(rel: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``edge_objects`` of a binary relation; other weights, whose halves would not multiply to it, are an error."""
+    if not rel.where("w <> 1").isEmpty():
+        raise ValueError("only a binary relation can be split by its edges")
+    return edge_objects(rel)
+
+
 def require_nonnegative(profile: DataFrame) -> DataFrame:
     """The profile; a negative or non-finite value stops the query when it is read."""
     bad = F.isnan("w") | (F.abs("w") == float("inf")) | (F.col("w") < 0)

@@ -16,6 +16,7 @@ from ..operators import evaluation as E
 from ..operators import pairs as P
 from ..operators import ranking as R
 from ..operators import relations as L
+from ..sources.cache import written
 
 K = 10
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -263,17 +264,18 @@ CP = "cp AS (SELECT o_custkey AS i, l_partkey AS j, count(*)::DOUBLE AS w FROM l
 
 
 @query(
-    with_(SP, CP, SPN, f"cpn AS {NORM.format('cp')}", "x AS (SELECT i, sqrt(sum(w * w)) AS n FROM spn GROUP BY i)", "y AS (SELECT i, sqrt(sum(w * w)) AS n FROM cpn GROUP BY i)")
-    + f"SELECT a.i AS q, b.i AS r, round({clip('sum(a.w * b.w) / (any_value(x.n) * any_value(y.n))')}, 9) AS hetesim FROM spn a JOIN cpn b ON a.j = b.j JOIN x ON x.i = a.i JOIN y ON y.i = b.i GROUP BY 1, 2"
-)
+    with_(SP, CP, SPN, f"cpn AS {NORM.format('cp')}", "x AS (SELECT i, sqrt(sum(w * w)) AS n FROM spn GROUP BY i)", "y AS (SELECT i, sqrt(sum(w * w)) AS n FROM cpn GROUP BY i)",
+          f"sh AS (SELECT a.i AS q, b.i AS r, {clip('sum(a.w * b.w) / (any_value(x.n) * any_value(y.n))')} AS v FROM spn a JOIN cpn b ON a.j = b.j JOIN x ON x.i = a.i JOIN y ON y.i = b.i GROUP BY 1, 2)")
+    + "SELECT s_suppkey AS q, c_custkey AS r, round(coalesce(v, 0.0::DOUBLE), 9) AS hetesim FROM supplier CROSS JOIN customer LEFT JOIN sh ON q = s_suppkey AND r = c_custkey WHERE s_suppkey % 5 = 0"
+)
 def hetesim_rectangular(spark, d):
-    """Supplier against customer over parts: two different halves, pairs with a shared part."""
+    """Test suppliers against customers over parts: two different halves, all pairs."""
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
     items = table(spark, d, "lineitem").select("l_orderkey", "l_partkey")
     cp = L.row_normalize(L.build(items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")), "o_custkey", "l_partkey"))
-    left = L.row_normalize(sp(spark, d))
-    norm = lambda h, s: h.groupBy(F.col("i").alias(s)).agg(F.sum(F.col("w") * F.col("w")).alias(f"sq_{s}"))
-    both = P.gram(left, cp).select("q", "r", "dot").join(norm(left, "q"), "q").join(norm(cp, "r"), "r")
+    left = L.row_normalize(sp(spark, d).where(is_test("i")))
+    customers = table(spark, d, "customer").select(F.col("c_custkey").alias("node"))
+    both = P.all_pairs(suppliers(spark, d).where(is_test("node")), left, customers, cp)
     return both.select("q", "r", F.round(M.cosine(), 9).alias("hetesim"))
 
 
@@ -292,7 +294,7 @@ def global_sql(alpha: str) -> str:
 
 @query(with_(SP, pairs_sql(), BOUNDS) + f"SELECT q, r, {global_sql('0.3::DOUBLE')} AS affinity FROM p CROSS JOIN bb")
 def global_affinity_exact_bound(spark, d):
-    p = sp_pairs(spark, d)
+    p = written(sp_pairs(spark, d), "pairs")
     a = M.global_affinity(M.value_hamming(), M.l1(), F.col("b0"), F.col("b1"), F.lit(0.3))
     return p.join(F.broadcast(exact_bounds(p))).select("q", "r", a.alias("affinity"))
 
@@ -325,7 +327,7 @@ TOP = f"(SELECT max({VHAM}) FROM p)"
     + f"SELECT q, r, coalesce((0.5::DOUBLE * {VHAM} + (1 - 0.5::DOUBLE) * {L1}) / nullif(0.5::DOUBLE * {TOP} + (1 - 0.5::DOUBLE) * {TOP} * rng, 0), 'inf'::DOUBLE) AS distance FROM rng"
 )
 def interval_range_distance(spark, d):
-    return P.range_distance(sp_pairs(spark, d), 0.5).select("q", "r", "distance")
+    return P.range_distance(written(sp_pairs(spark, d), "pairs"), 0.5).select("q", "r", "distance")
 
 
 @query(
@@ -334,7 +336,8 @@ def interval_range_distance(spark, d):
 )
 def legacy_range_similarity(spark, d):
     """1 less the distance over its largest value; undefined (null) where a denominator is zero."""
-    x = P.range_distance(sp_pairs(spark, d), 0.5).select("q", "r", F.when(F.col("distance") != float("inf"), F.col("distance")).alias("x"))
+    x = P.range_distance(written(sp_pairs(spark, d), "pairs"), 0.5).select("q", "r", F.when(F.col("distance") != float("inf"), F.col("distance")).alias("x"))
+    x = written(x, "distances")
     return x.join(F.broadcast(x.agg(F.max("x").alias("m")))).select("q", "r", (1.0 - F.try_divide("x", "m")).alias("similarity"))
 
 
@@ -353,6 +356,10 @@ def alpha_lambda(spark, d):
 REL = relative("0.4::DOUBLE", JACCARD, BRAY)
 
 
+def relative_score(beta: float = 0.4) -> Column:
+    return M.relative_affinity(M.jaccard(), M.bray_curtis(), F.lit(beta)).alias("score")
+
+
 def affinity(spark, d, beta: float = 0.4) -> DataFrame:
     return sp_pairs(spark, d).select("q", "r", M.relative_affinity(M.jaccard(), M.bray_curtis(), F.lit(beta)).alias("score"))
 
@@ -427,9 +434,15 @@ def simplex_grid(spark, d):
 RANKED = "SELECT q, r, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, r) AS rank FROM s"
 
 
+def neighbours(spark, d) -> DataFrame:
+    """The K nearest of each supplier, from the pairs that can be among them."""
+    rel, nodes = sp(spark, d), suppliers(spark, d)
+    return R.top_k(P.candidate_pairs(nodes, rel, nodes, rel, K).select("q", "r", relative_score()), K)
+
+
 @query(with_(SP, pairs_sql(), AFF) + f"SELECT q, r, score, rank::BIGINT AS rank FROM ({RANKED}) WHERE rank <= {K}")
 def topk(spark, d):
-    return R.top_k(affinity(spark, d), K).select("q", "r", "score", F.col("rank").cast("long").alias("rank"))
+    return neighbours(spark, d).select("q", "r", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(with_(SP, pairs_sql(), AFF) + f"SELECT r, score FROM s WHERE q = 0 ORDER BY score DESC, r LIMIT {K}")
@@ -454,7 +467,14 @@ HELD_OUT = (SP, LAB, pairs_sql(), AFF, HELD, VOTE)
 
 def held_out(spark, d, beta: float = 0.4) -> DataFrame:
     """Neighbours of test suppliers among training suppliers."""
-    return R.top_k(affinity(spark, d, beta).where(is_test("q") & ~is_test("r")), K)
+    return R.top_k(held_out_pairs(spark, d).select("q", "r", relative_score(beta)), K)
+
+
+def held_out_pairs(spark, d) -> DataFrame:
+    """Pairs of test suppliers with the training suppliers that can be among their K nearest."""
+    rel, nodes = sp(spark, d), suppliers(spark, d)
+    test, train = is_test("i"), is_test("node")
+    return P.candidate_pairs(nodes.where(train), rel.where(test), nodes.where(~train), rel.where(~test), K)
 
 
 def predictions(spark, d) -> DataFrame:
@@ -471,7 +491,7 @@ def predictions(spark, d) -> DataFrame:
 )
 def historical_vote(spark, d):
     """All entities are candidates, the query too; unlabelled neighbours are dropped after the top-k."""
-    return R.majority_vote(R.top_k(affinity(spark, d), K), regions(spark, d).where(~is_test("node")))
+    return R.majority_vote(neighbours(spark, d), regions(spark, d).where(~is_test("node")))
 
 
 @query(with_(*HELD_OUT) + "SELECT q, pred, truth FROM pt")
@@ -548,50 +568,106 @@ def held_sql(beta: str, out: str) -> str:
 JB = f"jb AS (SELECT q, r, {JACCARD} AS j, {BRAY} AS bc FROM p)"
 
 
+TWO_JB = (
+    f"jb2 AS (SELECT q, r, j, bc, {JACCARD} AS j2, {BRAY} AS bc2 FROM jb JOIN c USING (q, r)), "
+    "f0 AS (SELECT q, r, 0.7::DOUBLE * (1.0::DOUBLE - bc) + 0.3::DOUBLE * (1.0::DOUBLE - bc2) AS a0, "
+    + f"0.7::DOUBLE * {adaptive('0.5::DOUBLE')} + 0.3::DOUBLE * {adaptive('0.5::DOUBLE', 'j2', 'bc2')} AS a1, "
+    "0.7::DOUBLE * greatest(j - bc, 0.0::DOUBLE) + 0.3::DOUBLE * greatest(j2 - bc2, 0.0::DOUBLE) AS gap FROM jb2 WHERE q % 5 = 0 AND r % 5 <> 0), "
+    f"h0 AS (SELECT q, r, gap, row_number() OVER (PARTITION BY q ORDER BY round(a0, 12) DESC, r) AS rank FROM f0 QUALIFY rank <= {K}), "
+    f"h1 AS (SELECT q, r, row_number() OVER (PARTITION BY q ORDER BY round(a1, 12) DESC, r) AS rank FROM f0 QUALIFY rank <= {K})"
+)
+
+
 @query(
-    with_(SP, LAB, pairs_sql(), JB, held_sql("0.0::DOUBLE", "h0"), held_sql("0.5::DOUBLE", "h1"), NDCG + ndcg_sql("h0", "n0"), ndcg_sql("h1", "n1"),
-          "gp AS (SELECT q, avg(greatest(j - bc, 0.0::DOUBLE)) AS gap FROM h0 GROUP BY 1)",
+    with_(SP, SC, LAB, pairs_sql(), pairs_sql("sc", "c"), JB, TWO_JB, NDCG + ndcg_sql("h0", "n0"), ndcg_sql("h1", "n1"),
+          "gp AS (SELECT q, avg(gap) AS gap FROM h0 GROUP BY 1)",
           "e AS (SELECT quantile_cont(gap, 0.25) AS a, quantile_cont(gap, 0.5) AS b, quantile_cont(gap, 0.75) AS c FROM gp)")
     + "SELECT ((gap > a)::INT + (gap > b)::INT + (gap > c)::INT)::BIGINT AS quartile, count(*) AS n, round(avg(gap), 9) AS mean_gap, round(avg(n1.ndcg - n0.ndcg), 9) AS delta "
     "FROM gp CROSS JOIN e JOIN n0 USING (q) JOIN n1 USING (q) GROUP BY 1"
 )
 def conflict_strata(spark, d):
-    lab = regions(spark, d)
-    train = lab.where(~is_test("node")).select("node")
-    jb = sp_pairs(spark, d).where(is_test("q") & ~is_test("r")).select("q", "r", M.jaccard().alias("j"), M.bray_curtis().alias("bc"))
-    near = [R.top_k(jb.withColumn("score", M.adaptive_affinity(F.col("j"), F.col("bc"), F.lit(b))), K) for b in (0.0, 0.5)]
+    """Two paths with weights 0.7 and 0.3: gaps and adaptive affinities add up by weight."""
+    lab, nodes = regions(spark, d), suppliers(spark, d)
+    train, paths = lab.where(~is_test("node")).select("node"), {"spart": 0.7, "scust": 0.3}
+    frames = None
+    for (name, weight), rel in zip(paths.items(), (sp(spark, d), sc(spark, d)), strict=True):
+        own = P.all_pairs(nodes.where(is_test("node")), rel.where(is_test("i")), nodes.where(~is_test("node")), rel.where(~is_test("i")))
+        own = own.select(F.lit(name).alias("path"), "q", "r", M.jaccard().alias("j"), M.bray_curtis().alias("bc"), F.lit(weight).alias("weight"))
+        frames = own if frames is None else frames.unionByName(own)
+    frames = written(frames, "path-components")
+    score = lambda beta: F.round(F.sum(F.col("weight") * M.adaptive_affinity(F.col("j"), F.col("bc"), F.lit(beta))), 12).alias("score")
+    near = [R.top_k(frames.groupBy("q", "r").agg(score(beta)), K) for beta in (0.0, 0.5)]
     base, other = (E.ndcg(h, lab, train, K) for h in near)
-    out = E.conflict_strata(near[0], base, other)
+    out = E.conflict_strata(frames.join(near[0].select("q", "r"), ["q", "r"], "left_semi"), base, other)
     return out.select(F.col("quartile").cast("long").alias("quartile"), "n", F.round("mean_gap", 9).alias("mean_gap"), F.round("delta", 9).alias("delta"))
 
 
 # --- selection: training suppliers only, four folds by id
 
-GRID_EVAL = (
+GRID_PRED = (
     f"gh AS (SELECT g, fold, q, r, row_number() OVER (PARTITION BY g, fold, q ORDER BY score DESC, r) AS rank FROM gs QUALIFY rank <= {K}), "
     "gv AS (SELECT g, fold, q, label, count(*) AS n, min(rank) AS first FROM gh JOIN lab ON node = r GROUP BY ALL), "
-    "gp AS (SELECT g, fold, q, v.label AS pred, t.label AS truth FROM gv v JOIN lab t ON t.node = q QUALIFY row_number() OVER (PARTITION BY g, fold, q ORDER BY n DESC, first) = 1), "
-    "gc AS (SELECT g, fold, label, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM (SELECT g, fold, truth AS label, (truth = pred)::INT AS tp, 0 AS fp, (truth <> pred)::INT AS fn FROM gp "
-    "UNION ALL SELECT g, fold, pred, 0, 1, 0 FROM gp WHERE truth <> pred) GROUP BY ALL), "
-    "gf AS (SELECT g, fold, avg(2.0::DOUBLE * tp / (2.0::DOUBLE * tp + fp + fn)) AS macro_f1 FROM gc GROUP BY ALL), "
-    "ga AS (SELECT g, fold, avg((truth = pred)::INT::DOUBLE) AS accuracy FROM gp GROUP BY ALL), "
-    "gm AS (SELECT g, round(avg(macro_f1), 12) AS macro_f1, round(avg(accuracy), 12) AS accuracy FROM gf JOIN ga USING (g, fold) GROUP BY 1)"
+    "gp AS (SELECT g, fold, q, v.label AS pred, t.label AS truth FROM gv v JOIN lab t ON t.node = q QUALIFY row_number() OVER (PARTITION BY g, fold, q ORDER BY n DESC, first) = 1)"
+)
+
+
+def grid_f1(by: str, pred: str = "gp", truth_only: bool = False) -> str:
+    """CTEs gf (macro_f1) and ga (accuracy) by the columns ``by`` of predictions."""
+    return (
+        f"gc AS (SELECT {by}, label, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM (SELECT {by}, truth AS label, (truth = pred)::INT AS tp, 0 AS fp, (truth <> pred)::INT AS fn FROM {pred} "
+        f"UNION ALL SELECT {by}, pred, 0, 1, 0 FROM {pred} WHERE truth <> pred) GROUP BY ALL{' HAVING sum(tp) + sum(fn) > 0' if truth_only else ''}), "
+        f"gf AS (SELECT {by}, avg(2.0::DOUBLE * tp / (2.0::DOUBLE * tp + fp + fn)) AS macro_f1 FROM gc GROUP BY ALL), "
+        f"ga AS (SELECT {by}, avg((truth = pred)::INT::DOUBLE) AS accuracy FROM {pred} GROUP BY ALL)"
+    )
+
+
+GRID_NDCG = (
+    f"gsz AS (SELECT fold, label, least(count(*), {K}) AS m FROM lab CROSS JOIN fold WHERE node % 5 <> 0 AND (node // 5) % 4 <> fold GROUP BY 1, 2), "
+    f"gid AS (SELECT fold, label, sum(1 / log2(i + 1)) AS ideal FROM gsz CROSS JOIN (SELECT unnest(range(1, {K + 1})) AS i) WHERE i <= m GROUP BY 1, 2), "
+    "gn AS (SELECT g, gh.fold AS fold, q, coalesce(sum(CASE WHEN a.label = b.label THEN 1 / log2(rank + 1) ELSE 0 END) / any_value(ideal), 0) AS ndcg "
+    "FROM gh JOIN lab a ON a.node = q JOIN lab b ON b.node = r LEFT JOIN gid ON gid.fold = gh.fold AND gid.label = a.label GROUP BY 1, 2, 3), "
+    "gnf AS (SELECT g, fold, avg(ndcg) AS ndcg FROM gn GROUP BY ALL)"
+)
+GRID_EVAL = (
+    f"{GRID_PRED}, {grid_f1('g, fold')}, {GRID_NDCG}, "
+    "gm AS (SELECT g, round(avg(macro_f1), 12) AS macro_f1, round(avg(accuracy), 12) AS accuracy, round(avg(ndcg), 12) AS ndcg, stddev_samp(macro_f1) / sqrt(count(*)) AS macro_f1_se, "
+    "stddev_samp(macro_f1) AS macro_f1_std FROM gf JOIN ga USING (g, fold) JOIN gnf USING (g, fold) GROUP BY 1)"
 )
 FOLDED = "fold AS (SELECT unnest(range(0, 4)) AS fold)"
 INNER = "q % 5 <> 0 AND r % 5 <> 0 AND (q // 5) % 4 = fold AND (r // 5) % 4 <> fold"
 
 
+def own_fold(c: str) -> Column:
+    return F.floor(F.col(c) / 5) % 4
+
+
 def folded(pairs: DataFrame) -> DataFrame:
     """Pairs of training suppliers as (fold of the query, q, r, ...), references from the other folds."""
-    own = lambda c: F.floor(F.col(c) / 5) % 4
     inner = pairs.where(~is_test("q") & ~is_test("r"))
-    return inner.where(own("q") != own("r")).withColumn("fold", own("q"))
+    return inner.where(own_fold("q") != own_fold("r")).withColumn("fold", own_fold("q"))
 
 
-def select_best(spark, d, scored: DataFrame, grid: DataFrame, prefer: list[Column]) -> DataFrame:
-    out = E.evaluate_grid(scored, regions(spark, d), K)
-    out = out.select("g", F.round("macro_f1", 12).alias("macro_f1"), F.round("accuracy", 12).alias("accuracy")).join(F.broadcast(grid), "g")
-    return R.arg_max(out, [F.desc("macro_f1"), F.desc("accuracy"), *prefer, F.col("g")])
+def folded_candidates(spark, d) -> DataFrame:
+    """As ``folded``, only the pairs that can be among the K nearest of their query."""
+    rel = sp(spark, d).where(~is_test("i"))
+    nodes = suppliers(spark, d).where(~is_test("node")).withColumn("fold", own_fold("node"))
+    return P.candidate_pairs(nodes, rel, nodes, rel, K)
+
+
+def training_folds(spark, d) -> DataFrame:
+    """(fold, node, label): the references of each fold."""
+    return E.fold_references(regions(spark, d).where(~is_test("node")).withColumn("fold", own_fold("node")))
+
+
+def graded(spark, d, scored: DataFrame, grid: DataFrame) -> DataFrame:
+    """The grid with its means over folds, rounded, so that sums in another order don't decide."""
+    near = written(R.top_k(scored, K, by=("g", "fold", "q")).select("g", "fold", "q", "r", "rank"), "grid-neighbours")
+    out = E.evaluate_neighbours(near, regions(spark, d), training_folds(spark, d), K)
+    return out.select("g", *(F.round(c, 12).alias(c) for c in ("macro_f1", "accuracy", "ndcg")), "macro_f1_se", "macro_f1_std").join(F.broadcast(grid), "g")
+
+
+def select_best(spark, d, scored: DataFrame, grid: DataFrame, prefer: list[Column], second: str = "accuracy") -> DataFrame:
+    return R.arg_max(graded(spark, d, scored, grid), [F.desc("macro_f1"), F.desc(second), *prefer, F.col("g")])
 
 
 def line(spark, n: int, name: str) -> DataFrame:
@@ -604,7 +680,7 @@ def line(spark, n: int, name: str) -> DataFrame:
     + "SELECT g, alpha, round(macro_f1, 9) AS macro_f1, round(accuracy, 9) AS accuracy FROM gm JOIN grid USING (g) ORDER BY gm.macro_f1 DESC, gm.accuracy DESC, abs(alpha - 0.5), g LIMIT 1"
 )
 def alpha_grid_select(spark, d):
-    p = sp_pairs(spark, d)
+    p = written(sp_pairs(spark, d), "pairs")
     grid = line(spark, 10, "alpha")
     a = M.global_affinity(M.value_hamming(), M.l1(), F.col("b0"), F.col("b1"), F.col("alpha"))
     scored = folded(p).join(F.broadcast(exact_bounds(p))).join(F.broadcast(grid)).withColumn("score", a)
@@ -612,17 +688,37 @@ def alpha_grid_select(spark, d):
     return best.select("g", "alpha", F.round("macro_f1", 9).alias("macro_f1"), F.round("accuracy", 9).alias("accuracy"))
 
 
+#: The grid of component weights of a path.
+BETAS = (0.0, 0.01, 0.025, 0.05, 0.1, 0.2, 0.4, 0.6, 0.8, 1.0)
+BETA_GRID = "grid AS (SELECT * FROM (VALUES " + ", ".join(f"({g}::BIGINT, {b}::DOUBLE)" for g, b in enumerate(BETAS)) + ") AS t(g, beta))"
+BEST_BETA = (
+    "SELECT g, beta, round(macro_f1, 9) AS macro_f1, round(macro_f1_se, 9) AS macro_f1_se, round(ndcg, 9) AS ndcg FROM gm JOIN grid USING (g) "
+    "ORDER BY gm.macro_f1 DESC, gm.ndcg DESC, beta LIMIT 1"
+)
+
+
+def select_path_beta(spark, d, formulation: Callable[[Column, Column, Column], Column]) -> DataFrame:
+    grid = spark.createDataFrame(list(enumerate(BETAS)), "g long, beta double")
+    jb = folded_candidates(spark, d).select("fold", "q", "r", M.jaccard().alias("j"), M.bray_curtis().alias("bc"))
+    scored = jb.join(F.broadcast(grid)).withColumn("score", formulation(F.col("j"), F.col("bc"), F.col("beta")))
+    best = select_best(spark, d, scored, grid, [F.col("beta")], "ndcg")
+    return best.select("g", "beta", *(F.round(c, 9).alias(c) for c in ("macro_f1", "macro_f1_se", "ndcg")))
+
+
 @query(
-    with_(SP, LAB, pairs_sql(), JB, FOLDED, "grid AS (SELECT g, g / 9.0::DOUBLE AS beta FROM (SELECT unnest(range(0, 10)) AS g))",
-          f"gs AS (SELECT g, fold, q, r, {relative('beta')} AS score FROM jb CROSS JOIN fold CROSS JOIN grid WHERE {INNER})", GRID_EVAL)
-    + "SELECT g, beta, round(macro_f1, 9) AS macro_f1, round(accuracy, 9) AS accuracy FROM gm JOIN grid USING (g) ORDER BY gm.macro_f1 DESC, gm.accuracy DESC, beta, g LIMIT 1"
-)
+    with_(SP, LAB, pairs_sql(), JB, FOLDED, BETA_GRID, f"gs AS (SELECT g, fold, q, r, {relative('beta')} AS score FROM jb CROSS JOIN fold CROSS JOIN grid WHERE {INNER})", GRID_EVAL)
+    + BEST_BETA
+)
 def beta_grid_select(spark, d):
-    grid = line(spark, 9, "beta")
-    jb = folded(sp_pairs(spark, d)).select("fold", "q", "r", M.jaccard().alias("j"), M.bray_curtis().alias("bc"))
-    scored = jb.join(F.broadcast(grid)).withColumn("score", M.relative_affinity(F.col("j"), F.col("bc"), F.col("beta")))
-    best = select_best(spark, d, scored, grid, [F.col("beta")])
-    return best.select("g", "beta", F.round("macro_f1", 9).alias("macro_f1"), F.round("accuracy", 9).alias("accuracy"))
+    return select_path_beta(spark, d, M.relative_affinity)
+
+
+@query(
+    with_(SP, LAB, pairs_sql(), JB, FOLDED, BETA_GRID, f"gs AS (SELECT g, fold, q, r, {adaptive('beta')} AS score FROM jb CROSS JOIN fold CROSS JOIN grid WHERE {INNER})", GRID_EVAL)
+    + BEST_BETA
+)
+def beta_grid_select_adaptive(spark, d):
+    return select_path_beta(spark, d, M.adaptive_affinity)
 
 
 @query(
@@ -647,18 +743,18 @@ ACTIVE = "((w0 > 0)::INT + (w1 > 0)::INT + (w2 > 0)::INT)"
 @query(
     with_(SP, LAB, pairs_sql(), f"jbc AS (SELECT q, r, {JACCARD} AS j, {BRAY} AS bc, {COSINE} AS cs FROM p)", FOLDED, f"grid AS ({SQL['simplex_grid']})",
           f"gs AS (SELECT g, fold, q, r, round(w0 * (1.0::DOUBLE - j) + w1 * (1.0::DOUBLE - bc) + w2 * cs, 12) AS score FROM jbc CROSS JOIN fold CROSS JOIN grid WHERE {INNER})", GRID_EVAL)
-    + f"SELECT g, w0, w1, w2, round(macro_f1, 9) AS macro_f1, round(accuracy, 9) AS accuracy FROM gm JOIN grid USING (g) ORDER BY gm.macro_f1 DESC, gm.accuracy DESC, {ACTIVE}, w1 DESC, g LIMIT 1"
+    + f"SELECT g, w0, w1, w2, round(macro_f1, 9) AS macro_f1, round(ndcg, 9) AS ndcg FROM gm JOIN grid USING (g) ORDER BY gm.macro_f1 DESC, gm.ndcg DESC, {ACTIVE}, w1 DESC, g LIMIT 1"
 )
 def mixture_grid_select(spark, d):
     grid = E.simplex(spark, 3, 4).withColumn("g", F.col("g").cast("long"))
-    parts = folded(sp_pairs(spark, d)).select("fold", "q", "r", M.jaccard().alias("j"), M.bray_curtis().alias("bc"), M.cosine().alias("cs"))
+    parts = folded_candidates(spark, d).select("fold", "q", "r", M.jaccard().alias("j"), M.bray_curtis().alias("bc"), M.cosine().alias("cs"))
     score = F.round(M.tri_component(F.col("j"), F.col("bc"), F.col("cs"), F.col("w0"), F.col("w1"), F.col("w2")), 12)
     active = sum((F.col(f"w{i}") > 0).cast("int") for i in range(3))
-    best = select_best(spark, d, parts.join(F.broadcast(grid)).withColumn("score", score), grid, [active, F.desc("w1")])
-    return best.select("g", "w0", "w1", "w2", F.round("macro_f1", 9).alias("macro_f1"), F.round("accuracy", 9).alias("accuracy"))
+    best = select_best(spark, d, parts.join(F.broadcast(grid)).withColumn("score", score), grid, [active, F.desc("w1")], "ndcg")
+    return best.select("g", "w0", "w1", "w2", F.round("macro_f1", 9).alias("macro_f1"), F.round("ndcg", 9).alias("ndcg"))
 
 
-# --- several labels: which priorities of orders and kinds of shipping a supplier sees often
+# --- several labels: five bits for each supplier, its region and its nation key modulo 5
 
 BITS = (
     "byr AS (SELECT s_suppkey AS node, c.class AS class, CASE WHEN n_regionkey = c.class OR s_nationkey % 5 = c.class THEN 1 ELSE 0 END::INT AS bit "
@@ -715,30 +811,6 @@ def multilabel_metrics(spark, d):
     return m.select(*(F.round(c, 9).alias(c) for c in ("macro_f1", "micro_f1", "subset_accuracy", "hamming_loss", "mean_true", "mean_pred")))
 
 
-def _multi_grid_sql() -> str:
-    ctes = ", ".join(
-        MULTI.format(t=f"{t / 10}::DOUBLE").replace("prev AS", f"prev{t} AS").replace("JOIN prev", f"JOIN prev{t}")
-        .replace("mw", f"mw{t}").replace("mm", f"mm{t}").replace("ms", f"ms{t}").replace("mt", f"mt{t}").replace("mh", f"mh{t}").replace("mp", f"mp{t}").replace("mq", f"mq{t}")
-        for t in (4, 6, 8)
-    )
-    rows = " UNION ALL ".join(
-        f"SELECT {t / 10}::DOUBLE AS threshold, (SELECT avg(coalesce(2.0::DOUBLE * tp / nullif(2.0::DOUBLE * tp + fp + fn, 0), 0)) FROM (SELECT class, sum(bit * pred) AS tp, sum((1 - bit) * pred) AS fp, sum(bit * (1 - pred)) AS fn FROM mq{t} GROUP BY 1)) AS f"
-        for t in (4, 6, 8)
-    )
-    return with_(*MULTI_SQL, ctes) + f"SELECT threshold, round(f, 9) AS macro_f1 FROM ({rows}) ORDER BY round(f, 12) DESC, threshold LIMIT 1"
-
-
-@query(_multi_grid_sql())
-def multilabel_grid_select(spark, d):
-    bits = label_bits(spark, d).withColumnRenamed("node", "q")
-    out = None
-    for t in (0.4, 0.6, 0.8):
-        m = E.multilabel_metrics(multilabel(spark, d, t).join(bits, ["q", "class"])).select(F.lit(t).alias("threshold"), "macro_f1")
-        out = m if out is None else out.unionByName(m)
-    best = R.arg_max(out, [F.round("macro_f1", 12).desc(), F.col("threshold")])
-    return best.select("threshold", F.round("macro_f1", 9).alias("macro_f1"))
-
-
 def multilabel_pipeline_grid(spark, d) -> DataFrame:
     """All 480 settings of the reference's select_pipeline: path weights in quarters over three paths, k, gamma,
     prior power and threshold, each scored on four folds of the training suppliers only."""
@@ -773,14 +845,12 @@ def multilabel_pipeline_select(spark, d):
 
 
 @query(
-    with_(BITS)
-    + "SELECT node % 4 AS fold, class, count(*) AS n, sum(bit)::BIGINT AS positives, round(abs(avg(bit::DOUBLE) - (SELECT avg(b.bit::DOUBLE) FROM byr b WHERE b.class = byr.class)), 9) AS deviation FROM byr GROUP BY 1, 2"
+    with_(BITS, "fa AS (SELECT node % 4 AS fold, class, count(*) AS n, avg(bit::DOUBLE) AS own FROM byr GROUP BY 1, 2)", "wh AS (SELECT class, avg(bit::DOUBLE) AS al FROM byr GROUP BY 1)")
+    + "SELECT fold, (SELECT count(DISTINCT node) FROM byr) - max(n) AS reference_nodes, max(n) AS validation_nodes, round(max(abs(own - al)), 9) AS max_deviation FROM fa JOIN wh USING (class) GROUP BY 1"
 )
 def fold_audit(spark, d):
-    bits = label_bits(spark, d).withColumn("fold", F.col("node") % 4)
-    whole = bits.groupBy("class").agg(F.avg(F.col("bit").cast("double")).alias("all"))
-    per = bits.groupBy("fold", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("bit").alias("positives"), F.avg(F.col("bit").cast("double")).alias("own"))
-    return per.join(F.broadcast(whole), "class").select("fold", "class", "n", "positives", F.round(F.abs(F.col("own") - F.col("all")), 9).alias("deviation"))
+    out = E.fold_audit(label_bits(spark, d).withColumn("fold", F.col("node") % 4))
+    return out.withColumn("max_deviation", F.round("max_deviation", 9))
 
 
 @query(
@@ -792,34 +862,59 @@ def index_fingerprint(spark, d):
     return fingerprint(suppliers(spark, d).select(F.col("node").alias("pos"), F.col("node").alias("id")))
 
 
-# --- resampling: rows only
+# --- splits and resampling
+
+
+def drawn_sql(seed: int) -> str:
+    return f"md5(node::VARCHAR || '-{seed}')"
+
+
+@query(with_(LAB) + f"SELECT node, label, ((row_number() OVER (PARTITION BY label ORDER BY {drawn_sql(7)}, node) - 1) % 5)::INT AS fold FROM lab")
+def stratified_folds(spark, d):
+    return E.stratified_folds(regions(spark, d), 5, 7)
+
+
+@query(
+    with_(LAB)
+    + f"SELECT node, label, row_number() OVER (PARTITION BY label ORDER BY {drawn_sql(11)}, node) <= round(0.2::DOUBLE * count(*) OVER (PARTITION BY label)) AS validation FROM lab"
+)
+def stratified_split(spark, d):
+    return E.stratified_split(regions(spark, d), 0.2, 11)
 
 
 @query()
 def bootstrap_ci(spark, d):
-    lab = regions(spark, d).select(F.col("node").alias("q"), F.col("label").alias("truth"))
-    own = lambda beta, name: R.majority_vote(held_out(spark, d, beta), regions(spark, d)).withColumnRenamed("pred", name)
-    return E.bootstrap(own(0.0, "base").join(own(0.4, "other"), "q").join(lab, "q"), 2000, 17)
+    lab = regions(spark, d)
+    train = lab.where(~is_test("node")).select("node")
+    out = lab.where(is_test("node")).select(F.col("node").alias("q"), F.col("label").alias("truth"))
+    for beta, name in ((0.0, "base"), (0.4, "other")):
+        near = written(held_out(spark, d, beta), "neighbours")
+        out = out.join(R.majority_vote(near, lab).withColumnRenamed("pred", name), "q")
+        out = out.join(E.ndcg(near, lab, train, K).withColumnRenamed("ndcg", f"{name}_ndcg"), "q")
+    return E.bootstrap(out, 2000, 17)
+
+
+@query()
+def node_bootstrap_ci(spark, d):
+    """Thresholds 0.4 and 0.6 of the multi-label prediction against each other, by whole suppliers."""
+    base, other = (multilabel(spark, d, t).withColumnRenamed("pred", name) for t, name in ((0.4, "base"), (0.6, "other")))
+    bits = label_bits(spark, d).withColumnRenamed("node", "q")
+    return E.node_bootstrap(base.join(other, ["q", "class"]).join(bits, ["q", "class"]), 2000, 17)
 
 
 @query()
 def seeded_sample(spark, d):
-    ids = [r["node"] for r in suppliers(spark, d).orderBy("node").collect()]
-    return spark.createDataFrame([(i,) for i in E.sample_ids(ids, len(ids) // 2, 3434)], "node long")
+    ids = suppliers(spark, d)
+    return E.sample_ids(ids, ids.count() // 2, 3434)
 
 
 @query()
 def seed_search(spark, d):
-    rows = predictions(spark, d).orderBy("q").collect()
-    right = [int(r["truth"] == r["pred"]) for r in rows]
-    return E.seed_search(spark, [right], [round(0.6 * len(right) * 0.5)], max(1, len(right) // 2), 2000, 10)
+    right = predictions(spark, d).orderBy("q").select((F.col("truth") == F.col("pred")).cast("int").alias("x"))
+    right = right.toArrow().column(0).to_pylist()  # a bit for each labelled node, which every seed's sample is taken from
+    return E.seed_search(spark, [right], [round(0.6 * len(right) * 0.5)], max(1, len(right) // 2), 100_000, 20)
 
 
 @query()
 def multilabel_folds(spark, d):
     return E.multilabel_folds(label_bits(spark, d), 4, 20260805)
-
-
-@query()
-def stratified_folds(spark, d):
-    return E.stratified_folds(regions(spark, d), 5, 7)

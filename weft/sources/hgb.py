@@ -4,15 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-CATALOG = T.StructType(
-    [
-        T.StructField("link.dat", T.MapType(T.StringType(), T.StructType([T.StructField(c, T.StringType()) for c in ("start", "end", "meaning")]))),
-        T.StructField("label.dat", T.MapType(T.StringType(), T.MapType(T.StringType(), T.StringType()))),
-    ]
-)
+_LINKS = "map<string, struct<start: string, end: string, meaning: string>>"
+_NAMES = "map<string, map<string, string>>"
 
 # Relation ids of the published meta-paths, half and full.
 META_PATHS = {
@@ -31,7 +26,15 @@ def _fields(spark: SparkSession, path: str, least: int, most: int | None = None)
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CATALOG).json(path, multiLine=True)
+    """One row: `link.dat`, relation id to start, end and meaning; `label.dat`, node type to class names.
+
+    The maps stand under "link type" and "node type" in published catalogs, or directly under the file's name."""
+    text = spark.read.text(path, wholetext=True)
+    nested = F.from_json("value", f"`link.dat` struct<`link type`: {_LINKS}>, `label.dat` struct<`node type`: {_NAMES}>")
+    flat = F.from_json("value", f"`link.dat` {_LINKS}, `label.dat` {_NAMES}")
+    both = text.select(nested.alias("n"), flat.alias("f"))
+    links = F.coalesce(F.col("n.`link.dat`.`link type`"), F.col("f.`link.dat`")).alias("link.dat")
+    return both.select(links, F.coalesce(F.col("n.`label.dat`.`node type`"), F.col("f.`label.dat`")).alias("label.dat"))
 
 
 def read_nodes(spark: SparkSession, path: str) -> DataFrame:
@@ -85,9 +88,46 @@ def read_labels(spark: SparkSession, path: str, shift: int, classes: int, multil
     return ids.select("node", "c", every).select("node", "class", F.array_contains("c", F.col("class")).cast("int").alias("bit"))
 
 
+def read_legacy_labels(spark: SparkSession, path: str) -> DataFrame:
+    """(node, label) from the first and fourth field of a label file, ids as they stand there."""
+    f = _fields(spark, path, 4)
+    return f.select(f.f[0].cast("long").alias("node"), f.f[3].cast("int").alias("label"))
+
+
+def write_labels(train: DataFrame, test: DataFrame, path: str) -> None:
+    """Both label tables, partitioned by split; a node in both is an error."""
+    if not train.select("node").intersect(test.select("node")).isEmpty():
+        raise ValueError("train and test labels share nodes")
+    both = train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+    both.write.mode("overwrite").partitionBy("split").parquet(path)
+
+
+def load_split(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Training and test labels."""
+    whole = spark.read.parquet(path)
+    return tuple(whole.where(F.col("split") == s).drop("split") for s in ("train", "test"))
+
+
+def load_training_labels(spark: SparkSession, path: str) -> DataFrame:
+    """Training labels alone; the other partition is not read."""
+    return spark.read.parquet(path).where(F.col("split") == "train").drop("split")
+
+
+def load_test_ids(spark: SparkSession, path: str) -> DataFrame:
+    """Ids of the test nodes without their labels, for predictions before any truth is read."""
+    return spark.read.parquet(path).where(F.col("split") == "test").select("node").distinct()
+
+
+def meta_path(spark: SparkSession, path: str, dataset: str, name: str, full: bool = False) -> list[DataFrame]:
+    """The relations of a published meta-path, its half or the whole; an unknown one is an error."""
+    if name not in META_PATHS.get(dataset, {}):
+        raise ValueError(f"{dataset} has no meta-path {name}")
+    return [read_relation(spark, path, rel) for rel in META_PATHS[dataset][name][full]]
+
+
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     """(path, sha256) of files, by a binary scan."""
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+    return spark.read.format("binaryFile").load(path.split(",")).select("path", F.sha2("content", 256).alias("sha256"))
 
 
 def fingerprint(ids: DataFrame) -> DataFrame:
