@@ -385,11 +385,14 @@ def list_pairs(
     first = _edges(token, leader)[:-1]
     low, high, place = np.minimum.reduceat(low, first), np.maximum.reduceat(high, first), np.minimum.reduceat(place, first)
     token, leader, group = token[first], leader[first], group[first]
-    order = np.lexsort((low, group, token))
-    token, leader, group, low, high, place = (v[order] for v in (token, leader, group, low, high, place))
+    # entries of a group that fills a block in a list keep to their own blocks; the others share mixed ones
+    edges = _edges(token, group)
+    large = np.repeat(np.diff(edges) >= BLOCK, np.diff(edges))
+    order = np.lexsort((low, np.where(large, group, 0), large, token))
+    token, leader, group, low, high, place, large = (v[order] for v in (token, leader, group, low, high, place, large))
     left = high - place  # elements from the shared one on
-    # blocks of one group in one list, with bounds of their sizes and of what follows the shared element
-    run = _edges(token, group)[:-1]
+    # blocks with bounds of their sizes and of what follows the shared element
+    run = _edges(token, large, np.where(large, group, 0))[:-1]
     lengths = np.diff(np.r_[run, len(token)])
     pieces = -(-lengths // BLOCK)
     inner = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
@@ -399,7 +402,7 @@ def list_pairs(
     most = np.maximum.reduceat(left, starts)
     order = np.lexsort((lowest, token[starts]))
     starts, sizes, lowest, highest, most = (v[order] for v in (starts, sizes, lowest, highest, most))
-    owner, lists = group[starts], token[starts]
+    owner, mixed, lists = group[starts], ~large[starts], token[starts]
     edge = _edges(lists)
     stop = np.repeat(edge[1:], np.diff(edge))
     found: list[np.ndarray] = []
@@ -409,22 +412,24 @@ def list_pairs(
         x, y = np.repeat(x, cells), np.repeat(y, cells)
         cell = np.arange(int(cells.sum())) - np.repeat(np.cumsum(cells) - cells, cells)
         i, j = starts[x] + cell // sizes[y], starts[y] + cell % sizes[y]
-        good = (high[i] * den >= low[j] * num) & (high[j] * den >= low[i] * num)
+        good = (group[i] != group[j]) & (high[i] * den >= low[j] * num) & (high[j] * den >= low[i] * num)
         good &= np.minimum(left[i], left[j]) * (num + den) >= num * (low[i] + low[j])
         if good.any():
             a, b = leader[i[good]], leader[j[good]]
             found.append(np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0))
 
-    alive, step = np.arange(len(starts)), 1
+    alive, step = np.arange(len(starts)), 0
     while len(alive):
         alive = alive[alive + step < stop[alive]]
         alive = alive[lowest[alive + step] * num <= highest[alive] * den]  # blocks ascend: later ones are out too
         x, y = alive, alive + step
-        may = (owner[x] != owner[y]) & (highest[y] * den >= lowest[x] * num)
+        may = (mixed[x] | mixed[y] | (owner[x] != owner[y])) & (highest[y] * den >= lowest[x] * num)
         may &= np.minimum(most[x], most[y]) * (num + den) >= num * (lowest[x] + lowest[y])
         x, y = x[may], y[may]
-        for at in range(0, len(x), 4096):
-            expand(x[at : at + 4096], y[at : at + 4096])
+        for at in range(0, len(x), 256):
+            expand(x[at : at + 256], y[at : at + 256])
+        if sum(map(len, found)) > 200_000:
+            found = [np.unique(np.concatenate(found), axis=0)]
         step += 1
     return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
 
