@@ -272,6 +272,27 @@ def test_archive_round_trip(spark, tmp_path):
     assert warc.read_archive(spark, str(tmp_path / "e")).count() == 0
 
 
+def held_out_scores(spark, name, target):
+    """(score, predicted, label) of the held-out labelled rows."""
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", F.col(target).alias("y"))
+    got = queries.queries()[name](spark, "/root/testdata/sf0.01").where("held_out").join(labels, "doc_id")
+    return [(r["score"], r["predicted"], r["y"]) for r in got.select("score", "predicted", "y").collect()]
+
+
+def auc(rows):
+    """The share of pairs of a positive and a negative row that the score puts in order, ties half."""
+    yes, no = ([s for s, _, y in rows if y == k] for k in (1, 0))
+    return sum((a > b) + (a == b) / 2 for a in yes for b in no) / (len(yes) * len(no))
+
+
+def test_held_out_ranking(spark):
+    rows = held_out_scores(spark, "op4_toxicity", "toxic")
+    toxic = [p for _, p, y in rows if y == 1]
+    flagged = [y for _, p, y in rows if p == 1]
+    assert auc(rows) >= 0.75 and sum(toxic) >= 0.6 * len(toxic) and sum(flagged) >= 0.9 * len(flagged)
+    assert auc(held_out_scores(spark, "op7_quality_classifier", "quality")) >= 0.95
+
+
 def held_out_accuracy(spark, name, target):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", F.col(target).alias("y"))
     got = queries.queries()[name](spark, "/root/testdata/sf0.01").where("held_out").join(labels, "doc_id")
@@ -393,6 +414,48 @@ def test_decontamination_is_the_same_in_rounds(spark, monkeypatch):
     assert len(decontaminate.indexes(items)) > 2 and found() == whole
 
 
+def test_decontamination_by_brute_force(spark):
+    """BM25 over all items for each passage, then overlaps of word runs: the same pairs and no others."""
+    r = random.Random(21)
+    word = lambda: r.choice("abcdefghijklmnopqrst") * r.randint(1, 3)
+    items = [(i, " ".join(word() for _ in range(r.randint(3, 9))) + "? " + " ".join(word() for _ in range(r.randint(1, 5)))) for i in range(40)]
+    texts = []
+    for _, t in items:
+        own = [w for w in t.split() if r.random() < 0.85]
+        texts += [t, " ".join(own), " ".join([word() for _ in range(40)] + own + [word() for _ in range(60)])]
+    texts += [" ".join(word() for _ in range(n)) for n in (0, 1, 30, 200)] + [t for _, t in items[:5]]
+    split = [(i, *decontaminate.parts(t)) for i, t in items]
+    df, mean = Counter(w for _, q, a in split for w in set(q + a)), sum(len(q) + len(a) for _, q, a in split) / len(split)
+    stride = max(32, max(len(q) + len(a) for _, q, a in split))
+    weight = {}
+    for i, q, a in split:
+        bag = Counter(q + a)
+        raw = {
+            w: decontaminate.math.log(1 + (len(split) - df[w] + 0.5) / (df[w] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(q + a) / mean))
+            for w, f in bag.items()
+        }
+        weight[i] = {w: x / sum(raw.values()) for w, x in raw.items()}
+    want = set()
+    for d, text in enumerate(texts):
+        w = decontaminate.words(text)
+        for at in range(0, len(w), stride):
+            passage = w[at : at + 2 * stride]
+            for i, q, a in split:
+                if sum(x for t, x in weight[i].items() if t in set(passage)) >= decontaminate.MIN_SCORE - 1e-12:
+                    shares = []
+                    for part in (q, a):
+                        n = min(decontaminate.RUN, len(part))
+                        runs = {tuple(part[k : k + n]) for k in range(len(part) - n + 1)} if part else set()
+                        here = {tuple(passage[k : k + n]) for k in range(len(passage) - n + 1)} if part else set()
+                        shares.append(len(runs & here) / len(runs) if runs else 1.0)
+                    if min(shares) >= decontaminate.MIN_OVERLAP:
+                        want.add((d, i))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = decontaminate.matches(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(found) == len(want) and {(x["doc_id"], x["item_id"]) for x in found} == want
+    assert len(want) < len(texts) * len(items) / 4
+
+
 def test_wand_is_exhaustive():
     r = random.Random(5)
     items = [(i, " ".join(r.choice("abcdefghijklmnopqrstuvwxyz") * 2 for _ in range(r.randint(3, 12)))) for i in range(150)]
@@ -527,6 +590,15 @@ def test_bpe_appends_and_edits(encoder):
         assert table.last == bpe.Prefixes(v, table.data).last
 
 
+def test_bpe_query_is_the_library_on_every_document(spark, library):
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    for r in queries.op10_byte_level_bpe(spark, DATA).collect():
+        ids = library.encode_ordinary(texts[r["doc_id"]])
+        packed = b"".join(i.to_bytes(4, "little") for i in ids)
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(packed).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+
+
 def test_bpe_rows(spark, odd, none):
     path = public_tokenizers.path(queries.VOCABULARY)
     got = bpe.encode(odd, path, public_tokenizers.PATTERN).collect()

@@ -87,6 +87,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
+JACCARD_SQL = r"""
+WITH RECURSIVE
+w AS (
+    SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+    FROM documents
+),
+sh AS (
+    SELECT DISTINCT doc_id, array_to_string(ws[i : i + 2], ' ') AS s
+    FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS i FROM w WHERE len(ws) > 0)
+),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+    SELECT doc_id AS node, doc_id AS root FROM documents
+    UNION
+    SELECT e.b, r.root FROM reach r JOIN edges e ON e.a = r.node WHERE r.root < e.b
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
+JOIN (SELECT node, min(root) AS component_id FROM reach GROUP BY 1) c ON c.node = d.doc_id
+"""
+
 DEDUP_SQL = """
 SELECT doc_id,
        max(doc_id) OVER same AS keep_id,
@@ -121,4 +145,4 @@ FROM p
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": DEDUP_SQL, "op5_warc": WARC_SQL}
+    return {"op1_ngram_jaccard_join": JACCARD_SQL, "op2_exact_dedup": DEDUP_SQL, "op5_warc": WARC_SQL}
