@@ -396,8 +396,9 @@ def nested_out_of_fold(spark, d):
     chosen = nested_choices(spark, d).select(F.col("outer_fold").alias("fold"), F.col("beta").alias("own"))
     betas = {"selected": F.col("own"), "current": F.lit(0.5), "magnitude": F.lit(0.0)}
     each = F.array(*(F.struct(F.lit(m).alias("method"), M.relative_affinity(F.col("j"), F.col("bc"), b).alias("score")) for m, b in betas.items()))
-    scored = jb.join(F.broadcast(chosen), "fold", "left").select("q", "r", F.explode(each).alias("s")).select("s.method", "q", "r", "s.score")
-    scored = scored.where("score IS NOT NULL")  # a fold without inner folds has no choice
+    scored = jb.join(F.broadcast(chosen), "fold", "left").select("q", "r", "own", F.explode(each).alias("s"))
+    scored = scored.where("s.method <> 'selected' OR own IS NOT NULL")  # a fold without inner folds has no choice
+    scored = scored.select("s.method", "q", "r", "s.score")
     out = E.out_of_fold(voted(spark, d, scored), "current")
     return out.select("method", *(F.round(c, 9).alias(c) for c in ("macro_f1", "accuracy", "macro_f1_gain", "accuracy_gain")))
 
