@@ -812,7 +812,7 @@ def multilabel_metrics(spark, d):
 
 
 def multilabel_pipeline_grid(spark, d) -> DataFrame:
-    """All 480 settings of the reference's select_pipeline: path weights in quarters over three paths, k, gamma,
+    """All 480 settings: path weights in quarters over three paths, k, gamma,
     prior power and threshold, each scored on four folds of the training suppliers only."""
     train = suppliers(spark, d).where(~is_test("node"))
     bits = label_bits(spark, d).where(~is_test("node"))
