@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,6 +32,25 @@ def top_k(scores: DataFrame, k: int, value: str = "score", largest: bool = True,
     return scores.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def grid_top_k(
+    pairs: DataFrame, grid: DataFrame, score: Callable[[Column], Column], k: int, by: tuple[str, ...] = ("fold", "q"), allowed: Callable[[Column], Column] | None = None
+) -> DataFrame:
+    """(columns of the grid, by, q, r, score, rank): ``top_k`` for each row of a small ``grid``.
+
+    ``score`` makes a pair's score from its struct and from columns of the grid and ``by``; ``allowed`` says which
+    pairs count in a setting. The pairs of a query are gathered once and ranked for one setting after the
+    other, so that the grid multiplies queries, not pairs.
+    """
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    lists = pairs.groupBy(*by).agg(F.collect_list(F.struct(*(c for c in pairs.columns if c not in by))).alias("_near"))
+    near = F.filter("_near", allowed) if allowed else F.col("_near")
+    placed = F.transform(near, lambda x: F.struct((-score(x)).alias("o"), x["r"].alias("r")))
+    best = F.slice(F.sort_array(placed), 1, k)
+    out = lists.join(F.broadcast(grid)).select(*grid.columns, *by, F.posexplode(best).alias("_at", "_x"))
+    return out.select(*grid.columns, *by, F.col("_x.r").alias("r"), (-F.col("_x.o")).alias("score"), (F.col("_at") + 1).alias("rank"))
+
+
 def require_k(k: int, candidates: DataFrame) -> None:
     """k beyond the number of candidates is an error."""
     if k < 1 or candidates.limit(k).count() < k:
