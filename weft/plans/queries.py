@@ -293,6 +293,14 @@ def exact_bounds(pairs: DataFrame) -> DataFrame:
     return pairs.agg(b0.alias("b0"), (F.max("mx_q") - F.min("mi_q")).alias("rg")).select("b0", F.greatest(F.col("b0") * F.col("rg"), F.lit(1.0)).alias("b1"))
 
 
+def exact_bounds_of(nodes: DataFrame, rel: DataFrame) -> DataFrame:
+    """As ``exact_bounds`` of all pairs of ``nodes``, from statistics and the pairs that share a dimension."""
+    stats = P.node_stats(nodes, rel)
+    top = F.greatest(F.max("far"), F.lit(1)).cast("double").alias("b0")
+    span = stats.agg((F.max("mx") - F.min("mi")).alias("rg"))
+    return P.farthest(nodes, rel).agg(top).join(F.broadcast(span)).select("b0", F.greatest(F.col("b0") * F.col("rg"), F.lit(1.0)).alias("b1"))
+
+
 def global_sql(alpha: str) -> str:
     return clip(f"1.0::DOUBLE - ({alpha} * {VHAM} / b0 + (1.0::DOUBLE - {alpha}) * {L1} / b1)")
 
@@ -352,7 +360,7 @@ def legacy_range_similarity(spark, d):
 )
 def alpha_lambda(spark, d):
     grid = spark.range(11).select((F.col("id") / F.lit(10.0)).alias("alpha"))
-    both = grid.join(F.broadcast(exact_bounds(sp_pairs(spark, d))))
+    both = grid.join(F.broadcast(exact_bounds_of(suppliers(spark, d), stored(sp(spark, d)))))
     return both.withColumn("lambda", M.lambda_of_alpha(F.col("alpha"), F.col("b0"), F.col("b1")))
 
 
