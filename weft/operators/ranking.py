@@ -33,12 +33,13 @@ def top_k(scores: DataFrame, k: int, value: str = "score", largest: bool = True,
 
 
 def grid_top_k(
-    pairs: DataFrame, grid: DataFrame, score: Callable[[Column], Column], k: int, by: tuple[str, ...] = ("fold", "q"), allowed: Callable[[Column], Column] | None = None
-) -> DataFrame:
+    pairs: DataFrame, grid: DataFrame, score: Callable[[Column], Column], k: int, by: tuple[str, ...] = ("fold", "q"), allowed: Callable[[Column], Column] | None = None,
+    digits: int | None = None,
+) -> DataFrame:
     """(columns of the grid, by, q, r, score, rank): ``top_k`` for each row of a small ``grid``.
 
     ``score`` makes a pair's score from its struct and from columns of the grid and ``by``; ``allowed`` says which
-    pairs count in a setting. The pairs of a query are gathered once and ranked for one setting after the
+    pairs count in a setting; with ``digits`` scores are rounded, but only those that can be among the best. The pairs of a query are gathered once and ranked for one setting after the
     other, so that the grid multiplies queries, not pairs.
     """
     if k < 1:
@@ -46,7 +47,15 @@ def grid_top_k(
     lists = pairs.groupBy(*by).agg(F.collect_list(F.struct(*(c for c in pairs.columns if c not in by))).alias("_near"))
     near = F.filter("_near", allowed) if allowed else F.col("_near")
     placed = F.transform(near, lambda x: F.struct((-score(x)).alias("o"), x["r"].alias("r")))
-    best = F.slice(F.sort_array(placed), 1, k)
+    if digits is None:
+        best = F.slice(F.sort_array(placed), 1, k)
+    else:
+        worst = lambda a: F.coalesce(F.get(a, F.lit(k - 1))["o"], F.lit(float("inf"))) + 2 * 10.0**-digits
+        lists = lists.join(F.broadcast(grid)).select(*grid.columns, *by, F.sort_array(placed).alias("_all")).withColumn("_worst", worst("_all"))
+        close = F.transform(F.filter("_all", lambda x: x["o"] <= F.col("_worst")), lambda x: F.struct((-F.round(-x["o"], digits)).alias("o"), x["r"].alias("r")))
+        best = F.slice(F.sort_array(close), 1, k)
+        out = lists.select(*grid.columns, *by, F.posexplode(best).alias("_at", "_x"))
+        return out.select(*grid.columns, *by, F.col("_x.r").alias("r"), (-F.col("_x.o")).alias("score"), (F.col("_at") + 1).alias("rank"))
     out = lists.join(F.broadcast(grid)).select(*grid.columns, *by, F.posexplode(best).alias("_at", "_x"))
     return out.select(*grid.columns, *by, F.col("_x.r").alias("r"), (-F.col("_x.o")).alias("score"), (F.col("_at") + 1).alias("rank"))
 

@@ -742,12 +742,11 @@ def beta_grid_select_adaptive(spark, d):
 )
 def fusion_grid_select(spark, d):
     grid = line(spark, 10, "weight")
-    paths = two_paths(spark, d).groupBy("q", "r").agg(
-        F.max(F.when(F.col("path") == "spart", F.col("score"))).alias("a"), F.max(F.when(F.col("path") == "scust", F.col("score"))).alias("b")
+    train = suppliers(spark, d).where(~is_test("node")).withColumn("fold", own_fold("node"))
+    rels = [stored(rel.where(~is_test("i"))) for rel in (sp(spark, d), sc(spark, d))]
+    near = R.grid_top_k(
+        P.path_candidates(train, rels, relative_score(), K), grid, lambda x: F.col("weight") * x["s0"] + (1.0 - F.col("weight")) * x["s1"], K, digits=12
     )
-    score = F.round(F.col("weight") * F.col("a") + (1.0 - F.col("weight")) * F.col("b"), 12)
-    scored = folded(paths).join(F.broadcast(grid)).withColumn("score", score)
-    near = R.top_k(scored, K, by=("g", "fold", "q"))
     best = select_best(spark, d, near, grid, [F.abs(F.col("weight") - 0.5)])
     return best.select("g", "weight", F.round("macro_f1", 9).alias("macro_f1"), F.round("accuracy", 9).alias("accuracy"))
 
