@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def build(edges: DataFrame, src: str, dst: str, weight: Column | None = None) -> DataFrame:
-    """Sum duplicate edges into (i, j, w); without a weight each edge counts 1."""
+def build(edges: DataFrame, src: str, dst: str, weight: Column | None = None, by_dimension: bool = False) -> DataFrame:
+    """Sum duplicate edges into (i, j, w); without a weight each edge counts 1. ``by_dimension`` deals edges out by
+    their end, so that lists of a dimension's members need no further shuffle."""
     w = (weight if weight is not None else F.lit(1)).cast("double")
-    return edges.select(F.col(src).alias("i"), F.col(dst).alias("j"), w.alias("_w")).groupBy("i", "j").agg(F.sum("_w").alias("w"))
+    ends = edges.select(F.col(src).alias("i"), F.col(dst).alias("j"), w.alias("_w"))
+    return (ends.repartition("j") if by_dimension else ends).groupBy("i", "j").agg(F.sum("_w").alias("w"))
 
 
 def transpose(rel: DataFrame) -> DataFrame:
