@@ -722,15 +722,67 @@ def line(spark, n: int, name: str) -> DataFrame:
     + "SELECT g, alpha, round(macro_f1, 9) AS macro_f1, round(accuracy, 9) AS accuracy FROM gm JOIN grid USING (g) ORDER BY gm.macro_f1 DESC, gm.accuracy DESC, abs(alpha - 0.5), g LIMIT 1"
 )
 def alpha_grid_select(spark, d):
-    p = written(sp_pairs(spark, d), "pairs")
+    blocks = B.Blocks(labelled(spark, d), [sp(spark, d, by_dimension=True)])
+    b0 = max(blocks.run(farthest, "far double").agg(F.max("far").alias("far")).first()["far"] or 0.0, 1.0)
+    s = blocks.stats[0]
+    b1 = max(b0 * (s.mx.max() - s.mi.min()), 1.0) if blocks.n else 1.0
+    alphas = np.arange(11)[:, None] / 10.0
+    score = lambda hamming, l1: B.clip(1.0 - (alphas * hamming / b0 + (1.0 - alphas) * l1 / b1))
     grid = line(spark, 10, "alpha")
-    a = M.global_affinity(M.value_hamming(), M.l1(), F.col("b0"), F.col("b1"), F.col("alpha"))
-    scored = folded(p).join(F.broadcast(exact_bounds(p))).join(F.broadcast(grid)).withColumn("score", a)
-    near = R.top_k(scored, K, by=("g", "fold", "q"))
-    best = select_best(spark, d, near, grid, [F.abs(F.col("alpha") - 0.5)])
+    best = best_of(graded_counts(blocks.run(distance_votes(score, "fold"), B.COUNTS), grid), [F.abs(F.col("alpha") - 0.5)])
     return best.select("g", "alpha", F.round("macro_f1", 9).alias("macro_f1"), F.round("accuracy", 9).alias("accuracy"))
 
 
+def farthest(block: B.Block) -> dict:
+    """The largest value-Hamming of the block's nodes to any node: of those that share nothing, to the one of the largest support."""
+    sup, far = block.stats[0].sup, 0.0
+    order = np.argsort(-sup, kind="stable")
+    for q in range(block.lo, block.hi):
+        hit, inter, eq = block.sums(0, q, ("inter", "eq"))
+        far = max(far, (sup[q] + sup[hit] - inter - eq).max(initial=0.0))
+        block.mask[hit] = True
+        rest = order[: len(hit) + 1]
+        far = max(far, (sup[q] + sup[rest[~block.mask[rest]]]).max(initial=0.0))
+        block.mask[hit] = False
+    return {"far": np.array([far])}
+
+
+def distance_votes(score: Callable, *splits: str) -> Callable:
+    """Votes by a score of value-Hamming and L1 that falls with both. The column ``fold``, or each of several ``splits`` (1: query,
+    0: reference, -1: neither), says whom a query may have as reference."""
+
+    def work(block: B.Block) -> dict:
+        s, (labels, code) = block.stats[0], B.classes(block.columns["label"])
+        parts, sums = [], {}
+        for at, split in enumerate(splits):
+            side = block.columns[split]
+            groups = np.unique(side[side >= 0]) if split == "fold" else [1]
+            for f in groups:
+                allowed = (side >= 0) & (side != f)
+                own = block.lo + np.flatnonzero((side[block.lo : block.hi] == f) & (code[block.lo : block.hi] >= 0))
+                if not len(own):
+                    continue
+                profiles, near = B.Profiles(s, allowed), []
+                for q in own.tolist():
+                    if q not in sums:
+                        sums[q] = block.sums(0, q, ("inter", "eq", "mn"))
+                    hit, inter, eq, mn = sums[q] if len(splits) > 1 else sums.pop(q)
+                    keep = allowed[hit]
+                    hit, inter, eq, mn = hit[keep], inter[keep], eq[keep], mn[keep]
+                    more = profiles.free(block, hit, lambda sup, act: score(s.sup[q] + sup, s.act[q] + act), K)
+                    places = np.sort(np.concatenate([hit, more]))
+                    inter, eq, mn = (B.spread(places, hit, x) for x in (inter, eq, mn))
+                    hamming = s.sup[q] + s.sup[places] - inter - eq
+                    near.append(B.nearest(places, score(hamming, s.act[q] + s.act[places] - 2.0 * mn), K))
+                near = np.stack(near)
+                ideal = np.bincount(code[allowed & (code >= 0)], minlength=len(labels))[code[own]]
+                fold = np.full(len(own), f if split == "fold" else at)
+                parts.append(B.counted(labels, fold, code[own], B.majority(near, code, len(labels)), B.gains(near, code[own], code, ideal)))
+        return B.joined(parts, B.COUNTS)
+
+    return work
+
+
 #: The grid of component weights of a path.
 BETAS = (0.0, 0.01, 0.025, 0.05, 0.1, 0.2, 0.4, 0.6, 0.8, 1.0)
 BETA_GRID = "grid AS (SELECT * FROM (VALUES " + ", ".join(f"({g}::BIGINT, {b}::DOUBLE)" for g, b in enumerate(BETAS)) + ") AS t(g, beta))"
