@@ -129,8 +129,13 @@ def entropy_weights(paths: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("p") > 0, -F.col("p") * F.ln("p")).otherwise(0.0)).alias("h"), F.count(F.lit(1)).alias("n")
     )
     mean = part.groupBy("path").agg((1 - F.avg(F.coalesce(F.try_divide("h", F.ln("n")), F.lit(1.0)))).alias("raw"))
+    return scaled(mean)
+
+
+def scaled(raw: DataFrame) -> DataFrame:
+    """(path, weight) from (path, raw): scaled to sum 1."""
     total = F.sum("raw").over(Window.partitionBy())
-    return mean.select("path", F.coalesce(F.try_divide("raw", total), F.lit(0.0)).alias("weight"))
+    return raw.select("path", F.coalesce(F.try_divide("raw", total), F.lit(0.0)).alias("weight"))
 
 
 def arg_max(grid: DataFrame, keys: list[Column], by: tuple[str, ...] = ()) -> DataFrame:

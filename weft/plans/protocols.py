@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
+from itertools import product
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import measures as M
+from ..operators import blocks as B
 from ..operators import evaluation as E
 from ..operators import pairs as P
 from ..operators import ranking as R
@@ -17,7 +21,7 @@ from .queries import (
     BITS, COSINE, FOLDED, GRID_EVAL, GRID_PRED, HELD_OUT, INNER, K, L1, LAB, NDCG, PATHSIM, QUERIES, RANGE, REL, SC, SP, SPN, SQL, VHAM,
     clip, folded, graded, grid_f1, held_out, is_test, label_bits, line, ndcg_sql, own_fold, pairs_sql, query,
     regions, relative, relative_score, sc, select_best, sp, sp_pairs, stored, suppliers, table, training_folds, with_, BETA_GRID, BETAS, JB,
-    drawn_sql,
+    drawn_sql, calibrated_views, components, distance_votes, entropy, graded_counts, labelled, simplex_weights, so, training_blocks, weighted_sum,
 )
 
 __all__ = ["QUERIES", "SQL"]

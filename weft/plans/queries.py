@@ -6,6 +6,7 @@ items) and supplier-customer-supplier. Labels are regions; the test side is ever
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 import numpy as np
@@ -451,7 +452,64 @@ ENTROPY = (
 
 @query(with_(*PATHS, ENTROPY) + "SELECT path, round(raw / sum(raw) OVER (), 9) AS weight FROM e3")
 def entropy_weights(spark, d):
-    return R.entropy_weights(two_paths(spark, d)).withColumn("weight", F.round("weight", 9))
+    rels = [rel(spark, d, by_dimension=True) for rel in (sp, sc)]
+    sums = B.Blocks(suppliers(spark, d), rels).run(relative_entropies, "path long, h double, n long")
+    name = F.get(F.array(F.lit("spart"), F.lit("scust")), F.col("path").cast("int")).alias("path")
+    raw = sums.groupBy("path").agg((1.0 - F.sum("h") / F.sum("n")).alias("raw"))
+    return R.scaled(raw).select(name, F.round("weight", 9).alias("weight"))
+
+
+def relative_entropies(block: B.Block) -> dict:
+    """Per path the sum of the normalised entropies of the block's columns. Scores are the same both ways, so a
+    column is its supplier's row."""
+    sums, allowed = [], np.ones(block.n, bool)
+    for path in range(len(block.stats)):
+        empty = int((block.stats[path].sup == 0).sum())
+        sums.append(sum(relative_entropy(block, path, q, allowed, empty, block.n, None) for q in range(block.lo, block.hi)))
+    n = len(sums)
+    return {"path": np.arange(n), "h": np.array(sums, float), "n": np.full(n, block.hi - block.lo)}
+
+
+def relative_entropy(block: B.Block, path: int, q: int, allowed: np.ndarray, empty: int, total: int, digits: int | None) -> float:
+    """The entropy of a query's shares over ``total`` references, of which ``empty`` have no links, over its largest value."""
+    _, scores = allowed_relative(block, path, q, allowed)
+    scores = scores if block.stats[path].sup[q] else np.ones(empty)
+    return entropy(B.rounded(scores, digits) if digits else scores, total)
+
+
+def entropy(scores: np.ndarray, total: int) -> float:
+    """The entropy of the shares of ``total`` scores, of which those that are not given are 0, over its largest value."""
+    if total < 2:
+        return 1.0
+    share = scores[scores > 0] / scores.sum() if scores.sum() else scores[:0]
+    return float(-(share * np.log(share)).sum() / np.log(total))
+
+
+def allowed_relative(block: B.Block, path: int, q: int, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The allowed places that share a dimension, and their relative affinity."""
+    hit, inter, mn = block.sums(path, q, ("inter", "mn"))
+    keep = allowed[hit]
+    return hit[keep], relative_of(block, path, q, hit[keep], inter[keep], mn[keep])
+
+
+def calibrated_views(block: B.Block, q: int, refs, *calibrations: Callable) -> tuple[np.ndarray, list[list[np.ndarray]]]:
+    """The references that can be among the nearest by any weights of the paths, and by calibration and path their scores."""
+    own = [allowed_relative(block, path, q, refs.allowed) for path in range(len(block.stats))]
+    places = np.unique(np.concatenate([refs.first, *(hit for hit, _ in own)]))
+    return places, [[B.calibrated(block, p, q, places, *x, refs.empty[p], refs.total, calibrate) for p, x in enumerate(own)] for calibrate in calibrations]
+
+
+def weighted_sum(weights: np.ndarray, views: list[np.ndarray]) -> np.ndarray:
+    """(setting, place): sums by each row of ``weights``, rounded, so that equal sums tie."""
+    return B.rounded(sum(weights[:, i : i + 1] * view for i, view in enumerate(views)), 12)
+
+
+def simplex_weights(spark: SparkSession) -> np.ndarray:
+    return np.array([[r["w0"], r["w1"], r["w2"]] for r in E.simplex(spark, 3, 4).orderBy("g").collect()])
+
+
+def relative_of(block: B.Block, path: int, q: int, hit: np.ndarray, inter: np.ndarray, mn: np.ndarray) -> np.ndarray:
+    return B.relative(*B.discrepancies(block.stats[path], q, hit, inter, mn), 0.4)
 
 
 @query(
