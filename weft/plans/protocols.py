@@ -216,37 +216,84 @@ TWO_BEST = (
 )
 
 
-def two_path_scores(spark, d) -> DataFrame:
-    """(method, q, r, x, y): three measures over two paths."""
-    nodes, out = suppliers(spark, d), None
-    for name, rel in (("x", sp(spark, d)), ("y", sc(spark, d))):
-        p = P.all_pairs(nodes, rel, nodes, rel)
-        scores = {"PathSim": M.pathsim(), "HeteSim": M.cosine(), "relative": relative_score()}
-        each = F.array(*(F.struct(F.lit(m).alias("method"), F.round(s, 12).alias(name)) for m, s in scores.items()))
-        p = p.select("q", "r", F.explode(each).alias("s")).select("s.method", "q", "r", f"s.{name}")
-        out = p if out is None else out.join(p, ["method", "q", "r"])
-    return out
+TWO_METHODS = ("PathSim", "HeteSim", "relative")
+VARIANTS = ("path_1", "path_2", "uniform_fusion", "selected_fusion", "entropy_fusion")
+
+
+def two_path_scores(block: B.Block, sums: list[tuple], q: int, refs) -> tuple[np.ndarray, list[list[np.ndarray]]]:
+    """The references that can be among the nearest, and by method and path their scores; ``sums`` by path: places, inter, dot, mn."""
+    places = np.unique(np.concatenate([refs.first, *(x[0][refs.allowed[x[0]]] for x in sums)]))
+    by_path = []
+    for s, (hit, *own) in zip(block.stats, sums, strict=True):
+        keep = refs.allowed[hit]
+        inter, dot, mn = (B.spread(places, hit[keep], x[keep]) for x in own)
+        scores = B.pathsim(s, q, places, dot), B.cosine(s, q, places, dot), B.relative(*B.discrepancies(s, q, places, inter, mn), 0.4)
+        by_path.append([B.rounded(x, 12) for x in scores])
+    return places, list(zip(*by_path, strict=True))
+
+
+def mixed(weight, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return B.rounded(weight * x + (1.0 - weight) * y, 12)
+
+
+def two_path_votes(block: B.Block) -> dict:
+    """Votes of training suppliers, g is the method times 11 plus the step of the weight; and with g -1 and -2 the columns of
+    each path's relative scores among all training suppliers, their number n and the sum of their entropies, gain."""
+    folds, steps = B.Folds(block, K), np.arange(11)[:, None] / 10.0
+    train, queries, near = folds.of(), set(block.queries()), []
+    own = block.lo + np.flatnonzero(folds.fold[block.lo : block.hi] >= 0)
+    total = np.zeros(2)
+    for q in own.tolist():
+        sums = [block.sums(path, q, ("inter", "dot", "mn")) for path in range(2)]
+        for path, (hit, inter, _, mn) in enumerate(sums):
+            keep, s = train.allowed[hit], block.stats[path]
+            scores = B.relative(*B.discrepancies(s, q, hit[keep], inter[keep], mn[keep]), 0.4) if s.sup[q] else np.ones(train.empty[path])
+            total[path] += entropy(B.rounded(scores, 12), train.total)
+        if q in queries:
+            places, scores = two_path_scores(block, sums, q, folds.of(folds.fold[q]))
+            near.append(B.nearest(places, np.concatenate([mixed(steps, x, y) for x, y in scores]), K))
+    zero = np.zeros(2)
+    entropies = {"g": np.array([-1, -2]), "fold": zero, "truth": zero, "pred": zero, "n": np.full(2, len(own)), "gain": total}
+    return B.joined([B.graded(block, folds, block.queries(), near), entropies], B.COUNTS)
+
+
+def variant_votes(weights: dict[int, float], entropy_weight: float) -> Callable:
+    """Votes of test suppliers by training suppliers, g is the method times 5 plus the variant."""
+
+    def work(block: B.Block) -> dict:
+        labels, code = B.classes(block.columns["label"])
+        folds, near = B.Folds(block, K), []
+        own = block.lo + np.flatnonzero((folds.fold[block.lo : block.hi] < 0) & (code[block.lo : block.hi] >= 0))
+        for q in own.tolist():
+            sums = [block.sums(path, q, ("inter", "dot", "mn")) for path in range(2)]
+            places, scores = two_path_scores(block, sums, q, folds.of())
+            tried = [np.stack([x, y, mixed(0.5, x, y), mixed(weights.get(m, 0.5), x, y), mixed(entropy_weight, x, y)]) for m, (x, y) in enumerate(scores)]
+            near.append(B.nearest(places, np.concatenate(tried), K))
+        if not near:
+            return B.joined([], B.COUNTS)
+        return B.counted(labels, np.zeros(len(own), int), code[own], B.majority(np.stack(near), code, len(labels)))
+
+    return work
 
 
 def evaluate_variants(spark, d) -> DataFrame:
     """Metrics of each method's variants on the test suppliers; the weight is chosen on the training folds."""
-    scores = written(two_path_scores(spark, d), "two-paths")
-    grid = line(spark, 10, "weight").withColumnRenamed("g", "step")
-    mix = lambda w: F.round(w * F.col("x") + (1.0 - w) * F.col("y"), 12)
-    tried = folded(scores).join(F.broadcast(grid)).withColumn("score", mix(F.col("weight"))).withColumn("g", F.concat("method", F.col("step").cast("string")))
-    methods = spark.createDataFrame([(m,) for m in ("PathSim", "HeteSim", "relative")], "method string")
-    settings = methods.join(grid).select("method", "step", "weight", F.concat("method", F.col("step").cast("string")).alias("g"))
-    best = R.arg_max(graded(spark, d, R.top_k(tried, K, by=("g", "fold", "q")), settings), [F.desc("macro_f1"), F.desc("accuracy"), F.abs(F.col("weight") - 0.5), F.col("step")], ("method",)).select("method", "weight")
-    best = written(best, "weights")
-    train = scores.where("method = 'relative'").where(~is_test("q") & ~is_test("r"))
-    paths = train.select(F.explode(F.array(*(F.struct(F.lit(c).alias("path"), F.col(c).alias("score")) for c in "xy"))).alias("s"), "q", "r")
-    entropy = R.entropy_weights(paths.select("s.path", "q", "r", "s.score")).where("path = 'x'").select(F.round("weight", 9).alias("entropy"))
-    test = scores.where(is_test("q") & ~is_test("r")).join(F.broadcast(best), "method").join(F.broadcast(entropy))
-    variants = {"path_1": F.col("x"), "path_2": F.col("y"), "uniform_fusion": mix(F.lit(0.5)), "selected_fusion": mix(F.col("weight")), "entropy_fusion": mix(F.col("entropy"))}
-    each = F.array(*(F.struct(F.lit(v).alias("variant"), s.alias("score")) for v, s in variants.items()))
-    test = test.select("method", "q", "r", F.explode(each).alias("s")).select("method", "s.variant", "q", "r", "s.score")
-    test = test.where("variant <> 'entropy_fusion' OR method = 'relative'")
-    return E.classification_metrics(voted(spark, d, test, ("method", "variant")), ("method", "variant"), "truth")
+    blocks = B.Blocks(labelled(spark, d), [rel(spark, d, by_dimension=True) for rel in (sp, sc)])
+    counts = blocks.run(two_path_votes, B.COUNTS).groupBy("g", "fold", "truth", "pred").agg(F.sum("n").alias("n"), F.sum("gain").alias("gain"))
+    counts = written(counts, "counts")
+    settings = spark.createDataFrame([(m * 11 + step, m, step, step / 10.0) for m in range(3) for step in range(11)], "g long, method int, step long, weight double")
+    rows = graded_counts(counts.where("g >= 0"), settings)
+    best = R.arg_max(rows, [F.desc("macro_f1"), F.desc("accuracy"), F.abs(F.col("weight") - 0.5), F.col("step")], ("method",)).select("method", "weight")
+    weights = {r["method"]: r["weight"] for r in best.collect()}
+    raw = {r["g"]: 1.0 - r["gain"] / r["n"] for r in counts.where("g < 0 AND n > 0").collect()}
+    total = sum(raw.values())
+    share = float(B.rounded(np.float64(raw[-1] / total), 9)) if total else 0.0
+    names = [(m * 5 + v, method, variant) for m, method in enumerate(TWO_METHODS) for v, variant in enumerate(VARIANTS)]
+    # without a choice there is no selected fusion; entropy weights are those of one method
+    names = [x for x in names if (x[2] != "selected_fusion" or x[0] // 5 in weights) and (x[2] != "entropy_fusion" or x[1] == "relative")]
+    out = blocks.run(variant_votes(weights, share), B.COUNTS).join(F.broadcast(spark.createDataFrame(names, "g long, method string, variant string")), "g")
+    out = out.groupBy("method", "variant", "truth", "pred").agg(F.sum("n").alias("n"))
+    return E.classification_metrics(written(out, "counts"), ("method", "variant"), "truth")
 
 
 @query(
