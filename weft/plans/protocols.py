@@ -622,11 +622,20 @@ FIXED = (
 )
 def fixed_external_prediction(spark, d):
     """A fixed configuration on held-out suppliers: two rank-calibrated paths, k 15, gamma 2, prior power 1, threshold 0.6."""
-    nodes, views = suppliers(spark, d), []
-    for i, rel in enumerate((sp(spark, d), sc(spark, d))):
-        p = P.all_pairs(nodes.where(is_test("node")), rel.where(is_test("i")), nodes.where(~is_test("node")), rel.where(~is_test("i")))
-        views.append(R.rank_calibrate(p.select("q", "r", relative_score())).select("q", "r", F.col("calibrated").alias(f"c{i}")))
-    fused = views[0].join(views[1], ["q", "r"]).select("q", "r", F.round(0.75 * F.col("c0") + 0.25 * F.col("c1"), 12).alias("score"))
+    blocks = B.Blocks(labelled(spark, d), [rel(spark, d, by_dimension=True) for rel in (sp, sc)])
+    near = blocks.run(fixed_neighbours, "q long, r long, score double")
     bits = label_bits(spark, d)
     share = bits.where(~is_test("node")).groupBy("class").agg(F.avg(F.col("bit").cast("double")).alias("share"))
-    return R.multilabel_predict(R.top_k(fused, 15), bits, share, 2.0, 1.0, 0.6)
+    return R.multilabel_predict(written(near, "neighbours"), bits, share, 2.0, 1.0, 0.6)
+
+
+def fixed_neighbours(block: B.Block) -> dict:
+    """The 15 nearest training suppliers of each test supplier."""
+    folds, ids, parts = B.Folds(block, 15), block.columns["node"], []
+    for q in (block.lo + np.flatnonzero(folds.fold[block.lo : block.hi] < 0)).tolist():
+        places, (views,) = calibrated_views(block, q, folds.of(), B.rank_levels)
+        score = weighted_sum(np.array([[0.75, 0.25]]), views)
+        at = B.best(score, 15)[0]
+        at = at[at >= 0]
+        parts.append({"q": np.full(len(at), ids[q]), "r": ids[places[at]], "score": score[0, at]})
+    return B.joined(parts, "q long, r long, score double")
