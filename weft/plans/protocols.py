@@ -20,7 +20,7 @@ from ..sources.cache import written
 from .queries import (
     BITS, COSINE, FOLDED, GRID_EVAL, GRID_PRED, HELD_OUT, INNER, K, L1, LAB, NDCG, PATHSIM, QUERIES, RANGE, REL, SC, SP, SPN, SQL, VHAM,
     clip, folded, graded, grid_f1, held_out, is_test, label_bits, line, ndcg_sql, own_fold, pairs_sql, query,
-    regions, relative, relative_score, sc, select_best, sp, sp_pairs, stored, suppliers, table, training_folds, with_, BETA_GRID, BETAS, JB,
+    regions, relative, relative_score, sc, select_best, sp, sp_pairs, stored, suppliers, table, with_, BETA_GRID, BETAS, JB,
     drawn_sql, calibrated_views, components, distance_votes, entropy, graded_counts, labelled, simplex_weights, so, training_blocks, weighted_sum,
 )
 

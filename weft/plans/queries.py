@@ -989,24 +989,42 @@ def multilabel_metrics(spark, d):
 def multilabel_pipeline_grid(spark, d) -> DataFrame:
     """All 480 settings: path weights in quarters over three paths, k, gamma,
     prior power and threshold, each scored on four folds of the training suppliers only."""
-    train = suppliers(spark, d).where(~is_test("node"))
     bits = label_bits(spark, d).where(~is_test("node"))
-    folds = E.multilabel_folds(bits, 4, 20260805)
-    nodes = folds.select(F.col("node").alias("q"), "fold").join(folds.select(F.col("node").alias("r"), F.col("fold").alias("_other")))
-    nodes = nodes.where("fold <> _other").drop("_other")
-    rels = (sp(spark, d), sc(spark, d), L.build(table(spark, d, "lineitem"), "l_suppkey", "l_orderkey"))
-    views = None
-    for i, rel in enumerate(rels):
-        one = P.all_pairs(train, rel, train, rel)
-        one = one.select("q", "r", M.relative_affinity(M.jaccard(), M.bray_curtis(), F.lit(0.4)).alias("score")).join(nodes, ["q", "r"])
-        one = R.rank_calibrate(one).select("fold", "q", "r", F.col("calibrated").alias(f"s{i}"))
-        views = one if views is None else views.join(one, ["fold", "q", "r"])
-    grid = E.simplex(spark, 3, 4)
-    score = F.round(sum(F.col(f"w{i}") * F.col(f"s{i}") for i in range(3)), 12)
-    scored = views.join(F.broadcast(grid)).select("g", "fold", "q", "r", score.alias("score"))
-    bits = bits.join(folds, "node")
-    out = E.evaluate_multilabel_grid(scored, bits, (10, 15), (1.0, 2.0), (0.0, 1.0), (0.3, 0.4, 0.5, 0.6))
-    return out.join(F.broadcast(grid), "g")
+    folds = E.multilabel_folds(bits, 4, 20260805).withColumn("fold", F.col("fold").cast("long"))
+    wide = bits.groupBy("node").pivot("class", list(range(5))).agg(F.first("bit").cast("long"))
+    nodes = suppliers(spark, d).join(folds, "node", "left").join(wide, "node", "left").fillna(-1, ["fold"]).fillna(0)
+    rels = [rel(spark, d, by_dimension=True).where(~is_test("i")) for rel in (sp, sc, so)]
+    counts = B.Blocks(nodes.withColumn("label", F.lit(0).cast("long")), rels).run(multilabel_votes(simplex_weights(spark)), B.MULTILABEL)
+    values = [(*x,) for x in itertools.product(range(15), *MULTILABEL_SETTINGS)]
+    settings = spark.createDataFrame([(at, *x) for at, x in enumerate(values)], "at long, g int, k int, gamma double, prior double, threshold double")
+    out = E.evaluate_multilabel_counts(written(counts, "counts")).withColumnRenamed("g", "at").join(F.broadcast(settings), "at").drop("at")
+    return out.join(F.broadcast(E.simplex(spark, 3, 4)), "g")
+
+
+MULTILABEL_SETTINGS = ((10, 15), (1.0, 2.0), (0.0, 1.0), (0.3, 0.4, 0.5, 0.6))
+
+
+def multilabel_votes(weights: np.ndarray) -> Callable:
+    """Counts of the predictions of every setting, of training suppliers by those of the other folds."""
+
+    def work(block: B.Block) -> dict:
+        folds, queries, near, scores = B.Folds(block, 15), block.queries(), [], []
+        for q in queries:
+            places, (views,) = calibrated_views(block, q, folds.of(folds.fold[q]), B.rank_levels)
+            score = weighted_sum(weights, views)
+            at = B.best(score, 15)
+            near.append(np.where(at >= 0, places[at], -1))
+            scores.append(np.take_along_axis(score, at, 1))
+        # without references there is no prediction
+        queries, near, scores = ([x[i] for i, n in enumerate(near) if n[0, 0] >= 0] for x in (queries, near, scores))
+        if not queries:
+            return B.joined([], B.MULTILABEL)
+        bits = np.stack([block.columns[str(c)] for c in range(5)], 1)
+        fold = folds.fold[queries]
+        share = {f: bits[folds.of(f).allowed].mean(0) for f in np.unique(fold)}
+        return B.multilabel_settings(np.stack(near), np.stack(scores), bits, np.stack([share[f] for f in fold]), bits[queries], fold, *MULTILABEL_SETTINGS)
+
+    return work
 
 
 @query()
