@@ -433,17 +433,13 @@ def nested_votes(out_of_fold: bool) -> Callable:
         betas, near = np.array(FIXED_BETAS)[:, None], {}
         for q in block.queries():
             own = folds.fold[q]
-            refs = folds.of(own)
-            places, j, bc = components(block, q, refs)
-            # the smallest ids whichever fold is left out
-            more = np.union1d(places, np.concatenate([folds.of(own, o).first for o in range(4) if o != own]))
-            if len(more) > len(places):
-                full = [np.ones(len(more)), np.ones(len(more))]
-                sup = block.stats[0].sup
-                for x, values in zip(full, (j, bc), strict=True):
-                    x[(sup[more] == 0) & (sup[q] == 0)] = 0.0
-                    x[np.searchsorted(more, places)] = values
-                places, (j, bc) = more, full
+            hit, inter, mn = block.sums(0, q, ("inter", "mn"))
+            keep = folds.of(own).allowed[hit]
+            hit, inter, mn = hit[keep], inter[keep], mn[keep]
+            keep = B.contenders(*B.discrepancies(block.stats[0], q, hit, inter, mn), [folds.fold[hit] != o for o in range(4) if o != own], K)
+            # with the smallest ids, whichever fold is left out
+            places = np.union1d(hit[keep], np.concatenate([folds.of(own).first, *(folds.of(own, o).first for o in range(4) if o != own)]))
+            j, bc = B.discrepancies(block.stats[0], q, places, *(B.looked_up(places, hit, x) for x in (inter, mn)))
             scores = B.relative(j, bc, betas)
             if out_of_fold:
                 near.setdefault(OUT, []).append((q, B.nearest(places, scores, K)))
