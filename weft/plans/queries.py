@@ -257,10 +257,37 @@ def measure(name: str, column: Callable[[], Column], sql: str, digits: int | Non
     query(with_(SP, pairs_sql(bh=bh)) + f"SELECT q, r, {value} AS {name} FROM p")(f)
 
 
+def pairs_in_blocks(spark, d, **values: tuple) -> DataFrame:
+    """(q, r, ...) of all pairs of suppliers, by name of a value: the sums that it takes, and it, of (statistics, query, references,
+    *sums)."""
+    names = tuple(dict.fromkeys(name for sums, _ in values.values() for name in sums))
+
+    def work(block: B.Block, q: int) -> tuple[np.ndarray, ...]:
+        hit, *sums = block.sums(0, q, names)
+        whole = dict.fromkeys(names)
+        for name, own in zip(names, sums, strict=True):
+            whole[name] = np.zeros(block.n)
+            whole[name][hit] = own
+        return tuple(value(block.stats[0], q, slice(None), *(whole[x] for x in own)) for own, value in values.values())
+
+    return B.Blocks(suppliers(spark, d), [sp(spark, d, by_dimension=True)], B.PAIR_BLOCK).pairs(tuple(values), work)
+
+
+def block_measure(name: str, sums: tuple[str, ...], value: Callable, sql: str, digits: int | None = None) -> None:
+    """As ``measure``, by blocks of queries."""
+    whole = (lambda *x: B.rounded(value(*x), digits)) if digits else value
+
+    def f(spark, d):
+        return pairs_in_blocks(spark, d, **{name: (sums, whole)})
+
+    f.__name__ = name
+    query(with_(SP, pairs_sql(bh="root" in sums)) + f"SELECT q, r, {f'round({sql}, {digits})' if digits else sql} AS {name} FROM p")(f)
+
+
 measure("pathsim", M.pathsim, PATHSIM)
 measure("pathsim_forced_diag", M.pathsim_forced, f"CASE WHEN q = r THEN 1.0::DOUBLE ELSE {PATHSIM} END")
 measure("jaccard", M.jaccard, JACCARD)
-measure("bray_curtis", M.bray_curtis, BRAY)
+block_measure("bray_curtis", ("mn",), B.bray_curtis, BRAY)
 measure("l1", M.l1, L1)
 measure("value_hamming", M.value_hamming, VHAM)
 measure("support_hamming", M.support_hamming, SHAM)
