@@ -291,7 +291,7 @@ block_measure("bray_curtis", ("mn",), B.bray_curtis, BRAY)
 measure("l1", M.l1, L1)
 measure("value_hamming", M.value_hamming, VHAM)
 measure("support_hamming", M.support_hamming, SHAM)
-measure("cosine", M.cosine, COSINE)
+block_measure("cosine", ("dot",), B.cosine, COSINE)
 measure("bhattacharyya", lambda: M.clip(F.col("bh")), clip("bh"), 9, True)
 measure("relative_affinity", lambda: M.relative_affinity(M.jaccard(), M.bray_curtis(), F.lit(0.4)), relative("0.4::DOUBLE", JACCARD, BRAY))
 measure("adaptive_affinity", lambda: M.adaptive_affinity(M.jaccard(), M.bray_curtis(), F.lit(0.5)), adaptive("0.5::DOUBLE", JACCARD, BRAY))
