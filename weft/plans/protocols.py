@@ -41,10 +41,10 @@ def hetesim_forced_diag(spark, d):
 
 
 def baselines(spark, d) -> DataFrame:
-    """Both baselines (q, r, pathsim, hetesim) from one join: the second divides each side by its activity."""
-    rel, nodes = sp(spark, d), suppliers(spark, d)
-    # rows that are scaled by their sum have the same cosine, so one Gram sum serves both measures
-    return P.all_pairs(nodes, rel, nodes, rel).select("q", "r", M.pathsim().alias("pathsim"), F.round(M.cosine(), 9).alias("hetesim"))
+    """Both baselines (q, r, pathsim, hetesim) from one sum: the second divides each side by its activity."""
+    # rows that are scaled by their sum have the same cosine
+    hetesim = lambda *x: B.rounded(B.cosine(*x), 9)
+    return pairs_in_blocks(spark, d, pathsim=(("dot",), B.pathsim), hetesim=(("dot",), hetesim))
 
 
 @query(
