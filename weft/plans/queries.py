@@ -294,7 +294,7 @@ measure("support_hamming", M.support_hamming, SHAM)
 block_measure("cosine", ("dot",), B.cosine, COSINE)
 measure("bhattacharyya", lambda: M.clip(F.col("bh")), clip("bh"), 9, True)
 measure("relative_affinity", lambda: M.relative_affinity(M.jaccard(), M.bray_curtis(), F.lit(0.4)), relative("0.4::DOUBLE", JACCARD, BRAY))
-measure("adaptive_affinity", lambda: M.adaptive_affinity(M.jaccard(), M.bray_curtis(), F.lit(0.5)), adaptive("0.5::DOUBLE", JACCARD, BRAY))
+block_measure("adaptive_affinity", ("inter", "mn"), lambda *x: B.adaptive(*B.discrepancies(*x), 0.5), adaptive("0.5::DOUBLE", JACCARD, BRAY))
 measure(
     "tri_component",
     lambda: M.tri_component(M.jaccard(), M.bray_curtis(), M.cosine(), F.lit(0.25), F.lit(0.5), F.lit(0.25)),
