@@ -246,15 +246,15 @@ def manifest_profile(spark, d):
 # --- measures
 
 
-def measure(name: str, column: Callable[[], Column], sql: str, digits: int | None = None, bh: bool = False) -> None:
+def measure(name: str, column: Callable[[], Column], sql: str, digits: int | None = None) -> None:
     wrap = (lambda x: F.round(x, digits)) if digits else (lambda x: x)
     value = f"round({sql}, {digits})" if digits else sql
 
     def f(spark, d):
-        return sp_pairs(spark, d, bh).select("q", "r", wrap(column()).alias(name))
+        return sp_pairs(spark, d).select("q", "r", wrap(column()).alias(name))
 
     f.__name__ = name
-    query(with_(SP, pairs_sql(bh=bh)) + f"SELECT q, r, {value} AS {name} FROM p")(f)
+    query(with_(SP, pairs_sql()) + f"SELECT q, r, {value} AS {name} FROM p")(f)
 
 
 def pairs_in_blocks(spark, d, **values: tuple) -> DataFrame:
@@ -292,7 +292,7 @@ measure("l1", M.l1, L1)
 measure("value_hamming", M.value_hamming, VHAM)
 measure("support_hamming", M.support_hamming, SHAM)
 block_measure("cosine", ("dot",), B.cosine, COSINE)
-measure("bhattacharyya", lambda: M.clip(F.col("bh")), clip("bh"), 9, True)
+block_measure("bhattacharyya", ("root",), B.bhattacharyya, clip("bh"), 9)
 measure("relative_affinity", lambda: M.relative_affinity(M.jaccard(), M.bray_curtis(), F.lit(0.4)), relative("0.4::DOUBLE", JACCARD, BRAY))
 block_measure("adaptive_affinity", ("inter", "mn"), lambda *x: B.adaptive(*B.discrepancies(*x), 0.5), adaptive("0.5::DOUBLE", JACCARD, BRAY))
 measure(
