@@ -31,7 +31,8 @@ __all__ = ["QUERIES", "SQL"]
 
 @query(with_(SP, pairs_sql()) + f"SELECT q, r, 0.5::DOUBLE * {VHAM} + (1.0::DOUBLE - 0.5::DOUBLE) * {L1} AS distance FROM p")
 def current_distance(spark, d):
-    return sp_pairs(spark, d).select("q", "r", M.current_distance(F.lit(0.5)).alias("distance"))
+    value = lambda s, q, r, inter, eq, mn: 0.5 * (s.sup[q] + s.sup[r] - inter - eq) + (1.0 - 0.5) * (s.act[q] + s.act[r] - 2.0 * mn)
+    return pairs_in_blocks(spark, d, distance=(("inter", "eq", "mn"), value))
 
 
 @query(with_(SP, SPN, pairs_sql("spn")) + f"SELECT q, r, round(CASE WHEN q = r THEN 1.0::DOUBLE ELSE {COSINE} END, 9) AS hetesim FROM p")
